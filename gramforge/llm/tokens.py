@@ -8,12 +8,14 @@ so that a memory-mapped sequence is a view.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 64
 END_ID = 1
 CACHE_WORDS = 600_000
+PIECES_TOGETHER = 512
+PIECE_BYTES = 6 << 20
 MANIFEST = "bucket int, path string, docs long, tokens long"
 
 _cache: dict[str, dict[str, bytes]] = {}
@@ -38,6 +42,7 @@ def word_bpe_path() -> str:
 
 def _tokenizer(path: str):
     if path not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
@@ -52,17 +57,49 @@ class Encoder:
         self.tokenizer = _tokenizer(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.cache = _cache.setdefault(path, {})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for p in pieces for w in p if w not in cache})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, self.dtype).tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes pieces into the cache. A word of letters is one unit of the library's own split, whatever stands
+        beside it, and so is one full stop or comma after it: such words are encoded together."""
+        stems = {w: w[:-1] for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()}
+        words = list({x for x in (*(w for w in new if w.isalpha()), *stems.values()) if x not in self.cache})
+        other = [w for w in new if w not in stems and not w.isalpha()]
+        groups = [words[i : i + PIECES_TOGETHER] for i in range(0, len(words), PIECES_TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            cuts = [0, *(np.flatnonzero(self.ends_word[e.ids]) + 1).tolist()]
+            if len(cuts) != len(group) + 1:  # a letter that the library takes apart
+                other += group
+                continue
+            data, size = np.array(e.ids, self.dtype).tobytes(), self.dtype.itemsize
+            for w, start, cut in zip(group, cuts[:-1], cuts[1:], strict=True):
+                self.cache[w] = data[start * size : cut * size]
+        other += ["."] * ("." not in self.cache) + [","] * ("," not in self.cache)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self.cache[w] = np.array(e.ids, self.dtype).tobytes()
+        for w, stem in stems.items():
+            self.cache[w] = self.cache[stem] + self.cache[w[-1]]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another (null: empty), and how many each text has."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        pieces = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn({w for w in distinct if w not in self.cache})
+        parts = [self.cache[w] for w in distinct]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(parts), self.dtype)
+        each = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(starts[at] - upto[:-1], each) + np.arange(upto[-1])]
+        bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        return ids, np.diff(upto[bounds])
 
 
 class _Writer:
@@ -83,14 +120,14 @@ class _Writer:
         self.index_out = pa.ipc.new_file(self.index_sink, self.index_schema)
         self.rest, self.docs, self.tokens, self.folder, self.bucket = np.zeros(0, dtype), 0, 0, folder, bucket
 
-    def add(self, ids: list, encoded: list[bytes], end_id: int) -> None:
-        end = np.array([end_id], self.dtype).tobytes()
-        counts = np.array([len(e) // self.dtype.itemsize + 1 for e in encoded], np.int64)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, end_id: int) -> None:
+        ends = np.cumsum(counts)
+        counts = counts + 1
         starts = self.tokens + np.cumsum(counts) - counts
-        self.index_out.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts), pa.array(counts)], schema=self.index_schema))
-        self.docs += len(ids)
+        self.index_out.write_batch(pa.record_batch([doc_ids.cast(pa.int64()), pa.array(starts), pa.array(counts)], schema=self.index_schema))
+        self.docs += len(counts)
         self.tokens += int(counts.sum())
-        self.rest = np.concatenate([self.rest, np.frombuffer(end.join([*encoded, b""]), self.dtype)])
+        self.rest = np.concatenate([self.rest, np.insert(ids, ends, end_id)])
         step = self.sequence * SEQUENCES_PER_BATCH
         at = 0
         while len(self.rest) - at >= step:
@@ -129,7 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         from gramforge.llm.bytescan import slices
 
         encoder, out = Encoder(tokenizer_path), None
-        for piece in slices(batches, "t"):
+        for piece in slices(batches, "t", PIECE_BYTES):
             buckets = piece.column("b").to_numpy()
             for b in np.unique(buckets):
                 at = np.flatnonzero(buckets == b)
@@ -138,7 +175,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                     if out is not None:
                         yield pa.RecordBatch.from_pydict(out.close(), schema=shape)
                     out = _Writer(folder, int(b), encoder.dtype, sequence)
-                out.add(own.column("i").to_pylist(), encoder.encode([t or "" for t in own.column("t").to_pylist()]), end_id)
+                out.add(own.column("i"), *encoder.encode(own.column("t")), end_id)
         if out is not None:
             yield pa.RecordBatch.from_pydict(out.close(), schema=shape)
 
