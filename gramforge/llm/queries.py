@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramforge.llm import fingerprints, mixing, secrets, sharding, tokens
+from gramforge.llm import decontam, fingerprints, mixing, neardup, secrets, sharding, tokens
 
 SHARDS = 40
 
@@ -14,6 +14,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.assign_shards(documents(spark, sf_dir), SHARDS, "bytes")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -39,5 +47,5 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op6_mixing, op8_secrets, op9_fingerprints, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op4_near_duplicates, op6_mixing, op8_secrets, op9_fingerprints, op10_tokens)}
 ORACLES: dict[str, str] = {}
