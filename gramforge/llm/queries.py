@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramforge.llm import decontam, fingerprints, mixing, neardup, secrets, sharding, tokens
+from gramforge.llm import decontam, fingerprints, language, mixing, neardup, pii, quality, secrets, sharding, tokens
 
 SHARDS = 40
 
@@ -14,6 +14,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    network = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_quality(docs, network).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -28,10 +34,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs)).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank", "mixed")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(documents(spark, sf_dir))
     base = F.filter("found", lambda s: ~s["weak"])
@@ -47,5 +62,8 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_sharding, op4_near_duplicates, op6_mixing, op8_secrets, op9_fingerprints, op10_tokens)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_decontamination, op3_sharding, op4_near_duplicates, op5_language, op6_mixing, op7_pii, op8_secrets, op9_fingerprints, op10_tokens)
+}
 ORACLES: dict[str, str] = {}
