@@ -80,9 +80,8 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block_
     units = quantised({s: w for s, w in target.items() if s in counts}, period)
     blocks = {s: -(-counts[s] // block_rows) for s in units}
     plan = period_schedule(units)
-    # the slot at which a source has run out, and the first by which too much weight is gone
-    last = {(s, k): slot for s, k, _, _, slot in plan}
-    gone = sorted((((blocks[s] - 1) // units[s]) * period + last[s, (blocks[s] - 1) % units[s]] + 1, units[s]) for s in units)
+    # the deadline of a source's last block, and the first by which too much weight is gone
+    gone = sorted((-(-blocks[s] * period // units[s]), units[s]) for s in units)
     horizon, lost = 0, 0
     for end, unit in gone:
         horizon, lost = end, lost + unit

@@ -22,6 +22,8 @@ SLICE = 1 << 20
 #: The fit's bounds: rows of each class, and bytes of a row; longer rows are not used to fit.
 FIT_ROWS, FIT_BYTES = 1000, 12_000
 EPOCHS, BATCH, RATE = 8, 32, 0.01
+#: Short pieces of good texts (which are good as well) join the fit, for texts of a few words.
+PIECES, PIECE_CHARS = 400, 120
 
 
 class Layout:
@@ -117,8 +119,13 @@ class Network:
             self.p["out"][:] = 0
             self.p["prior"][:] = 0 if not len(y) else (4 if y[0] else -4)
             return self
-        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
         g = np.random.Generator(np.random.PCG64(seed))
+        texts, good = list(texts), np.flatnonzero(y == 1)
+        for j in g.choice(good, PIECES):
+            begin = int(g.integers(0, max(1, len(texts[j]) - 4)))
+            texts.append(texts[j][begin : begin + int(g.integers(3, PIECE_CHARS))])
+        y = np.concatenate([y, np.ones(PIECES, np.float32)])
+        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         t, most = 0, EPOCHS * -(-len(y) // BATCH)
