@@ -40,14 +40,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
+    path = path or shared_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored intermediate tables of one operator, removed together when its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, shared_dir(spark, name), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return stored(df, name, f"{self.root}/{self.n:03d}-{name}")
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def task_count(df: DataFrame, text_col: str | None = None, task_bytes: int = 16 << 20) -> int:
     """Tasks for a shuffle that carries the texts: by their bytes, at least the session's shuffle partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
