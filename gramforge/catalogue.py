@@ -2,5 +2,361 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gramforge.functions.layout import plain_padding
+from gramforge.operators import cells as C
+from gramforge.operators import eigen, grouped, layouts, tiled
+from gramforge.plans import topology
+from gramforge.plans.frame import REPLICATED, MatrixFrame, matrix
+from gramforge.sources import tables
+
+N, TILE, DIM, LABELS = 24, 7, 64, 10
+
+
+def r6(c: Column) -> Column:
+    return (F.round(c, 6) + F.lit(0.0)).alias("v")
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _numbers(spark: SparkSession, n: int = N, dtype: str = "float64") -> MatrixFrame:
+    return C.diag(spark, n, (F.col("i") + 1).cast("double"), dtype)
+
+
+def _ones(spark: SparkSession, n: int = N, dtype: str = "float64") -> MatrixFrame:
+    one = C.diag(spark, n, F.lit(1.0), dtype)
+    return matrix(one.cells.withColumn("j", F.lit(0).cast("long")), n, 1, REPLICATED)
+
+
+def _small(spark: SparkSession, rows: list[tuple], n: int) -> MatrixFrame:
+    return matrix(spark.createDataFrame([(int(i), int(j), float(v)) for i, j, v in rows], "i long, j long, v double"), n)
+
+
+def _gram(spark: SparkSession, sf_dir: str) -> MatrixFrame:
+    g = tables.gram(_read(spark, sf_dir, "embeddings"), "embedding", DIM)
+    return g.with_cells(tiled.cut(g.cells))
+
+
+def _ridge(spark: SparkSession, sf_dir: str) -> MatrixFrame:
+    return C.add(_gram(spark, sf_dir), C.eye(spark, DIM))
+
+
+def _solved(df: DataFrame) -> DataFrame:
+    return df.select("i", "j", r6(F.col("v")), "status")
+
+
+def _status(df: DataFrame) -> DataFrame:
+    return df.select("i", "j", F.isnan("v").alias("is_nan"), "status")
+
+
+def solve_diag(spark, sf_dir):
+    return _solved(tiled.chol_solve(_numbers(spark), _ones(spark), TILE))
+
+
+def solve_f32(spark, sf_dir):
+    x = tiled.chol_solve(_numbers(spark, dtype="float32"), _ones(spark, dtype="float32"), TILE)
+    return x.select("i", "j", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"), "status")
+
+
+def solve_shard_scaled(spark, sf_dir):
+    a = C.scale(C.eye(spark, N), (F.floor(F.col("i") / 6) + 1).cast("double"))
+    return _solved(tiled.chol_solve(a, _ones(spark), 1 + TILE))
+
+
+def solve_not_pd(spark, sf_dir):
+    a = C.diag(spark, N, F.when(F.col("i") == 0, -1.0).otherwise((F.col("i") - 1).cast("double")))
+    return _status(tiled.chol_solve(a, _ones(spark), TILE))
+
+
+def _upper_only(spark, value: float, below: float = 0.0) -> DataFrame:
+    a = _small(spark, [(0, 0, 1), (0, 1, value), (1, 0, below), (1, 1, 2), (2, 2, 3)], 3)
+    return tiled.chol_solve(a, _ones(spark, 3), 2)
+
+
+def solve_upper_only_ok(spark, sf_dir):
+    return _solved(_upper_only(spark, 1.0))
+
+
+def solve_upper_only_fail(spark, sf_dir):
+    return _status(_upper_only(spark, 2.0))
+
+
+def solve_lower_ignored(spark, sf_dir):
+    return _solved(_upper_only(spark, 1.0, 99.0))
+
+
+def _regression(spark, sf_dir):
+    items = _read(spark, sf_dir, "lineitem")
+    return tables.normal_equations(items, [F.lit(1.0), F.col("l_quantity"), 10 * F.col("l_discount"), 10 * F.col("l_tax")], F.col("l_extendedprice") / 1000)
+
+
+def solve_regression(spark, sf_dir):
+    return _solved(tiled.chol_solve(*_regression(spark, sf_dir), tile=3))
+
+
+def solve_ridge_multi_rhs(spark, sf_dir):
+    b = tables.label_sums(_read(spark, sf_dir, "embeddings"), "embedding", "label", DIM, LABELS)
+    return _solved(tiled.chol_solve(_ridge(spark, sf_dir), b, 32))
+
+
+def solve_residual(spark, sf_dir):
+    a = _ridge(spark, sf_dir)
+    b = tables.label_sums(_read(spark, sf_dir, "embeddings"), "embedding", "label", DIM, LABELS)
+    x = tiled.chol_solve(a, b, 32).select("i", "j", "v")
+    return C.residual(a, b.with_cells(x), b).cells.select("i", "j", r6(F.col("v")))
+
+
+def _hermitian(spark, n: int = 4) -> MatrixFrame:
+    """Diagonal 4 + i, above it (1 + i j mod 3) / 4 + sqrt(-1) (j - i) / 8."""
+    at = spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), F.expr(f"id % {n}").alias("j")).filter("j >= i")
+    re = F.when(F.col("i") == F.col("j"), 4.0 + F.col("i")).otherwise((1 + (F.col("i") * F.col("j")) % 3) / 4)
+    return matrix(at.select("i", "j", F.struct(re.cast("double").alias("re"), ((F.col("j") - F.col("i")) / 8).cast("double").alias("im")).alias("v")), n)
+
+
+def solve_complex(spark, sf_dir):
+    x = tiled.chol_solve(_hermitian(spark), _ones(spark, 4, "complex128"), 3)
+    return x.select("i", "j", (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"), "status")
+
+
+def solve_by_group(spark, sf_dir):
+    cells = _group_cells(spark, sf_dir)
+    return grouped.solve_by_group(cells, "g").select("g", "i", r6(F.col("v")), "status")
+
+
+def _group_cells(spark, sf_dir) -> DataFrame:
+    """Per nation: account balance in thousands on a constant and the customer's key mod 7."""
+    c = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("g"), (F.col("c_custkey") % 7).cast("double").alias("x"), (F.col("c_acctbal") / 1000).alias("y"))
+    sums = c.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    cell = lambda i, j, c: F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.col(c).alias("v"))
+    return sums.select("g", F.inline(F.array(cell(0, 0, "n"), cell(0, 1, "x"), cell(1, 1, "xx"), cell(0, -1, "y"), cell(1, -1, "xy"))))
+
+
+def sql_solve(spark, sf_dir):
+    grouped.register_sql(spark)
+    _group_cells(spark, sf_dir).createOrReplaceTempView("gramforge_groups")
+    return spark.sql("SELECT g, i, round(v, 6) + 0.0D AS v, status FROM solve_groups(TABLE(gramforge_groups) PARTITION BY g)")
+
+
+def inverse_diag(spark, sf_dir):
+    return _solved(tiled.spd_inverse(_numbers(spark, 10), 4))
+
+
+def inverse_gram(spark, sf_dir):
+    return _solved(tiled.spd_inverse(_ridge(spark, sf_dir), 32))
+
+
+def inverse_upper(spark, sf_dir):
+    return _solved(tiled.spd_inverse(_ridge(spark, sf_dir), 32, "upper"))
+
+
+def inverse_not_pd(spark, sf_dir):
+    a = C.diag(spark, 10, F.when(F.col("i") == 0, -1.0).otherwise((F.col("i") - 1).cast("double")))
+    return _status(tiled.spd_inverse(a, 4))
+
+
+def inverse_residual(spark, sf_dir):
+    a = _ridge(spark, sf_dir)
+    x = tiled.spd_inverse(a, 32).select("i", "j", "v")
+    return C.add(C.matmul(a, a.with_cells(x)), C.eye(spark, DIM), -1.0).cells.select("i", "j", r6(F.col("v")))
+
+
+def symmetrize(spark, sf_dir):
+    return C.symmetrize_upper(C.upper(_gram(spark, sf_dir))).cells.select("i", "j", r6(F.col("v")))
+
+
+def transpose(spark, sf_dir):
+    a = tables.label_sums(_read(spark, sf_dir, "embeddings"), "embedding", "label", DIM, LABELS)
+    return C.transpose(a).cells.select("i", "j", r6(F.col("v")))
+
+
+def matmul(spark, sf_dir):
+    b = tables.label_sums(_read(spark, sf_dir, "embeddings"), "embedding", "label", DIM, LABELS)
+    return C.matmul(_gram(spark, sf_dir), b).cells.select("i", "j", r6(F.col("v")))
+
+
+def trace_frobenius(spark, sf_dir):
+    s = C.summary(_gram(spark, sf_dir))
+    return s.select((F.round("trace", 6) + 0.0).alias("trace"), (F.round("frobenius", 6) + 0.0).alias("frobenius"))
+
+
+def eigvals_diag(spark, sf_dir):
+    e = eigen.sym_eigen(_numbers(spark), False, TILE)
+    return e.select("k", (F.round("lambda", 6) + 0.0).alias("lambda"), "status")
+
+
+def eigen_diag(spark, sf_dir):
+    e = eigen.sym_eigen(_numbers(spark, 10), True, 4).select("k", (F.round("lambda", 6) + 0.0).alias("lambda"), "status", F.posexplode("vec").alias("i", "x"))
+    return e.select("k", F.col("i").cast("long").alias("i"), "lambda", (F.round("x", 6) + 0.0).alias("x"), "status")
+
+
+def eigvals_invariants(spark, sf_dir):
+    e = eigen.sym_eigen(_gram(spark, sf_dir), False, 32)
+    return e.agg((F.round(F.sum("lambda"), 5) + 0.0).alias("sum1"), (F.round(F.sum(F.col("lambda") * F.col("lambda")), 4) + 0.0).alias("sum2"), F.count(F.lit(1)).alias("n"))
+
+
+def _eigen_cells(e: DataFrame) -> DataFrame:
+    return e.select("k", "lambda", F.posexplode("vec").alias("i", "v")).select(F.col("i").cast("long").alias("i"), F.col("k").alias("j"), "lambda", "v")
+
+
+def eigen_residual(spark, sf_dir):
+    """A V - V diag(lambda), which is 0."""
+    a = _gram(spark, sf_dir)
+    v = tiled.cut(_eigen_cells(eigen.sym_eigen(a, True, 16)))
+    av = C.matmul(a, matrix(v.select("i", "j", "v"), DIM))
+    return C.add(av, matrix(v.select("i", "j", (F.col("v") * F.col("lambda")).alias("v")), DIM), -1.0).cells.select("i", "j", r6(F.col("v")))
+
+
+def eigen_orthogonality(spark, sf_dir):
+    """V^T V, which is I."""
+    v = matrix(tiled.cut(_eigen_cells(eigen.sym_eigen(_gram(spark, sf_dir), True, 32)).select("i", "j", "v")), DIM)
+    return C.matmul(C.transpose(v), v).cells.select("i", "j", r6(F.col("v")))
+
+
+def eigvals_2x2_by_group(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").withColumn("g", F.col("p_brand"))
+    e = grouped.eigvals_by_group(tables.covariance_by_group(p, "g", F.col("p_size").cast("double"), F.col("p_retailprice") / 100), "g")
+    return e.select("g", "k", (F.round("lambda", 6) + 0.0).alias("lambda"), "status")
+
+
+def eigvals_complex(spark, sf_dir):
+    e = eigen.sym_eigen(_hermitian(spark), False, 2)
+    return e.agg((F.round(F.sum("lambda"), 6) + 0.0).alias("sum1"), (F.round(F.sum(F.col("lambda") * F.col("lambda")), 6) + 0.0).alias("sum2"))
+
+
+def padding_grid(spark, sf_dir):
+    grid = spark.range(1, 25).withColumnRenamed("id", "shard").select("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(29).cast("long"))).alias("tile"))
+    return grid.withColumn("pad", plain_padding(F.col("shard"), F.col("tile")))
+
+
+def cyclic_map(spark, sf_dir):
+    return layouts.cyclic_map(spark, 96, 5, 4)
+
+
+def cyclic_identity(spark, sf_dir):
+    return layouts.cyclic_map(spark, 12, 3, 4)
+
+
+def cyclic_rows(spark, sf_dir):
+    dealt = layouts.cyclic_layout(_gram(spark, sf_dir), 5, 4)
+    return dealt.groupBy("device").agg(F.count(F.lit(1)).alias("cells"), F.sum("dst").alias("dst_sum"), (F.round(F.sum("v"), 5) + 0.0).alias("v_sum"))
+
+
+def cyclic_inverse(spark, sf_dir):
+    return layouts.blocks_again(layouts.cyclic_layout(_gram(spark, sf_dir), 5, 4), DIM, 5, 4).select("i", "j", r6(F.col("v")))
+
+
+def cyclic_verify(spark, sf_dir):
+    g = _gram(spark, sf_dir)
+    return layouts.verify_cyclic(g, layouts.cyclic_layout(g, 5, 4), 5, 4)
+
+
+def padded_rows(spark, sf_dir):
+    return layouts.padded_rows(spark, 96, 5, 4)
+
+
+def ownership_plot_data(spark, sf_dir):
+    return layouts.ownership(spark, 100, 7, 4)
+
+
+def regather_2d(spark, sf_dir):
+    owners = spark.range(16).select(F.expr("cast(id div 4 as int)").alias("device"), F.col("id").alias("col"))
+    hosts = spark.range(4).select(F.expr("cast(id div 2 as int)").alias("host"), F.col("id").cast("int").alias("device"))
+    return layouts.regather(owners, hosts)
+
+
+def topology_mode(spark, sf_dir):
+    made = [[(0, 0, 4, 4)], [(0, p, 1, 1) for p in range(4)], [(0, 0, 2, 2), (0, 1, 2, 2)], [(0, 0, 2, 4)]]
+    out = None
+    for case, rows in enumerate(made):
+        one = topology.classify(spark.createDataFrame(rows, "machine int, process int, devices int, visible int")).withColumn("case", F.lit(case))
+        out = one if out is None else out.union(one)
+    return out.select("case", "machines", "devices_per_machine", "devices_per_process", "mode")
+
+
+def bench_medians(spark, sf_dir):
+    rows = [(f"a100/float64/{d}dev/N{n}_T{t}.npy", float(n * t % 97 + r * r)) for d in (1, 2) for n in (64, 128) for t in (16, 32) for r in range(5)]
+    return tables.bench_medians(spark.createDataFrame(rows, "path string, seconds double"))
+
+
+def _eliminated(aug: str, n: int, wide: int, select: str) -> str:
+    """Gauss-Jordan elimination of n rows of `wide` numbers, no pivots: the left part is positive definite."""
+    return f"""WITH RECURSIVE {aug},
+init AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM aug GROUP BY i)),
+ge(k, m) AS (SELECT 1, m FROM init UNION ALL
+  SELECT k + 1, list_transform(range(1, {n + 1}), lambda r: CASE WHEN r = k THEN list_transform(m[k], lambda z: z / m[k][k])
+    ELSE list_transform(range(1, {wide + 1}), lambda c: m[r][c] - m[r][k] / m[k][k] * m[k][c]) END) FROM ge WHERE k <= {n}),
+done AS (SELECT m FROM ge WHERE k = {n + 1})
+{select}"""
+
+
+_PLACES = f"x AS (SELECT vec_id, label, unnest(range({DIM})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+_GRAM = f"{_PLACES}, gram AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM x a JOIN x b USING (vec_id) GROUP BY ALL)"
+_B = "b AS (SELECT i, label AS j, sum(x) AS v FROM x GROUP BY ALL)"
+_RIDGE = f"{_GRAM}, ridge AS (SELECT i, j, v + CASE WHEN i = j THEN 1 ELSE 0 END AS v FROM gram)"
+_RIDGE_B = f"{_RIDGE}, {_B}, aug AS (SELECT i, j, v FROM ridge UNION ALL SELECT t.i, {DIM} + l.j, coalesce(b.v, 0) FROM range({DIM}) t(i) CROSS JOIN range({LABELS}) l(j) LEFT JOIN b ON b.i = t.i AND b.j = l.j)"
+_RIDGE_I = f"{_RIDGE}, aug AS (SELECT i, j, v FROM ridge UNION ALL SELECT t.i, {DIM} + l.j, CASE WHEN t.i = l.j THEN 1 ELSE 0 END FROM range({DIM}) t(i) CROSS JOIN range({DIM}) l(j))"
+
+
+def _square(n: int, where: str = "true") -> str:
+    return f"FROM range({n}) t(i) CROSS JOIN range({n}) l(j) WHERE {where}"
+
+
+_INVERSE = f"SELECT t.i, l.j, round(m[t.i + 1][{DIM} + 1 + l.j], 6) + 0.0 AS v, 0::INT AS status FROM done CROSS JOIN range({DIM}) t(i) CROSS JOIN range({DIM}) l(j)"
+_LAYOUT = """SELECT col, col + pad * (col // shard) AS src, dev * (shard + pad) + off AS dst, dev::INT AS device, tile, off AS local_off FROM (
+SELECT *, tile % {d} AS dev, (tile // {d}) * w + col % w AS off FROM (SELECT col, {n} // {d} AS shard, least({t}, {n} // {d}) AS w, CASE WHEN {t} >= {n} // {d} THEN 0 ELSE ({t} - ({n} // {d}) % {t}) % {t} END AS pad, col // least({t}, {n} // {d}) AS tile FROM range({n}) r(col)))"""
+_HERMITIAN = """h AS (SELECT i, j, CASE WHEN i = j THEN 4.0 + i ELSE (1 + (i * j) % 3) / 4.0 END AS re, CASE WHEN i = j THEN 0 WHEN j > i THEN (j - i) / 8.0 ELSE -((i - j) / 8.0) END AS im FROM range(4) t(i) CROSS JOIN range(4) l(j))"""
+_GROUPS = """SELECT c_nationkey::BIGINT AS g, count(*)::DOUBLE AS n, sum(x) AS x, sum(x * x) AS xx, sum(y) AS y, sum(x * y) AS xy FROM (SELECT c_nationkey, (c_custkey % 7)::DOUBLE AS x, c_acctbal / 1000 AS y FROM customer) GROUP BY 1"""
+_BY_GROUP = f"""SELECT g, i::BIGINT AS i, round(CASE WHEN i = 0 THEN (xx * y - x * xy) / (n * xx - x * x) ELSE (n * xy - x * y) / (n * xx - x * x) END, 6) + 0.0 AS v, 0::INT AS status FROM ({_GROUPS}) CROSS JOIN range(2) r(i)"""
+
+ORACLES = {
+    "solve_diag": f"SELECT i, 0::BIGINT AS j, round(1.0::DOUBLE / (i + 1), 6) + 0.0 AS v, 0::INT AS status FROM range({N}) t(i)",
+    "solve_f32": f"SELECT i, 0::BIGINT AS j, round(1.0::DOUBLE / (i + 1), 4) + 0.0 AS v, 0::INT AS status FROM range({N}) t(i)",
+    "solve_shard_scaled": f"SELECT i, 0::BIGINT AS j, round(1.0::DOUBLE / (i // 6 + 1), 6) + 0.0 AS v, 0::INT AS status FROM range({N}) t(i)",
+    "solve_not_pd": f"SELECT i, 0::BIGINT AS j, true AS is_nan, 7::INT AS status FROM range({N}) t(i)",
+    "solve_upper_only_ok": "SELECT i, 0::BIGINT AS j, round(CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 1.0 / 3 END::DOUBLE, 6) + 0.0::DOUBLE AS v, 0::INT AS status FROM range(3) t(i)",
+    "solve_upper_only_fail": "SELECT i, 0::BIGINT AS j, true AS is_nan, 7::INT AS status FROM range(3) t(i)",
+    "solve_lower_ignored": "SELECT i, 0::BIGINT AS j, round(CASE i WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 1.0 / 3 END::DOUBLE, 6) + 0.0::DOUBLE AS v, 0::INT AS status FROM range(3) t(i)",
+    "solve_regression": _eliminated(
+        "f AS (SELECT [1.0::DOUBLE, l_quantity, 10 * l_discount, 10 * l_tax, l_extendedprice / 1000] AS f FROM lineitem), aug AS (SELECT i, j, sum(f[i + 1] * f[j + 1]) AS v FROM f CROSS JOIN range(4) t(i) CROSS JOIN range(5) l(j) GROUP BY ALL)",
+        4, 5, "SELECT i, 0::BIGINT AS j, round(m[i + 1][5], 6) + 0.0 AS v, 0::INT AS status FROM done CROSS JOIN range(4) t(i)"),
+    "solve_ridge_multi_rhs": _eliminated(_RIDGE_B, DIM, DIM + LABELS, f"SELECT t.i, l.j, round(m[t.i + 1][{DIM} + 1 + l.j], 6) + 0.0 AS v, 0::INT AS status FROM done CROSS JOIN range({DIM}) t(i) CROSS JOIN range({LABELS}) l(j)"),
+    "solve_residual": f"SELECT t.i, l.j, 0.0::DOUBLE AS v FROM range({DIM}) t(i) CROSS JOIN range({LABELS}) l(j)",
+    "solve_complex": _eliminated(
+        f"{_HERMITIAN}, aug AS (SELECT i, j, re AS v FROM h UNION ALL SELECT i, j + 4, -im FROM h UNION ALL SELECT i + 4, j, im FROM h UNION ALL SELECT i + 4, j + 4, re FROM h UNION ALL SELECT i, 8, CASE WHEN i < 4 THEN 1 ELSE 0 END FROM range(8) t(i))",
+        8, 9, "SELECT i, 0::BIGINT AS j, round(m[i + 1][9], 6)::DOUBLE + 0.0::DOUBLE AS re, round(m[i + 5][9], 6)::DOUBLE + 0.0::DOUBLE AS im, 0::INT AS status FROM done CROSS JOIN range(4) t(i)"),
+    "solve_by_group": _BY_GROUP,
+    "sql_solve": _BY_GROUP,
+    "inverse_diag": f"SELECT i, j, CASE WHEN i = j THEN round(1.0::DOUBLE / (i + 1), 6) ELSE 0.0::DOUBLE END AS v, 0::INT AS status {_square(10)}",
+    "inverse_gram": _eliminated(_RIDGE_I, DIM, 2 * DIM, _INVERSE),
+    "inverse_upper": _eliminated(_RIDGE_I, DIM, 2 * DIM, f"{_INVERSE} WHERE l.j >= t.i"),
+    "inverse_not_pd": f"SELECT i, j, true AS is_nan, 7::INT AS status {_square(10)}",
+    "inverse_residual": f"SELECT i, j, 0.0::DOUBLE AS v {_square(DIM)}",
+    "symmetrize": f"WITH {_GRAM} SELECT i, j, round(v, 6) + 0.0 AS v FROM gram",
+    "transpose": f"WITH {_PLACES}, {_B} SELECT j::BIGINT AS i, i AS j, round(v, 6) + 0.0 AS v FROM b",
+    "matmul": f"WITH {_GRAM}, {_B} SELECT g.i, b.j::BIGINT AS j, round(sum(g.v * b.v), 6) + 0.0 AS v FROM gram g JOIN b ON g.j = b.i GROUP BY ALL",
+    "trace_frobenius": f"WITH {_GRAM} SELECT round(sum(v) FILTER (WHERE i = j), 6) + 0.0 AS trace, round(sqrt(sum(v * v)), 6) + 0.0 AS frobenius FROM gram",
+    "eigvals_diag": f"SELECT i AS k, (i + 1)::DOUBLE AS lambda, 0::INT AS status FROM range({N}) t(i)",
+    "eigen_diag": f"SELECT i AS k, j AS i, (i + 1)::DOUBLE AS lambda, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x, 0::INT AS status {_square(10)}",
+    "eigvals_invariants": f"WITH {_GRAM} SELECT round(sum(v) FILTER (WHERE i = j), 5) + 0.0 AS sum1, round(sum(v * v), 4) + 0.0 AS sum2, {DIM}::BIGINT AS n FROM gram",
+    "eigen_residual": f"SELECT i, j, 0.0::DOUBLE AS v {_square(DIM)}",
+    "eigen_orthogonality": f"SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v {_square(DIM)}",
+    "eigvals_2x2_by_group": "SELECT g, k, round((xx + yy) / 2 + CASE WHEN k = 0 THEN -1 ELSE 1 END * sqrt((xx - yy) * (xx - yy) / 4 + xy * xy), 6) + 0.0 AS lambda, 0::INT AS status FROM (SELECT p_brand AS g, var_pop(p_size::DOUBLE) AS xx, covar_pop(p_size::DOUBLE, p_retailprice / 100) AS xy, var_pop(p_retailprice / 100) AS yy FROM part GROUP BY 1) CROSS JOIN range(2) r(k)",
+    "eigvals_complex": f"WITH {_HERMITIAN} SELECT round((sum(re) FILTER (WHERE i = j))::DOUBLE, 6) + 0.0::DOUBLE AS sum1, round(sum(re * re + im * im)::DOUBLE, 6) + 0.0::DOUBLE AS sum2 FROM h",
+    "padding_grid": "SELECT shard, tile, (tile - shard % tile) % tile AS pad FROM range(1, 25) s(shard) CROSS JOIN range(1, 30) t(tile)",
+    "cyclic_map": _LAYOUT.format(n=96, t=5, d=4),
+    "cyclic_identity": _LAYOUT.format(n=12, t=3, d=4),
+    "cyclic_rows": f"WITH {_GRAM} SELECT device, count(*) AS cells, sum(dst)::BIGINT AS dst_sum, round(sum(v), 5) + 0.0 AS v_sum FROM gram JOIN ({_LAYOUT.format(n=DIM, t=5, d=4)}) l ON l.col = gram.i GROUP BY 1",
+    "cyclic_inverse": f"WITH {_GRAM} SELECT i, j, round(v, 6) + 0.0 AS v FROM gram",
+    "cyclic_verify": "SELECT 0::BIGINT AS mismatches",
+    "padded_rows": "SELECT d::INT AS device, o AS local_off FROM range(4) t(d) CROSS JOIN range(24, 25) r(o)",
+    "ownership_plot_data": "SELECT 'before' AS phase, pos, (pos // 25)::INT AS owner FROM range(100) r(pos) UNION ALL SELECT 'after', pos, CASE WHEN pos >= 100 THEN -1 ELSE (pos // 7) % 4 END::INT FROM range(112) r(pos)",
+    "regather_2d": "SELECT (d // 2)::INT AS host, d::INT AS device, c AS col FROM range(4) t(d) CROSS JOIN range(16) r(c) WHERE c // 8 = d % 2",
+    "topology_mode": "SELECT * FROM (VALUES (0::INT, 1::BIGINT, 4::BIGINT, 4::BIGINT, 'SPMD'), (1, 1, 4, 1, 'MPMD'), (2, 1, 4, 2, 'INVALID'), (3, 1, 2, 2, 'INVALID')) v(\"case\", machines, devices_per_machine, devices_per_process, mode)",
+    "bench_medians": "SELECT 'a100' AS gpu, 'float64' AS dtype, d::INT AS ndev, t::INT AS tile, n::BIGINT AS n, median((n * t % 97 + r * r)::DOUBLE) AS median_s, count(*) AS runs FROM (VALUES (1), (2)) a(d) CROSS JOIN (VALUES (64), (128)) b(n) CROSS JOIN (VALUES (16), (32)) c(t) CROSS JOIN range(5) e(r) GROUP BY ALL",
+}
+
+QUERIES = {name: globals()[name] for name in ORACLES}
