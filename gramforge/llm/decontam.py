@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Test items are split into words; of every few successive three-word grams of an item the one that the corpus holds
-least is a seed (counts over all documents), so each part of an item has one, however common. Where a document holds a
+Test items are split into words. Three-word grams of an item are seeds unless the corpus holds them far more often than
+is usual for the item (counts over all documents); of every few successive grams the least counted is one in any case,
+so each part of an item has a seed, however common. Where a document holds a
 seed, the words around it are aligned with the item (match 2, mismatch and gap -1); the score over twice the item's
 words is the share that survives.
 """
@@ -20,6 +21,8 @@ from gramforge.llm.runtime import ship_code
 
 GRAM = 3
 SEED_EVERY = 3
+#: A gram is rare up to this many times the item's median count, plus this many.
+RARE_TIMES, RARE_PLUS = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Test items that one pass over the documents takes; more items take more passes.
@@ -40,11 +43,12 @@ class Items:
         self.seeds = self.seed_item = self.seed_place = None
 
     def choose(self, counts: dict[int, int]) -> None:
-        """Seeds: in each group of SEED_EVERY grams of an item the least counted, the first of equals."""
+        """Seeds: an item's rare grams, and in each group of SEED_EVERY the least counted, the first of equals."""
         seen = np.array([counts.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
         chosen = []
         for a, b in zip(self.gram_bounds[:-1].tolist(), self.gram_bounds[1:].tolist(), strict=True):
-            chosen += [s + int(np.argmin(seen[s : min(s + SEED_EVERY, b)])) for s in range(a, b, SEED_EVERY)]
+            rare = a + np.flatnonzero(seen[a:b] <= RARE_TIMES * np.median(seen[a:b]) + RARE_PLUS) if b > a else []
+            chosen += sorted({*map(int, rare), *(s + int(np.argmin(seen[s : min(s + SEED_EVERY, b)])) for s in range(a, b, SEED_EVERY))})
         at = np.array(chosen, np.int64)
         item = np.searchsorted(self.gram_bounds, at, side="right") - 1
         order = np.argsort(self.grams[at], kind="stable")

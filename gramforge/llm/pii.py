@@ -75,7 +75,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             out["email"].append((begin, free))
         at = text.find("@", max(at + 1, free))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split(".")):
             out["ip"].append(m.span())
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:

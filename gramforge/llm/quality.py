@@ -47,6 +47,8 @@ class Layout:
         again = np.zeros(total, bool)
         for d in range(1, LAGS + 1):
             skip = -(-d // STEP)
+            if skip >= total:
+                break
             before = four[skip * STEP - d :: STEP][: total - skip]
             again[skip:] |= (here[skip:] == before) & (place[skip:] >= skip)
         self.again = (again & (here != 0)).astype(np.float32)
