@@ -3,8 +3,11 @@
 Every text's five-word shingles, labelled by how often they occurred before, are hashed SKETCHES times; each time the
 PICKS least labels, in text order, are one bucket key. Equal texts are first folded to one vertex. Within a bucket the
 vertices of different classes are compared by representatives (a star and a chain of neighbours by length), classes are
-joined, and this repeats with other representatives till two rounds find no link, so that no bucket is ever paired out.
-Only pairs that share AGREE keys are aligned: at the threshold itself one in about 7000 shares fewer.
+joined, and this repeats with other representatives. These rounds only join most of each class cheaply; they leave out
+pairs that share fewer than AGREE keys and end after MOST_ROUNDS. What they leave is settled without loss: distinct
+shingles have one order for all texts (common ones last), and two texts at the threshold share a shingle within the
+first n - ceil(threshold * n) + 1 of each. Every pair of texts of different classes that meets in such a prefix is
+compared, as rows of pairs where a bucket holds few of them and by blocks of its texts where it holds many.
 A pair is a link if an alignment of the two orders of distinct shingles matches M of them with M / (n1 + n2 - M) of at
 least 0.8; a match further off the diagonal than such an alignment can have gaps is out of its band.
 """
@@ -16,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +38,14 @@ CHAIN_WIDTH = 4
 ORDERS_HELD = 1 << 20
 SIG_BITS = 0x7FFFFFFF
 DRAWS = 4
+#: The exact way: the first pass takes the first FIRST_PLACES shingles of each prefix, the second all of them. A bucket of
+#: more than PAIR_ROWS pairs of different classes is compared by blocks of about BLOCK_TEXTS texts.
+FIRST_PLACES = 3
+PAIR_ROWS = 4096
+BLOCK_TEXTS = 256
+BLOCK_COLUMNS = 4096
+#: Shingles met COMMON_LEAST times in one of COMMON_EVERY texts come last in the order; which they are changes no result.
+COMMON_EVERY, COMMON_LEAST, COMMON_MOST = 8, 4, 100_000
 _random = np.random.Generator(np.random.PCG64(11))
 MULTIPLIERS = _random.integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDER_FACTORS = _random.integers(1, 1 << 63, size=PICKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,6 +154,162 @@ def aligned_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np
     return score if score >= least else 0.0
 
 
+def prefix_size(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """How many of n ordered shingles must be looked at to meet any set of at least this similarity."""
+    return np.maximum(n - np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64) + 1, 0)
+
+
+def ordered_prefixes(shingles: np.ndarray, bounds: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes of some texts end to end, the bounds of each, and the distinct shingles of each text."""
+    texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    last = np.zeros(len(shingles), np.uint64)
+    if len(common):
+        last = (common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles).astype(np.uint64)
+    order = np.lexsort((shingles, last, texts))
+    made, owner = shingles[order], texts[order]
+    new = np.ones(len(made), bool)
+    new[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
+    made, owner = made[new], owner[new]
+    n = np.bincount(owner, minlength=len(bounds) - 1)
+    place = np.arange(len(made)) - np.repeat(np.cumsum(n) - n, n)
+    sizes = np.minimum(prefix_size(n, similarity), n)
+    return made[place < sizes[owner]], np.concatenate([[0], np.cumsum(sizes)]), n
+
+
+def _shingled(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the texts of a batch with `words`, and the bounds of each text's."""
+    column = piece.column("words")
+    sizes = np.array(pc.binary_length(column).to_numpy(zero_copy_only=False), np.int64) // 4
+    words = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.uint64)
+    return shingle_hashes(mix64(words), np.concatenate([[0], np.cumsum(sizes)]), SHINGLE)
+
+
+def _common_shingles(sk: DataFrame) -> np.ndarray:
+    """Shingles, ascending, that many of a part of the texts hold: the COMMON_MOST most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "words"):
+            shingles, bounds = _shingled(piece)
+            texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            order = np.lexsort((shingles, texts))
+            made, owner = shingles[order], texts[order]
+            new = np.ones(len(made), bool)
+            new[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
+            made, times = np.unique(made[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+    counted = sk.filter(F.pmod(F.xxhash64("v"), F.lit(COMMON_EVERY)) == 0).select("words").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    got = counted.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toArrow()
+    return np.sort(got.column("h").to_numpy().view(np.uint64))
+
+
+def _prefixes(sk: DataFrame, vertices: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, prefix) of the vertices with shingles."""
+    held = sk.sparkSession.sparkContext.broadcast(_common_shingles(sk))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "words"):
+            shingles, bounds = _shingled(piece)
+            made, ends, n = ordered_prefixes(shingles, bounds, held.value, similarity)
+            yield pa.RecordBatch.from_arrays([piece.column("rid"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(made.view(np.int64)))], names=["id", "n", "prefix"])
+
+    return sk.filter("n > 0").select("rid", "words").mapInArrow(run, "id long, n int, prefix array<long>").join(vertices.select("id"), "id")
+
+
+def _linked(ids: list[int], classes: list[int], blocks: list[int], orders: list[tuple], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between texts of different classes, and of different blocks if there are two, as far as one joins classes
+    that these links have not joined. Shared shingles of all pairs are counted at once, those that reach the threshold are aligned."""
+    n = np.array([len(o[0]) for o in orders])
+    _, column, times = np.unique(np.concatenate([o[0] for o in orders]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(n)), n)
+    used = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    owner, column = owner[used], number[column[used]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(n), len(n)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+        lo, hi = np.searchsorted(column, [begin, begin + BLOCK_COLUMNS])
+        holds = np.zeros((len(n), BLOCK_COLUMNS), np.float32)
+        holds[owner[lo:hi], column[lo:hi] - begin] = 1
+        shared += holds @ holds.T
+    c, b = np.array(classes), np.array(blocks)
+    enough = (shared >= similarity / (1 + similarity) * (n[:, None] + n) - 1e-6) & (c[:, None] != c)
+    if b.min() != b.max():
+        enough &= b[:, None] != b
+    joined = {x: x for x in classes}
+
+    def top(x: int) -> int:
+        while joined[x] != x:
+            joined[x] = x = joined[joined[x]]
+        return x
+
+    for i, j in np.argwhere(np.triu(enough, 1)).tolist():
+        x, y = top(classes[i]), top(classes[j])
+        if x != y and aligned_similarity(orders[i], orders[j], similarity) >= similarity:
+            joined[x] = y
+            yield min(ids[i], ids[j]), max(ids[i], ids[j])
+
+
+def _block_links(large: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links within buckets (key, id, c, rows), each cut into blocks of texts; any two blocks meet once."""
+    blocks = F.ceil(F.col("rows") / BLOCK_TEXTS)
+    own = large.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = own.select("key", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "id", "c", "block").join(words, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, group, at = Orders(), [], None
+
+        def links() -> pa.RecordBatch:
+            got = list(_linked(*map(list, zip(*group, strict=True)), similarity)) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(x).to_pylist() for x in ("key", "lo", "hi", "id", "c", "block")]
+            for key, lo, hi, i, c, block, body in zip(*columns, batch.column("words"), strict=True):
+                if (key, lo, hi) != at:
+                    if group:
+                        yield links()
+                    group, at = [], (key, lo, hi)
+                group.append((i, c, block, orders.of(i, body.as_buffer())))
+        if group:
+            yield links()
+
+    cols = ["key", "lo", "hi"]
+    return met.repartition(*cols).sortWithinPartitions(*cols).select(*cols, "id", "c", "block", "words").mapInArrow(run, "a long, b long").distinct()
+
+
+def _settled(sk: DataFrame, vertices: DataFrame, classes: DataFrame | None, links: DataFrame | None, tried: DataFrame | None, similarity: float, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """Classes and links with those of all pairs of different classes whose prefixes meet: none at the threshold is left."""
+    prefixes = scratch.keep(_prefixes(sk, vertices, similarity), "prefixes")
+    for first in (True, False):
+        own = prefixes.withColumn("c", F.col("id")) if classes is None else prefixes.join(classes.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        own = own.select("id", "n", "c", F.posexplode(F.slice("prefix", 1, FIRST_PLACES) if first else F.col("prefix")).alias("place", "key"))
+        several = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+        members = scratch.keep(own.join(several, "key"), "meeting")
+        each = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+        sizes = each.groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("square")).select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("square")) / 2).alias("pairs"))
+        members = scratch.keep(members.join(sizes, "key"), "sized")
+        words = scratch.keep(sk.select(F.col("rid").alias("id"), "words").join(members.select("id").distinct(), "id"), "bodies")
+        few = members.filter(F.col("pairs") <= PAIR_ROWS)
+        side = lambda x: few.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("place").alias(f"p{x}"))
+        # a pair has to pass where its first common shingle stands: after it each has only so many left
+        alike = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
+        left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
+        pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike & left).select("a", "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        checked = scratch.keep(_verify(pairs, words, similarity), "checked")
+        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
+        blocks = _block_links(members.filter(F.col("pairs") > PAIR_ROWS), words, similarity)
+        found = scratch.keep(checked.filter(F.col("score") >= similarity).select("a", "b").union(blocks).distinct(), "found")
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
+        classes = components(found, scratch) if classes is None else _merged(classes, found, scratch)
+    return classes, links
+
+
 class Orders:
     """Shingle orders of the texts met last: a text stands in many pairs. Held up to ORDERS_HELD shingles, then anew."""
 
@@ -184,7 +352,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     vertices = scratch.keep(first.join(sk.select("rid", "n", "keys"), "rid").select(F.col("rid").alias("id"), "v", "k", "n", "keys"), "vertices")
     members = vertices.select("id", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    # a pair that shares AGREE keys has both its vertices in as many buckets; a vertex has at most SKETCHES keys
+    # the rounds take vertices in AGREE buckets only; the others are settled after them
     enough = members.join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("in")).filter(F.size("in") >= AGREE)
     sig = F.transform("keys", lambda k: k.bitwiseAND(F.lit(SIG_BITS)).cast("int"))
     members = scratch.keep(enough.join(vertices.select("id", "n", sig.alias("sig")), "id").select("id", "n", "sig", F.explode("in").alias("key")), "buckets")
@@ -212,6 +380,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         idle = 0
         links = found if links is None else links.union(found)
         classes = components(found, scratch) if classes is None else _merged(classes, found, scratch)
+    classes, links = _settled(sk, vertices, classes, links, tried, similarity, scratch)
     if links is None:
         labelled = vertices.select("v", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     else:

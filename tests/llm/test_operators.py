@@ -176,6 +176,43 @@ def test_near_duplicates(spark, docs, odd):
     assert neardup.near_classes(odd.limit(0)).count() == 0
 
 
+def _one_class(spark, texts, **over):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return len({r.class_id for r in neardup.near_classes(frame, **over).collect()})
+
+
+def test_near_duplicates_star(spark):
+    # each copy is near the original only, which stands in the middle of the ids
+    rng = np.random.default_rng(3)
+    base, made = [f"w{i}" for i in range(600)], []
+    for _ in range(1000):
+        copy = list(base)
+        for at in rng.choice(600, 10, replace=False):
+            copy[at] = f"e{rng.integers(1 << 40)}"
+        made.append(" ".join(copy))
+    made.insert(500, " ".join(base))
+    sets = [_shingles(t) for t in made]
+    assert all(len(s & sets[500]) >= 0.8 * len(s | sets[500]) for s in sets)
+    assert _one_class(spark, made) == 1
+
+
+def test_near_duplicates_blocks():
+    rng = np.random.default_rng(4)
+    base = [np.arange(60, dtype="<u4") + np.uint32(1000 * g) for g in range(4)]
+    made = [b.copy() for b in base for _ in range(5)]
+    for m in made:
+        m[rng.integers(60)] = rng.integers(1 << 30)
+    orders = [neardup.shingle_order(m) for m in made]
+    near = lambda i, j: neardup.aligned_similarity(orders[i], orders[j]) >= 0.8
+    top = {i: {i} for i in range(20)}
+    for i, j in neardup._linked(list(range(20)), list(range(20)), [0] * 20, orders, 0.8):
+        assert near(i, j) and i not in top[j]
+        both = top[i] | top[j]
+        top.update(dict.fromkeys(both, both))
+    assert all(j in top[i] for i in range(20) for j in range(i) if near(i, j))
+    assert all(i % 2 != j % 2 for i, j in neardup._linked(list(range(20)), list(range(20)), [0, 1] * 10, orders, 0.8))
+
+
 def test_decontamination(spark, docs, odd):
     item = "the quick brown fox jumps over a lazy dog while seven small boats sail slowly past the old harbour wall"
     words = item.split()
