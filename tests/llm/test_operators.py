@@ -83,6 +83,22 @@ def test_mixing(spark, docs, odd):
     assert {r.mixed for r in mixing.mix(odd, {"a": 1.0}).filter("source = 'b'").collect()} == {False}
 
 
+def test_mixing_follows_target_weights(spark):
+    # one source of a third of the rows, 19 of the rest: at most a block off the exact weight at any slot
+    frame = spark.range(57_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), (F.col("id") % 19).cast("string"))).alias("source"))
+    rows = mixing.mix(frame, block_rows=2).filter("mixed").select("source", "mix_slot").distinct().collect()
+    counts = {r.source: r["count"] for r in frame.groupBy("source").count().collect()}
+    target = mixing.tempered(counts, 0.7)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.source].append(r.mix_slot)
+    assert max(map(max, slots.values())) > 10_000
+    for source, own in slots.items():
+        weight = target[source] / sum(target.values())
+        for k, slot in enumerate(sorted(own)):
+            assert abs(k - weight * slot) < 1.001 and abs(k + 1 - weight * (slot + 1)) < 1.001
+
+
 def _secret_base(t):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
