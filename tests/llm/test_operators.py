@@ -212,6 +212,15 @@ def test_near_duplicates_star(spark):
     assert _one_class(spark, made) == 1
 
 
+def test_near_duplicates_repeated_paragraphs(spark):
+    made = []
+    for g in range(20):
+        text = [f"w{g}x{i}" for i in range(100)]
+        made += [" ".join(text), " ".join(text + text[:20] * 5)]
+        assert len(_shingles(made[-1]) & _shingles(made[-2])) >= 0.8 * len(_shingles(made[-1]) | _shingles(made[-2]))
+    assert _one_class(spark, made) == 20
+
+
 def test_near_duplicates_blocks():
     rng = np.random.default_rng(4)
     base = [np.arange(60, dtype="<u4") + np.uint32(1000 * g) for g in range(4)]
