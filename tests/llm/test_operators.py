@@ -221,6 +221,12 @@ def test_near_duplicates_repeated_paragraphs(spark):
     assert _one_class(spark, made) == 20
 
 
+def test_near_duplicates_short(spark):
+    # four of five shingles: exactly at the threshold
+    made = [" ".join(f"w{g}x{i}" for i in range(n)) for g in range(2000) for n in (8, 9)]
+    assert _one_class(spark, made) == 2000
+
+
 def test_near_duplicates_blocks():
     rng = np.random.default_rng(4)
     base = [np.arange(60, dtype="<u4") + np.uint32(1000 * g) for g in range(4)]
