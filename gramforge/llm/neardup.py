@@ -1,13 +1,16 @@
 """Near duplicates by order MinHash with banded alignment.
 
 Every text's five-word shingles, labelled by how often they occurred before, are hashed SKETCHES times; each time the
-PICKS least labels, in text order, are one bucket key. Equal texts are first folded to one vertex. Within a bucket the
-vertices of different classes are compared by representatives (a star and a chain of neighbours by length), classes are
-joined, and this repeats with other representatives. These rounds only join most of each class cheaply; they leave out
-pairs that share fewer than AGREE keys and end after MOST_ROUNDS. What they leave is settled without loss: distinct
-shingles have one order for all texts (common ones last), and two texts at the threshold share a shingle within the
-first n - ceil(threshold * n) + 1 of each. Every pair of texts of different classes that meets in such a prefix is
-compared, as rows of pairs where a bucket holds few of them and by blocks of its texts where it holds many.
+PICKS least labels, in text order, are one bucket key (texts that repeat shingles get such keys of their first
+occurrences as well, since links are defined on distinct shingles). Equal texts are folded to one vertex. In each
+bucket all texts are aligned with the one that has the most company in its buckets, which is the middle of a star of
+copies; links join classes.
+
+What one text a bucket leaves open, or what shares no key by chance, is then settled without loss: distinct shingles have
+one order for all texts (common ones last), and two texts at the threshold share a shingle within the first
+n - ceil(threshold * n) + 1 of each. Every pair of texts of different classes that meets in such a prefix is compared, as
+rows of pairs where a shingle's texts make few of them and by blocks of its texts where they make many.
+
 A pair is a link if an alignment of the two orders of distinct shingles matches M of them with M / (n1 + n2 - M) of at
 least 0.8; a match further off the diagonal than such an alignment can have gaps is out of its band.
 """
@@ -19,8 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramforge.llm.bytescan import Words, mix64, shingle_hashes, slices
@@ -31,41 +33,53 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 PICKS = 3
-AGREE = 3
-MOST_ROUNDS = 4
-CHAIN_ROWS = 512
-CHAIN_WIDTH = 4
+#: About so many labels of a text lie under the limit within which a sketch looks for its least ones first.
+DRAWN = 16
 ORDERS_HELD = 1 << 20
-SIG_BITS = 0x7FFFFFFF
-DRAWS = 4
-#: The exact way: the first pass takes the first FIRST_PLACES shingles of each prefix, the second all of them. A bucket of
-#: more than PAIR_ROWS pairs of different classes is compared by blocks of about BLOCK_TEXTS texts.
-FIRST_PLACES = 3
+#: A shingle whose texts make more than PAIR_ROWS pairs of different classes is compared by blocks of about BLOCK_TEXTS.
 PAIR_ROWS = 4096
 BLOCK_TEXTS = 256
 BLOCK_COLUMNS = 4096
-#: Shingles met COMMON_LEAST times in one of COMMON_EVERY texts come last in the order; which they are changes no result.
-COMMON_EVERY, COMMON_LEAST, COMMON_MOST = 8, 4, 100_000
+#: Ids (8 bytes each) that are broadcast at most.
+MOST_SENT = 1 << 20
+#: Shingles met COMMON_LEAST times in one of COMMON_EVERY rows come last in the order; which they are changes no result.
+COMMON_EVERY, COMMON_LEAST, COMMON_MOST = 16, 3, 100_000
+#: Bits of a shingle that order it, and of the fixed-size filter of the shingles in which classes meet.
+CODE_BITS, FILTER_BITS = 43, 1 << 25
 _random = np.random.Generator(np.random.PCG64(11))
 MULTIPLIERS = _random.integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ORDER_FACTORS = _random.integers(1, 1 << 63, size=PICKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OCCURRENCE = np.uint64(0x9E3779B97F4A7C15)
-EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among some ascending values."""
+    out = np.zeros(len(x), bool)
+    if not len(sorted_values) or not len(x):
+        return out
+    # a table of their low bits leaves few of x to search for
+    mask = x.dtype.type((1 << 22) - 1)
+    table = np.zeros(1 << 22, bool)
+    table[sorted_values & mask] = True
+    at = np.flatnonzero(table[x & mask])
+    out[at] = sorted_values[np.minimum(np.searchsorted(sorted_values, x[at]), len(sorted_values) - 1)] == x[at]
+    return out
 
 
 def occurrence_labels(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes with their occurrence number in the text mixed in; distinct shingles of each text."""
+    """Shingle hashes with their occurrence number in the text mixed in, and which are first occurrences."""
     texts = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
     key = mix64(shingles + texts * OCCURRENCE)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    first = np.ones(len(key), bool)
-    first[1:] = ranked[1:] != ranked[:-1]
-    run = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-    seen = np.empty(len(key), np.uint64)
-    seen[order] = (np.arange(len(key)) - run).astype(np.uint64)
-    distinct = np.bincount(texts[seen == 0].astype(np.int64), minlength=len(bounds) - 1)
-    return mix64(shingles + seen * OCCURRENCE), distinct
+    ranked = np.sort(key)
+    again = np.flatnonzero(_within(np.unique(ranked[1:][ranked[1:] == ranked[:-1]]), key))
+    seen = np.zeros(len(key), np.uint64)
+    order = np.argsort(key[again], kind="stable")
+    repeated = key[again][order]
+    first = np.ones(len(again), bool)
+    first[1:] = repeated[1:] != repeated[:-1]
+    place = np.arange(len(again))
+    seen[again[order]] = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+    return mix64(shingles + seen * OCCURRENCE), seen == 0
 
 
 def order_sketches(labels: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -75,44 +89,106 @@ def order_sketches(labels: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(counts), SKETCHES), np.uint64)
     if not len(used):
         return keys
-    starts, sizes = bounds[:-1][used], counts[used]
+    sizes = counts[used]
+    starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(used)), sizes)
+    most = np.iinfo(np.uint64).max
+    limits = np.where(sizes <= DRAWN, most, (np.minimum(DRAWN / sizes, 0.999) * 2.0**64).astype(np.uint64))[owner]
+    need = np.minimum(sizes, PICKS)
     for j in range(SKETCHES):
         v = labels * MULTIPLIERS[j]
-        v[v == EMPTY] = EMPTY - np.uint64(1)
+        at = np.flatnonzero(v <= limits)
+        few = np.flatnonzero(np.bincount(owner[at], minlength=len(used)) < need)
+        if len(few):  # their least labels lie above the limit: all are looked at
+            at = np.concatenate([at[~_within(few, owner[at])], *(np.arange(starts[i], starts[i] + sizes[i]) for i in few)])
+        at = at[np.lexsort((v[at], owner[at]))]
+        own = owner[at]
+        rank = np.arange(len(at)) - np.searchsorted(own, np.arange(len(used)))[own]
+        least = rank < PICKS
         places = np.full((len(used), PICKS), len(labels), np.int64)
-        for r in range(PICKS):
-            low = np.minimum.reduceat(v, starts)
-            at = np.flatnonzero((v == low[owner]) & (v != EMPTY))
-            places[owner[at], r] = at
-            v[at] = EMPTY
+        places[own[least], rank[least]] = at[least]
         places.sort(axis=1)
         picked = np.where(places < len(labels), labels[np.minimum(places, len(labels) - 1)], np.uint64(0))
         keys[used, j] = mix64((picked * ORDER_FACTORS).sum(axis=1, dtype=np.uint64) + np.uint64(j))
     return keys
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k (id, null: least), v (128-bit digest of the text), n (distinct shingles), keys, words (32-bit word hashes)."""
+def prefix_size(n: np.ndarray | int, similarity: float) -> np.ndarray:
+    """How many of n ordered shingles must be looked at to meet any set of at least this similarity."""
+    return np.maximum(n - np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64) + 1, 0)
+
+
+def ordered_prefixes(shingles: np.ndarray, bounds: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes of some texts end to end (codes of CODE_BITS, common ones with a bit above), the bounds of each, and
+    the distinct codes of each text."""
+    texts = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
+    code = (shingles >> np.uint64(64 - CODE_BITS)) | (_within(common, shingles).astype(np.uint64) << np.uint64(CODE_BITS))
+    # a slice has far fewer than 2^20 texts
+    made = np.sort((texts << np.uint64(CODE_BITS + 1)) | code)
+    made = made[np.concatenate([np.ones(min(1, len(made)), bool), made[1:] != made[:-1]])]
+    owner = (made >> np.uint64(CODE_BITS + 1)).astype(np.int64)
+    n = np.bincount(owner, minlength=len(bounds) - 1)
+    place = np.arange(len(made)) - np.repeat(np.cumsum(n) - n, n)
+    sizes = np.minimum(prefix_size(n, similarity), n)
+    return made[place < sizes[owner]] & np.uint64((1 << (CODE_BITS + 1)) - 1), np.concatenate([[0], np.cumsum(sizes)]), n
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _shingles(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    words = Words(texts)
+    short = words.hash & np.uint64(0xFFFFFFFF)
+    return (words, short, *shingle_hashes(mix64(short), words.bounds, SHINGLE))
+
+
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles, ascending, that many of a part of the rows hold: the COMMON_MOST most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "t"):
+            _, _, shingles, bounds = _shingles(piece.column("t"))
+            _, first = occurrence_labels(shingles, bounds)
+            made, times = np.unique(shingles[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+    part = docs.select(F.col(text_col).cast("string").alias("t"), F.col(id_col).cast("long").alias("k")).filter(F.pmod(F.xxhash64("t", "k"), F.lit(COMMON_EVERY)) == 0)
+    counted = part.select("t").filter("t is not null").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    got = counted.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toArrow()
+    return np.sort(got.column("h").to_numpy().view(np.uint64))
+
+
+def sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """k (id, null: least), v (128-bit digest of the text), n (distinct shingles), keys, prefix, words (32-bit word hashes)."""
     ship_code(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "t"):
-            words = Words(piece.column("t"))
-            short = words.hash & np.uint64(0xFFFFFFFF)
-            shingles, bounds = shingle_hashes(mix64(short), words.bounds, SHINGLE)
-            labels, distinct = occurrence_labels(shingles, bounds)
+            words, short, shingles, bounds = _shingles(piece.column("t"))
+            labels, first = occurrence_labels(shingles, bounds)
+            upto = np.concatenate([[0], np.cumsum(first)])[bounds]
+            counts, distinct = np.diff(bounds), np.diff(upto)
             keys = order_sketches(labels, bounds)
-            rows = piece.num_rows
-            sizes = np.where(np.diff(bounds) > 0, SKETCHES, 0)
-            key_offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            key_lists = pa.ListArray.from_arrays(pa.array(key_offsets), pa.array(keys[sizes > 0].reshape(-1).view(np.int64)))
-            data = short.astype("<u4").tobytes()
-            bodies = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((words.bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([piece.column("k"), piece.column("v"), pa.array(distinct.astype(np.int32)), key_lists, bodies], names=["k", "v", "n", "keys", "words"])
+            again = np.flatnonzero(distinct < counts)
+            if len(again):
+                kept = first & np.repeat(distinct < counts, counts)
+                more = order_sketches(labels[kept], np.concatenate([[0], np.cumsum(distinct[again])]))
+                keys = np.insert(keys, again + 1, more, axis=0)
+            times = np.where(distinct < counts, 2, 1)
+            sizes = np.where(counts > 0, times * SKETCHES, 0)
+            key_lists = _lists(sizes, keys[np.repeat(counts > 0, times)].reshape(-1))
+            prefix, ends, n = ordered_prefixes(shingles, bounds, held.value, similarity)
+            bodies = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer((words.bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(short.astype("<u4").tobytes())])
+            yield pa.RecordBatch.from_arrays([piece.column("k"), piece.column("v"), pa.array(n.astype(np.int32)), key_lists, _lists(np.diff(ends), prefix), bodies], names=["k", "v", "n", "keys", "prefix", "words"])
+
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("k"), _digest(text_col).alias("v"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
+    return rows.mapInArrow(run, "k long, v binary, n int, keys array<long>, prefix array<long>, words binary")
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("k"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("v"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
-    return rows.mapInArrow(run, "k long, v binary, n int, keys array<long>, words binary")
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
 
 def shingle_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,68 +230,6 @@ def aligned_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np
     return score if score >= least else 0.0
 
 
-def prefix_size(n: np.ndarray | int, similarity: float) -> np.ndarray:
-    """How many of n ordered shingles must be looked at to meet any set of at least this similarity."""
-    return np.maximum(n - np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64) + 1, 0)
-
-
-def ordered_prefixes(shingles: np.ndarray, bounds: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prefixes of some texts end to end, the bounds of each, and the distinct shingles of each text."""
-    texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    last = np.zeros(len(shingles), np.uint64)
-    if len(common):
-        last = (common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles).astype(np.uint64)
-    order = np.lexsort((shingles, last, texts))
-    made, owner = shingles[order], texts[order]
-    new = np.ones(len(made), bool)
-    new[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
-    made, owner = made[new], owner[new]
-    n = np.bincount(owner, minlength=len(bounds) - 1)
-    place = np.arange(len(made)) - np.repeat(np.cumsum(n) - n, n)
-    sizes = np.minimum(prefix_size(n, similarity), n)
-    return made[place < sizes[owner]], np.concatenate([[0], np.cumsum(sizes)]), n
-
-
-def _shingled(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of the texts of a batch with `words`, and the bounds of each text's."""
-    column = piece.column("words")
-    sizes = np.array(pc.binary_length(column).to_numpy(zero_copy_only=False), np.int64) // 4
-    words = np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.uint64)
-    return shingle_hashes(mix64(words), np.concatenate([[0], np.cumsum(sizes)]), SHINGLE)
-
-
-def _common_shingles(sk: DataFrame) -> np.ndarray:
-    """Shingles, ascending, that many of a part of the texts hold: the COMMON_MOST most frequent ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "words"):
-            shingles, bounds = _shingled(piece)
-            texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            order = np.lexsort((shingles, texts))
-            made, owner = shingles[order], texts[order]
-            new = np.ones(len(made), bool)
-            new[1:] = (made[1:] != made[:-1]) | (owner[1:] != owner[:-1])
-            made, times = np.unique(made[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), pa.array(times)], names=["h", "n"])
-
-    counted = sk.filter(F.pmod(F.xxhash64("v"), F.lit(COMMON_EVERY)) == 0).select("words").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    got = counted.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toArrow()
-    return np.sort(got.column("h").to_numpy().view(np.uint64))
-
-
-def _prefixes(sk: DataFrame, vertices: DataFrame, similarity: float) -> DataFrame:
-    """(id, n, prefix) of the vertices with shingles."""
-    held = sk.sparkSession.sparkContext.broadcast(_common_shingles(sk))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "words"):
-            shingles, bounds = _shingled(piece)
-            made, ends, n = ordered_prefixes(shingles, bounds, held.value, similarity)
-            yield pa.RecordBatch.from_arrays([piece.column("rid"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(made.view(np.int64)))], names=["id", "n", "prefix"])
-
-    return sk.filter("n > 0").select("rid", "words").mapInArrow(run, "id long, n int, prefix array<long>").join(vertices.select("id"), "id")
-
-
 def _linked(ids: list[int], classes: list[int], blocks: list[int], orders: list[tuple], similarity: float) -> Iterator[tuple[int, int]]:
     """Links between texts of different classes, and of different blocks if there are two, as far as one joins classes
     that these links have not joined. Shared shingles of all pairs are counted at once, those that reach the threshold are aligned."""
@@ -279,37 +293,6 @@ def _block_links(large: DataFrame, words: DataFrame, similarity: float) -> DataF
     return met.repartition(*cols).sortWithinPartitions(*cols).select(*cols, "id", "c", "block", "words").mapInArrow(run, "a long, b long").distinct()
 
 
-def _settled(sk: DataFrame, vertices: DataFrame, classes: DataFrame | None, links: DataFrame | None, tried: DataFrame | None, similarity: float, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
-    """Classes and links with those of all pairs of different classes whose prefixes meet: none at the threshold is left."""
-    prefixes = scratch.keep(_prefixes(sk, vertices, similarity), "prefixes")
-    for first in (True, False):
-        own = prefixes.withColumn("c", F.col("id")) if classes is None else prefixes.join(classes.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        own = own.select("id", "n", "c", F.posexplode(F.slice("prefix", 1, FIRST_PLACES) if first else F.col("prefix")).alias("place", "key"))
-        several = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        members = scratch.keep(own.join(several, "key"), "meeting")
-        each = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        sizes = each.groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("square")).select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("square")) / 2).alias("pairs"))
-        members = scratch.keep(members.join(sizes, "key"), "sized")
-        words = scratch.keep(sk.select(F.col("rid").alias("id"), "words").join(members.select("id").distinct(), "id"), "bodies")
-        few = members.filter(F.col("pairs") <= PAIR_ROWS)
-        side = lambda x: few.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("place").alias(f"p{x}"))
-        # a pair has to pass where its first common shingle stands: after it each has only so many left
-        alike = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
-        left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
-        pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike & left).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = scratch.keep(_verify(pairs, words, similarity), "checked")
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
-        blocks = _block_links(members.filter(F.col("pairs") > PAIR_ROWS), words, similarity)
-        found = scratch.keep(checked.filter(F.col("score") >= similarity).select("a", "b").union(blocks).distinct(), "found")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        classes = components(found, scratch) if classes is None else _merged(classes, found, scratch)
-    return classes, links
-
-
 class Orders:
     """Shingle orders of the texts met last: a text stands in many pairs. Held up to ORDERS_HELD shingles, then anew."""
 
@@ -326,6 +309,12 @@ class Orders:
         return self.held[vertex]
 
 
+def _bodies(sk: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, words) of the given vertices; the texts' words pass a shuffle only if there are too many ids to send around."""
+    ids = scratch.keep(ids.distinct(), "ids")
+    return scratch.keep(sk.select(F.col("rid").alias("id"), "words").join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id"), "bodies")
+
+
 def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """(a, b, score) of the pairs."""
     body = lambda x: words.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
@@ -339,121 +328,114 @@ def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(body("a"), "a").join(body("b"), "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, score double")
 
 
+def _hub_pairs(sk: DataFrame, vertices: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): each text of a bucket with the bucket's text that has the most company in its buckets."""
+    members = sk.select(F.col("rid").alias("id"), "n", "keys").join(vertices.select("id"), "id").select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = scratch.keep(members.join(shared, "key"), "buckets")
+    company = met.groupBy("id").agg(F.sum("size").alias("company"))
+    met = scratch.keep(met.join(company, "id"), "weighed")
+    hubs = met.groupBy("key").agg(F.max(F.struct("company", "id", "n")).alias("h"))
+    alike = F.least("n", "h.n") >= F.lit(similarity - 1e-9) * F.greatest("n", "h.n")
+    return met.join(hubs, "key").filter((F.col("id") != F.col("h.id")) & alike).select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+
+
+def _held_bits(keys: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits, whatever the number of keys: rows without their bit are in no key."""
+    place = F.pmod("key", F.lit(FILTER_BITS)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for part, bits in parts:
+        out[(part - 1) * 4096 : (part - 1) * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _meeting(sk: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, c, n, place): the prefix entries in whose shingle texts of several classes meet."""
+    own = sk.filter("n > 0").select(F.col("rid").alias("id"), "n", "prefix").join(labelled.select("id", "c"), "id")
+    several = scratch.keep(own.select("c", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), "several")
+    held = sk.sparkSession.sparkContext.broadcast(_held_bits(several))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            keys = prefix.flatten().to_numpy()
+            sizes = np.diff(prefix.offsets.to_numpy())
+            bit = keys % FILTER_BITS
+            at = np.flatnonzero((held.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[at]
+            taken = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), *(batch.column(c).take(taken) for c in ("id", "c", "n")), pa.array(place.astype(np.int32))], names=["key", "id", "c", "n", "place"])
+
+    return scratch.keep(own.select("id", "c", "n", "prefix").mapInArrow(run, "key long, id long, c long, n int, place int").join(several, "key"), "meeting")
+
+
+def _settled(sk: DataFrame, labelled: DataFrame, tried: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): links that join all classes (id, c) with a link between them that is not among the tried pairs."""
+    members = _meeting(sk, labelled, scratch)
+    each = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    sizes = each.groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("square")).select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("square")) / 2).alias("pairs"))
+    members = scratch.keep(members.join(sizes, "key"), "sized")
+    few, many = members.filter(F.col("pairs") <= PAIR_ROWS), members.filter(F.col("pairs") > PAIR_ROWS)
+    side = lambda x: few.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("place").alias(f"p{x}"))
+    # a pair has to pass where its first common shingle stands: after it each has only so many left
+    alike = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
+    pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike & left).select("a", "b").distinct()
+    pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    words = _bodies(sk, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")), scratch)
+    found = _verify(pairs, words, similarity).filter(F.col("score") >= similarity).select("a", "b")
+    return scratch.keep(found.union(_block_links(many, words, similarity)).distinct(), "found")
+
+
+def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows with a text (k, v, rid ...), and (id, v, k, c): the class c of every distinct text v."""
+    sk = scratch.keep(sketched(docs, id_col, text_col, similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    first = sk.groupBy("v").agg(F.min(F.struct("k", "rid")).alias("m"))
+    vertices = scratch.keep(first.select(F.col("m.rid").alias("id"), "v", F.col("m.k").alias("k")), "vertices")
+    pairs = scratch.keep(_hub_pairs(sk, vertices, similarity, scratch), "hub-pairs")
+    words = _bodies(sk, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), scratch)
+    checked = scratch.keep(_verify(pairs, words, similarity), "checked")
+    classes = components(checked.filter(F.col("score") >= similarity).select("a", "b"), scratch)
+    labelled = scratch.keep(vertices.join(classes.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")), "labelled")
+    found = _settled(sk, labelled, checked.select("a", "b"), similarity, scratch)
+    of = lambda x: labelled.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
+    between = scratch.keep(found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "between")
+    moved = components(between, scratch).select(F.col("v").alias("c"), F.col("c").alias("to"))
+    return sk, scratch.keep(labelled.join(moved, "c", "left").select("id", "v", "k", F.coalesce("to", "c").alias("c")), "classes")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: the id, class_id (least id of the class), n_links (verified links of its text), keep.
+    """One row for each row of docs: the id, class_id (least id of the class) and keep.
 
     keep is true for the rows of a class's least id. Empty texts are equal texts. Null texts are compared with nothing:
     each is a class of its own under its own id. Texts without words are compared as wholes only. Ids that are null
-    count as the least id.
+    count as the least id. Where an id stands for several texts, classes can share a class_id.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    sk = scratch.keep(sketched(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "sketches")
-    first = sk.groupBy("v").agg(F.min(F.struct("k", "rid")).alias("m")).select("v", "m.k", "m.rid")
-    vertices = scratch.keep(first.join(sk.select("rid", "n", "keys"), "rid").select(F.col("rid").alias("id"), "v", "k", "n", "keys"), "vertices")
-    members = vertices.select("id", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    # the rounds take vertices in AGREE buckets only; the others are settled after them
-    enough = members.join(shared, "key").groupBy("id").agg(F.collect_list("key").alias("in")).filter(F.size("in") >= AGREE)
-    sig = F.transform("keys", lambda k: k.bitwiseAND(F.lit(SIG_BITS)).cast("int"))
-    members = scratch.keep(enough.join(vertices.select("id", "n", sig.alias("sig")), "id").select("id", "n", "sig", F.explode("in").alias("key")), "buckets")
-    words = scratch.keep(sk.select(F.col("rid").alias("id"), "words").join(members.select("id").distinct(), "id"), "words")
-    classes, met, tried, links, idle = None, None, None, None, 0
-    for turn in range(MOST_ROUNDS):
-        own = members.withColumn("c", F.col("id")) if classes is None else members.join(classes.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        partners = _round_partners(own, turn, similarity)
-        if met is not None:
-            partners = partners.join(met, "x", "left").select("x", F.array_except("ys", F.coalesce("old", F.array().cast("array<long>"))).alias("ys"))
-        partners = scratch.keep(partners.filter(F.size("ys") > 0), "partners")
-        lists = partners if turn == 0 else lists.union(partners)
-        met = lists.groupBy("x").agg(F.flatten(F.collect_list("ys")).alias("old"))
-        pairs = partners.select("x", F.explode("ys").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = scratch.keep(_verify(pairs, words, similarity), "checked")
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
-        found = checked.filter(F.col("score") >= similarity).select("a", "b")
-        if found.isEmpty():
-            idle += 1
-            if idle == 2:
-                break
-            continue
-        idle = 0
-        links = found if links is None else links.union(found)
-        classes = components(found, scratch) if classes is None else _merged(classes, found, scratch)
-    classes, links = _settled(sk, vertices, classes, links, tried, similarity, scratch)
-    if links is None:
-        labelled = vertices.select("v", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        of = classes.withColumnRenamed("v", "id")
-        least = vertices.join(of, "id").groupBy("c").agg(F.min("k").alias("class_id"))
-        n = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
-        labelled = vertices.select("id", "v", "k").join(of.join(least, "c").select("id", "class_id"), "id", "left").join(n, "id", "left").select("v", F.coalesce("class_id", "k").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    with_text = sk.select("k", "v").join(labelled, "v").select("k", "class_id", "n_links")
+    sk, classes = text_classes(docs, id_col, text_col, similarity, scratch)
+    least = classes.groupBy("c").agg(F.min("k").alias("class_id"))
+    with_text = sk.select("k", "v").join(classes.join(least, "c").select("v", "class_id"), "v").select("k", "class_id", (F.col("k") == F.col("class_id")).alias("keep"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long"))
-    without = docs.filter(F.col(text_col).isNull()).select(key.alias("k")).select("k", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    without = docs.filter(F.col(text_col).isNull()).select(key.alias("k")).select("k", F.col("k").alias("class_id"), F.lit(True).alias("keep"))
     back = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
-    out = with_text.withColumn("keep", F.col("k") == F.col("class_id")).union(without.withColumn("keep", F.lit(True)))
-    out = stored(out.select(back("k").alias(id_col), back("class_id").alias("class_id"), "n_links", "keep"), "classes")
+    out = stored(with_text.union(without).select(back("k").alias(id_col), back("class_id").alias("class_id"), "keep"), "classes")
     scratch.remove()
     return out
 
 
-def _round_partners(own: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(x, ys): the partners of each vertex in one round. In the first, each vertex of a bucket meets the bucket's first vertex. Later, in buckets that
-    still hold several classes, each of some vertices meets the vertex of the bucket's first class and the next few by
-    length: all vertices in the second round, DRAWS vertices of each class drawn anew in others. Lengths that can't be
-    similar are left out, and so are pairs whose keys (sig holds bits of each) agree in fewer than AGREE: a bucket's rows
-    carry sig, so that a pair is made only if it is to be aligned. Partners are gathered by vertex before they become
-    rows, since a pair mostly meets in many buckets: at most SKETCHES * DRAWS * (CHAIN_WIDTH + 1) of them."""
-    if turn:
-        several = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        stand = own.join(several, "key").withColumn("s", F.lit(0))
-        if turn > 1:
-            drawn = stand.withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(DRAWS)])))
-            stand = drawn.groupBy("key", "s", "c").agg(F.min(F.struct(F.xxhash64("id", "key", "s", F.lit(turn)).alias("d"), "id", "n", "sig")).alias("m")).select("key", "s", "c", "m.id", "m.n", "m.sig")
-        first = F.xxhash64("c", "key", "s", F.lit(turn))
-    else:
-        stand = own.select("key", F.lit(0).alias("s"), "c", "id", "n", "sig")
-        first = F.lit(0)
-    hubs = stand.groupBy("key", "s").agg(F.min(F.struct(first.alias("d"), "c", "id", "n", "sig")).alias("h"), F.count(F.lit(1)).alias("size"))
-    met = stand.join(hubs, ["key", "s"])
-
-    def worth(o: Column) -> Column:
-        alike = F.least("n", o["n"]) >= F.lit(similarity - 1e-9) * F.greatest("n", o["n"])
-        return (F.col("c") != o["c"]) & alike & (F.size(F.array_intersect("sig", o["sig"])) >= AGREE)
-
-    hub = F.when(worth(F.col("h")), F.array("h.id")).otherwise(F.array().cast("array<long>"))
-    if turn:
-        salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHAIN_ROWS))
-        chain = Window.partitionBy("key", "s", "salt").orderBy("n", "id")
-        ahead = [F.lead(F.struct("id", "n", "c", "sig"), i).over(chain) for i in range(1, CHAIN_WIDTH + 1)]
-        met = met.withColumn("salt", salt).select("c", "id", "n", "sig", "h", F.array(*ahead).alias("ahead"))
-        near = F.transform(F.filter("ahead", lambda o: o.isNotNull() & worth(o)), lambda o: o["id"])
-        found = met.select(F.col("id").alias("x"), F.concat(hub, near).alias("ys"))
-    else:
-        found = met.select(F.col("id").alias("x"), hub.alias("ys"))
-    return found.filter(F.size("ys") > 0).groupBy("x").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
-
-
-def _merged(classes: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Classes (v, c) with those that a found pair links made one: only links between classes are gone through."""
-    of = lambda x: classes.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"))
-    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    new = components(scratch.keep(between.distinct(), "between"), scratch)
-    moved = classes.join(new.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
-    return scratch.keep(moved.union(new.join(classes.select("v"), "v", "left_anti")), "merged")
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class: the one of the least id. Rows without a text all stay.
-
-    Rows that repeat the least id of a class (in any columns) are folded to one; only those rows pass a second shuffle.
-    """
-    classes = near_classes(docs, id_col, text_col, similarity)
-    kept = stored(classes.filter("keep").groupBy(F.col(id_col).alias("__i")).agg(F.count(F.lit(1)).alias("__n")), "kept")
-    has_text = docs.filter(F.col(text_col).isNotNull())
-    # an id can name several texts: only texts of kept vertices stay, by id and then by the repeats' class
-    rows = has_text.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__i")))
-    single = rows.filter("__n = 1").select(*[has_text[c] for c in docs.columns])
-    repeated = rows.filter("__n > 1").select(*[has_text[c] for c in docs.columns]).dropDuplicates([id_col, text_col])
+    """docs with one row of each class: the one of the least id (of equal ids: of the least digest). Rows without a text
+    all stay. Rows that repeat that id and its text are folded to one of them."""
+    scratch = Scratch(docs.sparkSession, "unique")
+    sk, classes = text_classes(docs, id_col, text_col, similarity, scratch)
+    chosen = classes.groupBy("c").agg(F.min(F.struct("k", "v")).alias("m")).select("m.k", "m.v")
+    times = sk.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    kept = stored(chosen.join(times, ["k", "v"]).select(F.col("k").alias("__kept_k"), F.col("v").alias("__kept_v"), F.col("n").alias("__kept_n")), "kept")
+    scratch.remove()
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long"))
+    rows = docs.filter(F.col(text_col).isNotNull()).join(kept, (key == F.col("__kept_k")) & (_digest(text_col) == F.col("__kept_v")))
+    single = rows.filter("__kept_n = 1").select(*docs.columns)
+    repeated = rows.filter("__kept_n > 1").dropDuplicates(["__kept_k", "__kept_v"]).select(*docs.columns)
     return single.unionByName(repeated).unionByName(docs.filter(F.col(text_col).isNull()))

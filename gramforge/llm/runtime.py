@@ -56,7 +56,10 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
-        return stored(df, name, f"{self.root}/{self.n:03d}-{name}")
+        out = stored(df, name, f"{self.root}/{self.n:03d}-{name}")
+        # Spark's cleaner removes the shuffle files of what is written once the driver has collected its garbage
+        self.spark.sparkContext._jvm.System.gc()
+        return out
 
     def remove(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

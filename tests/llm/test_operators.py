@@ -227,6 +227,61 @@ def test_near_duplicates_short(spark):
     assert _one_class(spark, made) == 2000
 
 
+def _aligned(a, b):
+    """Brute force: the longest common subsequence of the first occurrences of two texts' shingles."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    order = {}
+    for i, t in texts.items():
+        w = re.findall("[a-z0-9\u0080-\U0010ffff]+", t.lower())
+        order[i] = list(dict.fromkeys(tuple(w[k : k + 5]) for k in range(max(1 if w else 0, len(w) - 4))))
+    by = collections.defaultdict(list)
+    for i, own in order.items():
+        for g in own:
+            by[g].append(i)
+    shared = collections.Counter((a, b) for own in by.values() for k, a in enumerate(own) for b in own[:k])
+    top = {i: i for i in texts}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    first = {}
+    for i, t in sorted(texts.items()):
+        top[find(i)] = find(first.setdefault(t, i))
+    links = 0
+    for (a, b), m in shared.items():
+        if m >= 0.8 * (len(order[a]) + len(order[b]) - m) and (texts[a] == texts[b] or _aligned(order[a], order[b]) >= 0.8):
+            top[find(a)] = find(b)
+            links += 1
+    want = collections.defaultdict(set)
+    for i in texts:
+        want[find(i)].add(i)
+    got = collections.defaultdict(set)
+    for r in neardup.near_classes(docs.repartition(7)).collect():
+        got[r.class_id].add(r.doc_id)
+    assert links > 30 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert all(c == min(own) for c, own in got.items())
+
+
+def test_near_duplicates_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (3, a), (3, b), (3, b), (4, b + " end"), (None, "x"), (None, "y"), (5, None), (5, None)]
+    kept = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, kept), key=key) == sorted([(1, a), (3, b), (None, "x"), (None, "y"), (5, None), (5, None)], key=key)
+
+
 def test_near_duplicates_blocks():
     rng = np.random.default_rng(4)
     base = [np.arange(60, dtype="<u4") + np.uint32(1000 * g) for g in range(4)]
