@@ -9,7 +9,7 @@ from gramforge.functions.layout import plain_padding
 from gramforge.operators import cells as C
 from gramforge.operators import eigen, grouped, layouts, tiled
 from gramforge.plans import topology
-from gramforge.plans.frame import REPLICATED, MatrixFrame, matrix
+from gramforge.plans.frame import REPLICATED, MatrixFrame, from_rows, matrix, to_rows
 from gramforge.sources import tables
 
 N, TILE, DIM, LABELS = 24, 7, 64, 10
@@ -278,8 +278,149 @@ def topology_mode(spark, sf_dir):
 
 
 def bench_medians(spark, sf_dir):
-    rows = [(f"a100/float64/{d}dev/N{n}_T{t}.npy", float(n * t % 97 + r * r)) for d in (1, 2) for n in (64, 128) for t in (16, 32) for r in range(5)]
-    return tables.bench_medians(spark.createDataFrame(rows, "path string, seconds double"))
+    return tables.bench_medians(_timings(spark), 128)
+
+
+def _timings(spark) -> DataFrame:
+    """Five runs of each of two devices, sizes and three tile widths, and of the solver without tiles."""
+    tiled_runs = [(f"runs/a100/float64/ndev_{d}/N_{n}_T_A_{t}.npy", float(n * t % 97 + r * r)) for d in (1, 2) for n in (64, 128) for t in (16, 128, 256) for r in range(5)]
+    plain = [(f"runs/a100/float64/ndev_1/N_{n}_chosolve.npy", float(n + r)) for n in (64, 128) for r in range(5)]
+    return spark.createDataFrame([*tiled_runs, *plain, ("runs/notes.npy", 1.0)], "path string, seconds double")
+
+
+def timing_by_tile(spark, sf_dir):
+    return _line_points(tables.timing_lines(tables.bench_medians(_timings(spark)), "tile"), "ndev")
+
+
+def timing_by_devices(spark, sf_dir):
+    return _line_points(tables.timing_lines(tables.bench_medians(_timings(spark)), "ndev"), "tile")
+
+
+def _line_points(lines: DataFrame, other: str) -> DataFrame:
+    return lines.select("gpu", "dtype", other, "line", F.posexplode(F.arrays_zip("ns", "seconds")).alias("place", "p")).select("gpu", "dtype", other, "line", "place", F.col("p.ns").alias("n"), F.col("p.seconds").alias("median_s"))
+
+
+def process_status(spark, sf_dir):
+    """Three processes of four speak; one result fails, one line is broken, others are no results."""
+    said = ['MPTEST_RESULT {"proc": 0, "name": "a", "status": "ok"}', 'MPTEST_RESULT {"proc": 0, "name": "b", "status": "fail"}', 'MPTEST_SUMMARY {"proc": 1}', 'MPTEST_RESULT {"proc": 2, "name": "a", "status": "ok"}', "MPTEST_RESULT {", "hello MPTEST_RESULT {}"]
+    return tables.process_status(spark.createDataFrame([(x,) for x in said], "line string"), 4)
+
+
+def solve_complex64(spark, sf_dir):
+    h = _hermitian(spark)
+    single = matrix(h.cells.withColumn("v", F.col("v").cast("struct<re:float,im:float>")), 4)
+    x = tiled.chol_solve(single, _ones(spark, 4, "complex64"), 2)
+    return x.select("i", "j", (F.round(F.col("v.re").cast("double"), 3) + 0.0).alias("re"), (F.round(F.col("v.im").cast("double"), 3) + 0.0).alias("im"), "status")
+
+
+def inverse_f32(spark, sf_dir):
+    x = tiled.spd_inverse(_numbers(spark, 10, "float32"), 3)
+    return x.select("i", "j", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"), "status")
+
+
+def inverse_complex_residual(spark, sf_dir):
+    """A A^-1 - I of a Hermitian matrix, which is 0."""
+    a = C.symmetrize_upper(_hermitian(spark))
+    x = a.with_cells(tiled.spd_inverse(a, 3).select("i", "j", "v"))
+    return C.add(C.matmul(a, x), C.eye(spark, 4, dtype="complex128"), -1.0).cells.select("i", "j", (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
+
+
+def eigvals_f32(spark, sf_dir):
+    e = eigen.sym_eigen(_numbers(spark, 10, "float32"), False, 4)
+    return e.select("k", (F.round(F.col("lambda").cast("double"), 3) + 0.0).alias("lambda"), "status")
+
+
+def eigen_complex_residual(spark, sf_dir):
+    """A V - V diag(lambda) of a Hermitian matrix, which is 0."""
+    a = C.symmetrize_upper(_hermitian(spark))
+    v = tiled.cut(_eigen_cells(eigen.sym_eigen(a, True, 2)))
+    av = C.matmul(a, matrix(v.select("i", "j", "v"), 4))
+    scaled = matrix(v.select("i", "j", F.struct((F.col("v.re") * F.col("lambda")).alias("re"), (F.col("v.im") * F.col("lambda")).alias("im")).alias("v")), 4)
+    return C.add(av, scaled, -1.0).cells.select("i", "j", (F.round("v.re", 6) + 0.0).alias("re"), (F.round("v.im", 6) + 0.0).alias("im"))
+
+
+def eigvals_shard_scaled(spark, sf_dir):
+    a = C.scale(C.eye(spark, N), (F.floor(F.col("i") / 6) + 1).cast("double"))
+    return eigen.sym_eigen(a, False, TILE).select("k", (F.round("lambda", 6) + 0.0).alias("lambda"), "status")
+
+
+def eigen_not_finite(spark, sf_dir):
+    a = C.diag(spark, 6, F.when(F.col("i") == 2, F.lit(float("nan"))).otherwise(1.0))
+    return eigen.sym_eigen(a, False, 4).select("k", F.isnan("lambda").alias("is_nan"), "status")
+
+
+def random_definite(spark, sf_dir):
+    """Its trace is near n, it equals its transpose, and it is positive definite."""
+    a = C.random_definite(spark, 20)
+    differs = C.add(a, C.transpose(a), -1.0).cells.agg(F.max(F.abs("v")).alias("d"))
+    status = tiled.chol_solve(a, _ones(spark, 20), TILE).agg(F.max("status").alias("status"), F.count(F.lit(1)).alias("n"))
+    return C.summary(a).crossJoin(differs).crossJoin(status).select(F.col("trace").between(10, 30).alias("trace_near_n"), (F.col("d") < 1e-12).alias("symmetric"), "status", "n")
+
+
+def rows_round_trip(spark, sf_dir):
+    """Cells to rows and back; rows without cells are zeros."""
+    a = _small(spark, [(0, 1, 2.5), (2, 0, -1.0)], 4)
+    return from_rows(to_rows(a), 4).cells.select("i", "j", r6(F.col("v")))
+
+
+def pad_rows(spark, sf_dir):
+    """Cells a shard has with its padding, 16 rows a shard in tiles of 5."""
+    padded = layouts.pad_rows(_blocks(spark, sf_dir), DIM, 5, 4)
+    return padded.groupBy("device", "local_off").agg(F.count(F.lit(1)).alias("cells"), F.sum((F.col("v") != 0).cast("long")).alias("filled"))
+
+
+def unpad_rows(spark, sf_dir):
+    padded = layouts.pad_rows(_blocks(spark, sf_dir), DIM, 5, 4)
+    return layouts.unpad_rows(padded, DIM, 4).select("device", "local_off", "j", r6(F.col("v")))
+
+
+def unpad_nothing(spark, sf_dir):
+    """Tiles of 4 fill 16 rows: nothing is padded, and nothing goes."""
+    padded = layouts.pad_rows(_blocks(spark, sf_dir), DIM, 4, 4)
+    return layouts.unpad_rows(padded, DIM, 4).select("device", "local_off", "j", r6(F.col("v")))
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    """The Gram matrix as four blocks of rows."""
+    return _gram(spark, sf_dir).cells.select(F.expr("cast(i div 16 as int)").alias("device"), (F.col("i") % 16).alias("local_off"), "j", "v")
+
+
+def cyclic_verify_changed(spark, sf_dir):
+    """A layout with one cell changed and one gone."""
+    g = _gram(spark, sf_dir)
+    dealt = layouts.cyclic_layout(g, 5, 4).filter("not (j = 3 and dst = 7)").withColumn("v", F.when((F.col("j") == 4) & (F.col("dst") == 7), F.col("v") + 1).otherwise(F.col("v")))
+    return layouts.verify_cyclic(g, dealt, 5, 4)
+
+
+def sql_inverse(spark, sf_dir):
+    grouped.register_sql(spark)
+    _group_cells(spark, sf_dir).createOrReplaceTempView("gramforge_groups")
+    return spark.sql("SELECT g, i, j, round(v, 6) + 0.0D AS v, status FROM inverse_groups(TABLE(gramforge_groups) PARTITION BY g)")
+
+
+def sql_eigvals(spark, sf_dir):
+    grouped.register_sql(spark)
+    _part_covariance(spark, sf_dir).createOrReplaceTempView("gramforge_covariances")
+    return spark.sql("SELECT g, k, round(lambda, 6) + 0.0D AS lambda, status FROM eigvals_groups(TABLE(gramforge_covariances) PARTITION BY g)")
+
+
+def _part_covariance(spark, sf_dir) -> DataFrame:
+    p = _read(spark, sf_dir, "part").withColumn("g", F.col("p_size").cast("long") % 7)
+    return tables.covariance_by_group(p, "g", F.col("p_size").cast("double"), F.col("p_retailprice") / 100)
+
+
+def solve_many_by_group(spark, sf_dir):
+    """Two right-hand sides for each nation: the sums, and twice the sums."""
+    cells = _group_cells(spark, sf_dir)
+    more = cells.filter("j = -1").select("g", "i", F.lit(-2).cast("long").alias("j"), (F.col("v") * 2).alias("v"))
+    return grouped.solve_many_by_group(cells.unionByName(more), "g").select("g", "i", "j", r6(F.col("v")), "status")
+
+
+def solve_group_without_matrix(spark, sf_dir):
+    """Groups of right-hand sides alone are not definite; they fail alone."""
+    rows = [(1, 0, 0, 2.0), (1, 0, -1, 4.0), (2, 0, -1, 1.0), (2, 1, -1, 1.0), (3, 0, 0, 1.0), (3, 1, -1, 1.0)]
+    x = grouped.solve_by_group(spark.createDataFrame(rows, "g long, i long, j long, v double"), "g")
+    return x.select("g", "i", F.isnan("v").alias("is_nan"), "status")
 
 
 def _eliminated(aug: str, n: int, wide: int, select: str) -> str:
@@ -312,6 +453,9 @@ _HERMITIAN = """h AS (SELECT i, j, CASE WHEN i = j THEN 4.0 + i ELSE (1 + (i * j
 _GROUPS = """SELECT c_nationkey::BIGINT AS g, count(*)::DOUBLE AS n, sum(x) AS x, sum(x * x) AS xx, sum(y) AS y, sum(x * y) AS xy FROM (SELECT c_nationkey, (c_custkey % 7)::DOUBLE AS x, c_acctbal / 1000 AS y FROM customer) GROUP BY 1"""
 _BY_GROUP = f"""SELECT g, i::BIGINT AS i, round(CASE WHEN i = 0 THEN (xx * y - x * xy) / (n * xx - x * x) ELSE (n * xy - x * y) / (n * xx - x * x) END, 6) + 0.0 AS v, 0::INT AS status FROM ({_GROUPS}) CROSS JOIN range(2) r(i)"""
 
+_MEDIANS = """SELECT 'a100' AS gpu, 'float64' AS dtype, d::INT AS ndev, t::INT AS tile, n::BIGINT AS n, median((n * t % 97 + r * r)::DOUBLE) AS median_s, count(*) AS runs FROM (VALUES (1), (2)) a(d) CROSS JOIN (VALUES (64), (128)) b(n) CROSS JOIN (VALUES (16), (128), (256)) c(t) CROSS JOIN range(5) e(r) GROUP BY ALL
+UNION ALL SELECT 'a100', 'float64', 1::INT, NULL::INT, n::BIGINT, median((n + r)::DOUBLE), count(*) FROM (VALUES (64), (128)) b(n) CROSS JOIN range(5) e(r) GROUP BY ALL"""
+
 ORACLES = {
     "solve_diag": f"SELECT i, 0::BIGINT AS j, round(1.0::DOUBLE / (i + 1), 6) + 0.0 AS v, 0::INT AS status FROM range({N}) t(i)",
     "solve_f32": f"SELECT i, 0::BIGINT AS j, round(1.0::DOUBLE / (i + 1), 4) + 0.0 AS v, 0::INT AS status FROM range({N}) t(i)",
@@ -353,10 +497,32 @@ ORACLES = {
     "cyclic_inverse": f"WITH {_GRAM} SELECT i, j, round(v, 6) + 0.0 AS v FROM gram",
     "cyclic_verify": "SELECT 0::BIGINT AS mismatches",
     "padded_rows": "SELECT d::INT AS device, o AS local_off FROM range(4) t(d) CROSS JOIN range(24, 25) r(o)",
-    "ownership_plot_data": "SELECT 'before' AS phase, pos, (pos // 25)::INT AS owner FROM range(100) r(pos) UNION ALL SELECT 'after', pos, CASE WHEN pos >= 100 THEN -1 ELSE (pos // 7) % 4 END::INT FROM range(112) r(pos)",
+    "ownership_plot_data": "SELECT 'before' AS phase, pos, CASE WHEN pos % 28 < 25 THEN pos // 28 ELSE -1 END::INT AS owner FROM range(112) r(pos) UNION ALL SELECT 'after', pos, CASE WHEN pos >= 100 THEN -1 ELSE (pos // 7) % 4 END::INT FROM range(112) r(pos)",
     "regather_2d": "SELECT (d // 2)::INT AS host, d::INT AS device, c AS col FROM range(4) t(d) CROSS JOIN range(16) r(c) WHERE c // 8 = d % 2",
     "topology_mode": "SELECT * FROM (VALUES (0::INT, 1::BIGINT, 4::BIGINT, 4::BIGINT, 'SPMD'), (1, 1, 4, 1, 'MPMD'), (2, 1, 4, 2, 'INVALID'), (3, 1, 2, 2, 'INVALID')) v(\"case\", machines, devices_per_machine, devices_per_process, mode)",
-    "bench_medians": "SELECT 'a100' AS gpu, 'float64' AS dtype, d::INT AS ndev, t::INT AS tile, n::BIGINT AS n, median((n * t % 97 + r * r)::DOUBLE) AS median_s, count(*) AS runs FROM (VALUES (1), (2)) a(d) CROSS JOIN (VALUES (64), (128)) b(n) CROSS JOIN (VALUES (16), (32)) c(t) CROSS JOIN range(5) e(r) GROUP BY ALL",
+    "bench_medians": f"SELECT gpu, dtype, ndev, tile, n, median_s, runs FROM ({_MEDIANS}) WHERE tile IS NULL OR tile >= 128",
+    "timing_by_tile": f"SELECT gpu, dtype, ndev, coalesce('tile=' || tile, 'untiled') AS line, (row_number() OVER (PARTITION BY ndev, tile ORDER BY n) - 1)::INT AS place, n, median_s FROM ({_MEDIANS})",
+    "timing_by_devices": f"SELECT gpu, dtype, tile, 'ndev=' || ndev AS line, (row_number() OVER (PARTITION BY ndev, tile ORDER BY n) - 1)::INT AS place, n, median_s FROM ({_MEDIANS})",
+    "process_status": "SELECT 2::BIGINT AS ok, 1::BIGINT AS failed, 1::BIGINT AS silent",
+    "solve_complex64": _eliminated(
+        f"{_HERMITIAN}, aug AS (SELECT i, j, re AS v FROM h UNION ALL SELECT i, j + 4, -im FROM h UNION ALL SELECT i + 4, j, im FROM h UNION ALL SELECT i + 4, j + 4, re FROM h UNION ALL SELECT i, 8, CASE WHEN i < 4 THEN 1 ELSE 0 END FROM range(8) t(i))",
+        8, 9, "SELECT i, 0::BIGINT AS j, round(m[i + 1][9], 3)::DOUBLE + 0.0::DOUBLE AS re, round(m[i + 5][9], 3)::DOUBLE + 0.0::DOUBLE AS im, 0::INT AS status FROM done CROSS JOIN range(4) t(i)"),
+    "inverse_f32": f"SELECT i, j, CASE WHEN i = j THEN round(1.0::DOUBLE / (i + 1), 4) ELSE 0.0::DOUBLE END AS v, 0::INT AS status {_square(10)}",
+    "inverse_complex_residual": f"SELECT i, j, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im {_square(4)}",
+    "eigvals_f32": "SELECT i AS k, (i + 1)::DOUBLE AS lambda, 0::INT AS status FROM range(10) t(i)",
+    "eigen_complex_residual": f"SELECT i, j, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im {_square(4)}",
+    "eigvals_shard_scaled": f"SELECT i AS k, (i // 6 + 1)::DOUBLE AS lambda, 0::INT AS status FROM range({N}) t(i)",
+    "eigen_not_finite": "SELECT i AS k, true AS is_nan, 7::INT AS status FROM range(6) t(i)",
+    "random_definite": "SELECT true AS trace_near_n, true AS symmetric, 0::INT AS status, 20::BIGINT AS n",
+    "rows_round_trip": f"SELECT i, j, CASE WHEN i = 0 AND j = 1 THEN 2.5::DOUBLE WHEN i = 2 AND j = 0 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS v {_square(4)}",
+    "pad_rows": f"WITH {_GRAM} SELECT (i // 16)::INT AS device, i % 16 AS local_off, count(*) AS cells, sum((v <> 0)::BIGINT)::BIGINT AS filled FROM gram GROUP BY ALL UNION ALL SELECT d::INT, o, {DIM}::BIGINT, 0::BIGINT FROM range(4) t(d) CROSS JOIN range(16, 20) l(o)",
+    "unpad_rows": f"WITH {_GRAM} SELECT (i // 16)::INT AS device, i % 16 AS local_off, j, round(v, 6) + 0.0 AS v FROM gram",
+    "unpad_nothing": f"WITH {_GRAM} SELECT (i // 16)::INT AS device, i % 16 AS local_off, j, round(v, 6) + 0.0 AS v FROM gram",
+    "cyclic_verify_changed": "SELECT 2::BIGINT AS mismatches",
+    "sql_inverse": f"""SELECT g, i::BIGINT AS i, j::BIGINT AS j, round(CASE WHEN i = 0 AND j = 0 THEN xx WHEN i = 1 AND j = 1 THEN n ELSE -x END / (n * xx - x * x), 6) + 0.0 AS v, 0::INT AS status FROM ({_GROUPS}) CROSS JOIN range(2) r(i) CROSS JOIN range(2) q(j)""",
+    "sql_eigvals": "SELECT g, k, round((xx + yy) / 2 + CASE WHEN k = 0 THEN -1 ELSE 1 END * sqrt((xx - yy) * (xx - yy) / 4 + xy * xy), 6) + 0.0 AS lambda, 0::INT AS status FROM (SELECT p_size::BIGINT % 7 AS g, var_pop(p_size::DOUBLE) AS xx, covar_pop(p_size::DOUBLE, p_retailprice / 100) AS xy, var_pop(p_retailprice / 100) AS yy FROM part GROUP BY 1) CROSS JOIN range(2) r(k)",
+    "solve_many_by_group": f"SELECT g, i, j, round(v * (j + 1), 6) + 0.0 AS v, status FROM (SELECT g, i::BIGINT AS i, CASE WHEN i = 0 THEN (xx * y - x * xy) / (n * xx - x * x) ELSE (n * xy - x * y) / (n * xx - x * x) END AS v, 0::INT AS status FROM ({_GROUPS}) CROSS JOIN range(2) r(i)) CROSS JOIN range(2) q(j)",
+    "solve_group_without_matrix": "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, false, 0::INT), (2, 0, true, 7), (2, 1, true, 7), (3, 0, true, 7), (3, 1, true, 7)) v(g, i, is_nan, status)",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}

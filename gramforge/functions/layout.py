@@ -17,7 +17,7 @@ def plain_padding(shard_size: Column | int, tile: Column | int) -> Column:
 
 
 def div(a: Column, b: Column) -> Column:
-    return F.floor(a / b).cast("long")
+    return F.call_function("div", a.cast("long"), b.cast("long"))
 
 
 def cyclic_columns(col: Column, n: Column | int, tile: Column | int, shards: Column | int) -> dict[str, Column]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gramforge.functions.dtypes import conjugate, is_complex, make, parts
 from gramforge.plans.frame import MatrixFrame, matrix
 
+MOST_PRODUCTS = 1 << 22
+
 
 def eye(spark: SparkSession, n: int, value: Column | float = 1.0, dtype: str = "float64") -> MatrixFrame:
     return diag(spark, n, F.lit(value) if not isinstance(value, Column) else value, dtype)
@@ -52,9 +54,14 @@ def add(a: MatrixFrame, b: MatrixFrame, sign: float = 1.0) -> MatrixFrame:
 
 
 def matmul(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
-    """A join on the inner index and a sum, with partial sums before the shuffle."""
+    """A join on the inner index and a sum, with partial sums before the shuffle; beyond MOST_PRODUCTS products of cells
+    (as the shapes allow them) a join of tiles."""
     if a.cols != b.rows:
         raise AssertionError("the inner dimensions differ")
+    if a.rows * a.cols * b.cols > MOST_PRODUCTS:
+        from gramforge.operators.tiled import TILE, tile_product
+
+        return tile_product(a, b, min(TILE, max(a.rows, a.cols, b.cols)))
     left = a.cells.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.cells.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("y"))
     (xr, xi), (yr, yi) = parts(F.col("x"), a.dtype), parts(F.col("y"), b.dtype)
@@ -81,7 +88,7 @@ def residual(a: MatrixFrame, x: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
 
 def random_definite(spark: SparkSession, n: int, seed: int = 1234, ridge: float = 1e-5) -> MatrixFrame:
     """G G^T + ridge I for a G of normal numbers over sqrt(n); the same for a seed wherever it runs."""
-    cells = spark.range(n).withColumnRenamed("id", "i").crossJoin(F.broadcast(spark.range(n).withColumnRenamed("id", "j"))) if n <= 64 else spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), F.expr(f"id % {n}").alias("j"))
+    cells = spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), F.expr(f"id % {n}").alias("j"))
     uniform = lambda k: (F.pmod(F.xxhash64("i", "j", F.lit(seed + k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     normal = F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * 3.141592653589793 * uniform(1)) / F.sqrt(F.lit(float(n)))
     g = matrix(cells.select("i", "j", normal.alias("v")), n)

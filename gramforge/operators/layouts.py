@@ -29,7 +29,7 @@ def cyclic_layout(a: MatrixFrame, tile: int, shards: int, padded: bool = True, p
     c = cyclic_columns(F.col("i"), a.rows, tile, shards)
     dst = c["dst"] if padded else c["device"] * (a.rows // shards) + c["local_off"]
     out = a.cells.withColumns({"dst": dst, "device": c["device"], "local_off": c["local_off"]})
-    return out.repartition(partitions or shards, "device").sortWithinPartitions("device", "local_off", "j")
+    return out.repartitionById(partitions or shards, F.col("device")).sortWithinPartitions("device", "local_off", "j")
 
 
 def blocks_again(dealt: DataFrame, n: int, tile: int, shards: int) -> DataFrame:
@@ -56,16 +56,32 @@ def padded_rows(spark: SparkSession, n: int, tile: int, shards: int) -> DataFram
     return spark.range(shards).select(F.col("id").cast("int").alias("device"), F.explode(rows).alias("local_off")).filter(F.col("local_off") < F.lit(shard).cast("long") + padding(shard, tile))
 
 
+def pad_rows(dealt: DataFrame, n: int, tile: int, shards: int) -> DataFrame:
+    """Cells (device, local_off, j, v) with a zero cell for each column of the rows that fill a shard up to whole tiles."""
+    columns = dealt.select("j").distinct()
+    extra = padded_rows(dealt.sparkSession, n, tile, shards)
+    # less than a tile of rows for each shard
+    zeros = columns.crossJoin(F.broadcast(extra)).select("device", "local_off", "j", F.lit(0.0).cast(dealt.schema["v"].dataType).alias("v"))
+    return dealt.select("device", "local_off", "j", "v").unionByName(zeros)
+
+
+def unpad_rows(padded: DataFrame, n: int, shards: int) -> DataFrame:
+    """The cells without a shard's rows beyond its size; all of them where nothing was padded."""
+    return padded.filter(F.col("local_off") < n // shards)
+
+
 def ownership(spark: SparkSession, n: int, tile: int, shards: int) -> DataFrame:
-    """Who owns each place before and after: phase, pos, owner (-1: padding). After counts tiles over all places."""
-    _check(n, tile, shards)
+    """Who owns each place before and after: phase, pos, owner (-1: padding). Places count the padding of all shards, which
+    is what fills them up to whole tiles: before, it stands after each shard, after, at the end of all. After counts
+    tiles over all places."""
+    if shards < 1 or tile < 1 or n // shards < 1:
+        raise ValueError("tile, shards and the columns of a shard must be 1 at least")
     shard = n // shards
-    pad = -shard % tile if tile < shard else 0
-    total = n + shards * pad
-    width = min(tile, shard)
-    place = spark.range(total).withColumnRenamed("id", "pos")
-    before = place.filter(F.col("pos") < n).select(F.lit("before").alias("phase"), "pos", div(F.col("pos"), F.lit(shard)).cast("int").alias("owner"))
-    after = place.select(F.lit("after").alias("phase"), "pos", F.when(F.col("pos") >= n, -1).otherwise(div(F.col("pos"), F.lit(width)) % shards).cast("int").alias("owner"))
+    pad = -shard % tile
+    place = spark.range(shards * (shard + pad)).withColumnRenamed("id", "pos")
+    own = F.when(F.col("pos") % (shard + pad) < shard, div(F.col("pos"), F.lit(shard + pad))).otherwise(-1)
+    before = place.select(F.lit("before").alias("phase"), "pos", own.cast("int").alias("owner"))
+    after = place.select(F.lit("after").alias("phase"), "pos", F.when(F.col("pos") >= shards * shard, -1).otherwise(div(F.col("pos"), F.lit(tile)) % shards).cast("int").alias("owner"))
     return before.unionByName(after)
 
 

@@ -1,42 +1,62 @@
 """Cholesky solves and inverses over tiles.
 
 A matrix is a DataFrame of square tiles (bi, bj, data); the right-hand sides are tiles of further block columns, so the
-forward sweep is part of the factorisation. Step k factors tile (k, k), solves the tiles of its row (a broadcast of one
-tile, whose size the tile width bounds) and updates what lies below by two joins on the row's tiles. Only the upper
-triangle of A is read. A tile that is not positive definite gives status 7 and NaN everywhere.
+forward sweep is part of the factorisation. Block rows of U are made one after another and written once: row k is A's
+row k less the products of the rows above, which a task gathers for a block column tile after tile, holding two of them.
+What all columns need of U (its block column k) is broadcast where it has at most PANEL_BYTES and joined otherwise; the
+sweep back works the same way on U's block rows. Only the upper triangle of A is read. A tile that is not positive
+definite ends the factorisation: status 7 and NaN everywhere.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramforge.functions.dtypes import is_complex, make, numpy_dtype, parts
-from gramforge.plans.frame import NOT_DEFINITE, REPLICATED, MatrixFrame, check_solve, check_square, matrix
+from gramforge.functions.dtypes import conjugate, is_complex, make, numpy_dtype, parts
 from gramforge.operators import cells as C
+from gramforge.plans.frame import NOT_DEFINITE, REPLICATED, MatrixFrame, check_solve, check_square, matrix
+from gramforge.sources.folders import shared_base
 
 TILE = 256
+#: A block column of U (or row, on the way back) of at most this size is collected and broadcast; a larger one is joined.
+PANEL_BYTES = 64 << 20
 SCHEMA = "bi int, bj int, data binary"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="gramforge-checkpoint-")
-        sc.setCheckpointDir(base)
+    shared_base(df.sparkSession)
     return df.checkpoint()
 
 
-def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0, mirror: bool = False) -> DataFrame:
+class Tiles:
+    """Stored block rows of one operator, in a folder that is removed when its result is stored."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> str:
+        self.n += 1
+        path = f"{self.root}/{self.n:05d}"
+        df.write.option("compression", "uncompressed").parquet(path)
+        return path
+
+    def read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0) -> DataFrame:
     """Dense tiles of all cells (of the upper triangle); block columns count from `shift`. Zero tiles are made too."""
     spark, dtype = a.spark, numpy_dtype(a.dtype)
     re, im = parts(F.col("v"), a.dtype)
@@ -59,76 +79,120 @@ def to_cells(tiles: DataFrame, like: MatrixFrame, tile: int, rows: int, cols: in
     """All cells of the tiles within rows x cols, zeros too."""
     dtype, complex_ = numpy_dtype(like.dtype), is_complex(like.dtype)
 
-    def spread(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts_:
-            for bi, bj, data in zip(part["bi"], part["bj"], part["data"], strict=True):
-                block = np.frombuffer(data, dtype).reshape(tile, tile)[: rows - bi * tile, : cols - (bj - shift) * tile]
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, data in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("data"), strict=True):
+                block = np.frombuffer(data.as_buffer(), dtype).reshape(tile, tile)[: max(0, rows - bi * tile), : max(0, cols - (bj - shift) * tile)]
                 i, j = np.indices(block.shape)
                 flat = block.reshape(-1)
-                yield pd.DataFrame({"i": (i + bi * tile).reshape(-1), "j": (j + (bj - shift) * tile).reshape(-1), "re": flat.real.astype(float), "im": flat.imag.astype(float) if complex_ else 0.0})
-
-    number = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  pandas hands NaN back as null
-    return tiles.mapInPandas(spread, "i long, j long, re double, im double").select("i", "j", make(number("re"), number("im"), like.dtype).alias("v"))
-
-
-def _map2(df: DataFrame, dtype: np.dtype, tile: int, work) -> DataFrame:
-    """Applies work(own, *others) to the tiles of each row; columns after bi, bj, data are the others."""
-    others = df.columns[3:]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = []
-            for row in b[["data", *others]].itertuples(index=False):
-                made.append(work(*(np.frombuffer(x, dtype).reshape(tile, tile) for x in row)).astype(dtype).tobytes())
-            yield pd.DataFrame({"bi": b["bi"], "bj": b["bj"], "data": made})
-
-    return df.mapInPandas(run, SCHEMA)
-
-
-def factor(tiles: DataFrame, nb: int, tile: int, dtype: np.dtype) -> DataFrame:
-    """Block rows of U (and of U^-H b, in the further block columns) from upper tiles of A and the tiles of b."""
-
-    def chol(a: np.ndarray) -> np.ndarray:
-        whole = np.triu(a) + np.triu(a, 1).conj().T
-        try:
-            return np.linalg.cholesky(whole).conj().T
-        except np.linalg.LinAlgError:
-            return np.full_like(whole, np.nan)
-
-    def solve(a: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(u.conj().T, a) if np.isfinite(u).all() else np.full_like(a, np.nan)
-
-    done, rest = None, cut(tiles)
+                im = flat.imag.astype(float) if complex_ else np.zeros(len(flat))
+                yield pa.RecordBatch.from_arrays([pa.array((i + bi * tile).reshape(-1)), pa.array((j + (bj - shift) * tile).reshape(-1)), pa.array(flat.real.astype(float)), pa.array(im)], names=["i", "j", "re", "im"])
+
+    return tiles.mapInArrow(spread, "i long, j long, re double, im double").select("i", "j", make(F.col("re"), F.col("im"), like.dtype).alias("v"))
+
+
+def _gathered(rows: DataFrame, panel: dict[int, np.ndarray] | None, last: np.ndarray, own: int, tile: int, dtype: np.dtype, forward: bool) -> DataFrame:
+    """Block row `own` of the result: for each block column its tile of row `own` less the products of its other tiles
+    with the panel's (or, without a panel, with the column `l`), solved with `last`, a diagonal tile of U."""
+    held = rows.sparkSession.sparkContext.broadcast((panel, last))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        panel, last = held.value
+        turned = last.conj().T if forward else last
+        at, total = None, None
+
+        def made() -> pa.RecordBatch:
+            out = np.linalg.solve(turned, total).astype(dtype)
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([at], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["bi", "bj", "data"])
+
+        for batch in batches:
+            others = batch.column("l") if panel is None else [None] * batch.num_rows
+            for bi, bj, data, l in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("data"), others, strict=True):
+                if bj != at:
+                    if at is not None:
+                        yield made()
+                    at, total = bj, np.zeros((tile, tile), dtype)
+                x = np.frombuffer(data.as_buffer(), dtype).reshape(tile, tile)
+                if bi == own:
+                    total = total + x
+                    continue
+                p = panel[bi] if panel is not None else np.frombuffer(l.as_buffer(), dtype).reshape(tile, tile)
+                total = total - (p.conj().T @ x if forward else p @ x)
+        if at is not None:
+            yield made()
+
+    return rows.repartition("bj").sortWithinPartitions("bj", "bi").mapInArrow(run, SCHEMA)
+
+
+def _collected(tiles: DataFrame, key: str, tile: int, dtype: np.dtype) -> dict[int, np.ndarray]:
+    return {r[0]: np.frombuffer(r[1], dtype).reshape(tile, tile) for r in tiles.select(key, "data").collect()}
+
+
+def _cholesky(a: np.ndarray) -> np.ndarray | None:
+    whole = np.triu(a) + np.triu(a, 1).conj().T
+    try:
+        low = np.linalg.cholesky(whole)
+    except np.linalg.LinAlgError:
+        return None
+    return low.conj().T if np.isfinite(low).all() else None
+
+
+def factor(tiles: DataFrame, nb: int, tile: int, dtype: np.dtype, store: Tiles) -> tuple[list[str], list[np.ndarray]] | None:
+    """The stored block rows of U right of the diagonal (and of U^-H b, in the further block columns), and the diagonal
+    tiles; None if A is not positive definite. One block column (or one tile) is on the driver at a time, and the
+    diagonal tiles, which are as much as one block column."""
+    whole = store.read([store.keep(tiles)])
+    paths: list[str] = []
+    diagonal: list[np.ndarray] = []
     for k in range(nb):
-        top = _map2(rest.filter((F.col("bi") == k) & (F.col("bj") == k)), dtype, tile, chol)
-        row = rest.filter((F.col("bi") == k) & (F.col("bj") > k)).crossJoin(F.broadcast(top.select(F.col("data").alias("u"))))  # one tile
-        row = cut(_map2(row.select("bi", "bj", "data", "u"), dtype, tile, solve).unionByName(top))
-        done = row if done is None else done.unionByName(row)
-        if k == nb - 1:
-            return done
-        left = row.select(F.col("bj").alias("bi"), F.col("data").alias("l"))
-        right = row.select("bj", F.col("data").alias("r"))
-        below = rest.filter(F.col("bi") > k).join(left, "bi").join(right, "bj").select("bi", "bj", "data", "l", "r")
-        rest = cut(_map2(below, dtype, tile, lambda a, x, y: a - x.conj().T @ y))
-    return done
-
-
-def _back(u: DataFrame, nb: int, tile: int, dtype: np.dtype) -> DataFrame:
+        above = store.read(paths)
+        column = above.filter(F.col("bj") == k)
+        own = _collected(whole.filter((F.col("bi") == k) & (F.col("bj") == k)), "bi", tile, dtype)[k]
+        small = (k + 1) * own.nbytes <= PANEL_BYTES
+        if small:
+            panel = _collected(column, "bi", tile, dtype) if k else {}
+            square = own - sum((p.conj().T @ p for p in panel.values()), np.zeros_like(own))
+        else:
+            panel = None
+            squares = column.mapInArrow(lambda batches: _squares(batches, tile, dtype), "data binary")
+            square = own.copy()
+            for r in squares.toLocalIterator():  # one tile a task
+                square = square - np.frombuffer(r[0], dtype).reshape(tile, tile)
+        top = _cholesky(square)
+        if top is None:
+            return None
+        diagonal.append(top)
+        rest = whole.filter((F.col("bi") == k) & (F.col("bj") > k)).unionByName(above.filter(F.col("bj") > k))
+        if not small:
+            rest = rest.join(column.select("bi", F.col("data").alias("l")), "bi", "left").select("bi", "bj", "data", "l")
+        paths.append(store.keep(_gathered(rest, panel, top, k, tile, dtype, True)))
+    return paths, diagonal
+
+
+def _squares(batches: Iterator[pa.RecordBatch], tile: int, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for data in batch.column("data"):
+            x = np.frombuffer(data.as_buffer(), dtype).reshape(tile, tile)
+            total = x.conj().T @ x if total is None else total + x.conj().T @ x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(dtype).tobytes()], pa.binary())], names=["data"])
+
+
+def _back(rows: list[str], diagonal: list[np.ndarray], nb: int, tile: int, dtype: np.dtype, store: Tiles) -> DataFrame:
     """Solves U x = y for the further block columns."""
-
-    def solve(y: np.ndarray, top: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(top, y) if np.isfinite(top).all() else np.full_like(y, np.nan)
-
-    rest, done = u.filter(F.col("bj") >= nb), None
+    done: list[str] = []
     for k in reversed(range(nb)):
-        top = u.filter((F.col("bi") == k) & (F.col("bj") == k)).select(F.col("data").alias("u"))
-        x = cut(_map2(rest.filter(F.col("bi") == k).crossJoin(F.broadcast(top)).select("bi", "bj", "data", "u"), dtype, tile, solve))  # one tile
-        done = x if done is None else done.unionByName(x)
-        if k:
-            column = u.filter((F.col("bj") == k) & (F.col("bi") < k)).select("bi", F.col("data").alias("l"))
-            above = rest.filter(F.col("bi") < k).join(column, "bi").join(x.select("bj", F.col("data").alias("r")), "bj").select("bi", "bj", "data", "l", "r")
-            rest = cut(_map2(above, dtype, tile, lambda a, l, r: a - l @ r))
-    return done
+        row = store.read(rows[k : k + 1])
+        right = row.filter(F.col("bj") < nb)
+        x = store.read(done).unionByName(row.filter(F.col("bj") >= nb))
+        if (nb - k) * diagonal[k].nbytes <= PANEL_BYTES:
+            panel = _collected(right, "bj", tile, dtype) if k < nb - 1 else {}
+        else:
+            panel = None
+            x = x.join(right.select(F.col("bj").alias("bi"), F.col("data").alias("l")), "bi", "left").select("bi", "bj", "data", "l")
+        done.append(store.keep(_gathered(x, panel, diagonal[k], k, tile, dtype, False)))
+    return store.read(done)
 
 
 def _padded(a: MatrixFrame, tile: int) -> MatrixFrame:
@@ -144,14 +208,17 @@ def chol_solve(a: MatrixFrame, b: MatrixFrame, tile: int = TILE, strict_limits:
     check_square(a, tile)
     tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
     nb = -(-a.rows // tile)
+    store = Tiles(a.spark, "solve")
     tiles = to_tiles(_padded(a, tile), tile, upper=True).unionByName(to_tiles(b.with_cells(b.cells, nb * tile, b.cols), tile, upper=False, shift=nb))
-    u = factor(tiles, nb, tile, dtype)
-    x = to_cells(_back(u, nb, tile, dtype), b, tile, b.rows, b.cols, shift=nb)
-    re, im = parts(F.col("v"), b.dtype)
-    failed = to_cells(u.filter(F.col("bi") == F.col("bj")), a, tile, nb * tile, nb * tile).filter("i = j").agg(F.max(F.isnan(parts(F.col("v"), a.dtype)[0]).cast("int")).alias("failed"))
-    out = x.crossJoin(F.broadcast(failed))  # one row
-    nan = make(F.lit(float("nan")), F.lit(float("nan") if is_complex(b.dtype) else 0.0), b.dtype)
-    return out.select("i", "j", F.when(F.col("failed") == 1, nan).otherwise(F.col("v")).alias("v"), F.when(F.col("failed") == 1, NOT_DEFINITE).otherwise(0).cast("int").alias("status"))
+    made = factor(tiles, nb, tile, dtype, store)
+    if made is None:
+        store.remove()
+        nan = make(F.lit(float("nan")), F.lit(float("nan") if is_complex(b.dtype) else 0.0), b.dtype)
+        places = a.spark.range(b.rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b.cols - 1).cast("long"))).alias("j"))
+        return places.select("i", "j", nan.alias("v"), F.lit(NOT_DEFINITE).cast("int").alias("status"))
+    x = cut(_back(*made, nb, tile, dtype, store))
+    store.remove()
+    return to_cells(x, b, tile, b.rows, b.cols, shift=nb).withColumn("status", F.lit(0).cast("int"))
 
 
 def spd_inverse(a: MatrixFrame, tile: int = TILE, part: str = "full") -> DataFrame:
@@ -164,6 +231,31 @@ def spd_inverse(a: MatrixFrame, tile: int = TILE, part: str = "full") -> DataFra
     top = solved.filter("j >= i")
     if part == "upper":
         return top
-    from gramforge.functions.dtypes import conjugate
-
     return top.unionByName(solved.filter("j > i").select(F.col("j").alias("i"), F.col("i").alias("j"), conjugate(F.col("v"), a.dtype).alias("v"), "status"))
+
+
+def tile_product(a: MatrixFrame, b: MatrixFrame, tile: int = TILE) -> MatrixFrame:
+    """a b by tiles: a join on the inner block, products in the tasks, sums of a tile's products one after another."""
+    dtype = numpy_dtype(a.dtype)
+    inner = -(-a.cols // tile) * tile
+    left = to_tiles(a.with_cells(a.cells, a.rows, inner), tile, upper=False).select("bi", F.col("bj").alias("k"), F.col("data").alias("l"))
+    right = to_tiles(b.with_cells(b.cells, inner, b.cols), tile, upper=False).select(F.col("bi").alias("k"), "bj", F.col("data").alias("r"))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            for bi, bj, x, y in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
+                if (bi, bj) != at:
+                    if at is not None:
+                        yield _tile(*at, total, dtype)
+                    at, total = (bi, bj), np.zeros((tile, tile), dtype)
+                total = total + np.frombuffer(x.as_buffer(), dtype).reshape(tile, tile) @ np.frombuffer(y.as_buffer(), dtype).reshape(tile, tile)
+        if at is not None:
+            yield _tile(*at, total, dtype)
+
+    summed = left.join(right, "k").select("bi", "bj", "l", "r").repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(product, SCHEMA)
+    return a.with_cells(to_cells(summed, a, tile, a.rows, b.cols), a.rows, b.cols)
+
+
+def _tile(bi: int, bj: int, x: np.ndarray, dtype: np.dtype) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([x.astype(dtype).tobytes()], pa.binary())], names=["bi", "bj", "data"])

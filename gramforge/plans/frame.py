@@ -12,7 +12,7 @@ from gramforge.functions.dtypes import dtype_of
 
 ROW_SHARDED, REPLICATED = "row_sharded", "replicated"
 MOST_RHS, MOST_EIGEN_TILE = 256, 1024
-NOT_DEFINITE = 7
+NOT_DEFINITE, NOT_CONVERGED = 7, 8
 
 
 class DenseWarning(UserWarning):
@@ -59,11 +59,13 @@ def from_rows(rows: DataFrame, n: int, row_col: str = "row") -> MatrixFrame:
 
 
 def to_rows(m: MatrixFrame) -> DataFrame:
-    """(i, row ARRAY) with zeros for missing cells."""
+    """(i, row ARRAY) of every row, with zeros for missing cells (rows without any are all zeros)."""
     kind = m.cells.schema["v"].dataType
     zero = "cast(0 as " + kind.simpleString() + ")" if not isinstance(kind, T.StructType) else f"cast(named_struct('re',0,'im',0) as {kind.simpleString()})"
-    seen = m.cells.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
-    return seen.select("i", F.expr(f"transform(sequence(0L, {m.cols - 1}L), x -> coalesce(m[x], {zero}))").alias("row"))
+    places = m.spark.range(m.rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m.cols - 1).cast("long"))).alias("j"))
+    full = places.join(m.cells, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.expr(zero)).alias("v"))
+    # a row's numbers are one array, whatever gathers them
+    return full.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("row"))
 
 
 def check_solve(a: MatrixFrame, b: MatrixFrame, strict_limits: bool = False) -> None:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramforge.sources.tables import vector_products
 
-def streaming_gram(vectors: DataFrame, vector: str) -> DataFrame:
-    """Upper cells (i, j, v) of X^T X of a streaming frame; write with outputMode complete or update."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    pairs = vectors.select(v.alias("x")).select("x", F.posexplode("x").alias("i", "a")).select("i", "a", F.posexplode("x").alias("j", "b")).filter("j >= i")
-    return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+
+def streaming_gram(vectors: DataFrame, vector: str, n: int) -> DataFrame:
+    """Upper cells (i, j, v) of X^T X of a streaming frame of n-vectors; write with outputMode complete or update."""
+    return vector_products(vectors, vector, n).groupBy("i", "j").agg(F.sum("v").alias("v"))
