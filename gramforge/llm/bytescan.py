@@ -30,6 +30,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among some ascending values."""
+    out = np.zeros(len(x), bool)
+    if not len(sorted_values) or not len(x):
+        return out
+    # a table of their low bits leaves few of x to search for
+    mask = x.dtype.type((1 << 22) - 1)
+    table = np.zeros(1 << 22, bool)
+    table[sorted_values & mask] = True
+    at = np.flatnonzero(table[x & mask])
+    out[at] = sorted_values[np.minimum(np.searchsorted(sorted_values, x[at]), len(sorted_values) - 1)] == x[at]
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one piece have about `limit` bytes; a longer text is a piece of its own."""
     for batch in batches:

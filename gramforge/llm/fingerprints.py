@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramforge.llm.bytescan import slices
-from gramforge.llm.runtime import LOWEST, bucket_of, id_bounds, ship_code, task_count
+from gramforge.llm.runtime import LOWEST, id_bounds, ship_code, task_count
 
 LEAST, NORMAL, MOST = 16, 48, 255
 STRICT, LOOSE = np.uint32(0x7F), np.uint32(0x1F)
@@ -117,23 +117,23 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text (second half replaced by the next document's beginning).
 
-    Rows follow one another by id, then text (null ids first, null texts as empty), the first after the last; a single
-    row is its own next. Rows are dealt by id ranges, and the first row of a range also goes to the range before it.
+    Rows follow one another by id, then a hash of the text (null ids first, null texts as empty), the first after the
+    last; a single row is its own next. Rows are dealt by id ranges, and the first row of a range also goes to the range before it.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("k"), F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("k"), F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     n = task_count(rows, "t")
-    bounds = id_bounds(rows, F.col("k"), n)
-    bucketed = rows.withColumn("b", bucket_of(F.col("k"), [F.lit(x).cast("long") for x in bounds]))
-    firsts = dict(bucketed.groupBy("b").agg(F.min("k")).collect())
-    order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    at = F.create_map(*[F.lit(x) for b in order for x in (b, firsts[b])]) if order else F.create_map(F.lit(0), F.lit(0))
-    to = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])]) if order else F.create_map(F.lit(0), F.lit(0))
-    places = F.when(F.col("k") == F.element_at(at, F.col("b")), F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ahead")), F.struct(F.element_at(to, F.col("b")).alias("b"), F.lit(1).alias("ahead")))).otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ahead"))))
-    dealt = bucketed.withColumn("p", F.explode(places)).select(F.col("p.b").alias("b"), F.col("p.ahead").alias("ahead"), "k", "i", "t")
-    ordered = dealt.repartitionById(n, F.col("b")).sortWithinPartitions("b", "ahead", "k", "t")
+    bucket, _ = id_bounds(rows, "k", "h", n)
+    bucketed = rows.withColumn("b", bucket)
+    firsts = sorted(bucketed.groupBy("b").agg(F.min(F.struct("k", "h")).alias("m")).select("b", "m.k", "m.h").collect())
+    table = [(b, k, h, firsts[i - 1][0]) for i, (b, k, h) in enumerate(firsts)]
+    # one row for a range
+    first = F.broadcast(spark.createDataFrame(table, "b int, first_k long, first_h long, before int"))
+    here, ahead = F.struct(F.col("b").alias("b"), F.lit(0).alias("ahead")), F.struct(F.col("before").alias("b"), F.lit(1).alias("ahead"))
+    is_first = (F.col("k") == F.col("first_k")) & (F.col("h") == F.col("first_h"))
+    dealt = bucketed.join(first, "b").select(F.inline(F.when(is_first, F.array(here, ahead)).otherwise(F.array(here))), "k", "h", "i", "t")
+    ordered = dealt.repartitionById(n, F.col("b")).sortWithinPartitions("b", "ahead", "k", "h", "t")
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compared(ids: list, texts: list[str]) -> pa.RecordBatch:

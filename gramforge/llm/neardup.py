@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.llm.bytescan import Words, mix64, shingle_hashes, slices
+from gramforge.llm.bytescan import Words, among, mix64, shingle_hashes, slices
 from gramforge.llm.graph import components
-from gramforge.llm.runtime import LOWEST, Scratch, ship_code, stored
+from gramforge.llm.runtime import LOWEST, Scratch, positional, ship_code, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -52,26 +52,12 @@ ORDER_FACTORS = _random.integers(1, 1 << 63, size=PICKS, dtype=np.uint64) * np.u
 OCCURRENCE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which of x are among some ascending values."""
-    out = np.zeros(len(x), bool)
-    if not len(sorted_values) or not len(x):
-        return out
-    # a table of their low bits leaves few of x to search for
-    mask = x.dtype.type((1 << 22) - 1)
-    table = np.zeros(1 << 22, bool)
-    table[sorted_values & mask] = True
-    at = np.flatnonzero(table[x & mask])
-    out[at] = sorted_values[np.minimum(np.searchsorted(sorted_values, x[at]), len(sorted_values) - 1)] == x[at]
-    return out
-
-
 def occurrence_labels(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes with their occurrence number in the text mixed in, and which are first occurrences."""
     texts = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
     key = mix64(shingles + texts * OCCURRENCE)
     ranked = np.sort(key)
-    again = np.flatnonzero(_within(np.unique(ranked[1:][ranked[1:] == ranked[:-1]]), key))
+    again = np.flatnonzero(among(np.unique(ranked[1:][ranked[1:] == ranked[:-1]]), key))
     seen = np.zeros(len(key), np.uint64)
     order = np.argsort(key[again], kind="stable")
     repeated = key[again][order]
@@ -100,7 +86,7 @@ def order_sketches(labels: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(v <= limits)
         few = np.flatnonzero(np.bincount(owner[at], minlength=len(used)) < need)
         if len(few):  # their least labels lie above the limit: all are looked at
-            at = np.concatenate([at[~_within(few, owner[at])], *(np.arange(starts[i], starts[i] + sizes[i]) for i in few)])
+            at = np.concatenate([at[~among(few, owner[at])], *(np.arange(starts[i], starts[i] + sizes[i]) for i in few)])
         at = at[np.lexsort((v[at], owner[at]))]
         own = owner[at]
         rank = np.arange(len(at)) - np.searchsorted(own, np.arange(len(used)))[own]
@@ -122,7 +108,7 @@ def ordered_prefixes(shingles: np.ndarray, bounds: np.ndarray, common: np.ndarra
     """The prefixes of some texts end to end (codes of CODE_BITS, common ones with a bit above), the bounds of each, and
     the distinct codes of each text."""
     texts = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-    code = (shingles >> np.uint64(64 - CODE_BITS)) | (_within(common, shingles).astype(np.uint64) << np.uint64(CODE_BITS))
+    code = (shingles >> np.uint64(64 - CODE_BITS)) | (among(common, shingles).astype(np.uint64) << np.uint64(CODE_BITS))
     # a slice has far fewer than 2^20 texts
     made = np.sort((texts << np.uint64(CODE_BITS + 1)) | code)
     made = made[np.concatenate([np.ones(min(1, len(made)), bool), made[1:] != made[:-1]])]
@@ -429,13 +415,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each class: the one of the least id (of equal ids: of the least digest). Rows without a text
     all stay. Rows that repeat that id and its text are folded to one of them."""
     scratch = Scratch(docs.sparkSession, "unique")
-    sk, classes = text_classes(docs, id_col, text_col, similarity, scratch)
+    base, names = positional(docs)
+    id_col, text_col = (base.columns[names.index(c)] for c in (id_col, text_col))
+    sk, classes = text_classes(base, id_col, text_col, similarity, scratch)
     chosen = classes.groupBy("c").agg(F.min(F.struct("k", "v")).alias("m")).select("m.k", "m.v")
     times = sk.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
     kept = stored(chosen.join(times, ["k", "v"]).select(F.col("k").alias("__kept_k"), F.col("v").alias("__kept_v"), F.col("n").alias("__kept_n")), "kept")
     scratch.remove()
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long"))
-    rows = docs.filter(F.col(text_col).isNotNull()).join(kept, (key == F.col("__kept_k")) & (_digest(text_col) == F.col("__kept_v")))
-    single = rows.filter("__kept_n = 1").select(*docs.columns)
-    repeated = rows.filter("__kept_n > 1").dropDuplicates(["__kept_k", "__kept_v"]).select(*docs.columns)
-    return single.unionByName(repeated).unionByName(docs.filter(F.col(text_col).isNull()))
+    rows = base.filter(F.col(text_col).isNotNull()).join(kept, (key == F.col("__kept_k")) & (_digest(text_col) == F.col("__kept_v")))
+    single = rows.filter("__kept_n = 1").select(*base.columns)
+    repeated = rows.filter("__kept_n > 1").dropDuplicates(["__kept_k", "__kept_v"]).select(*base.columns)
+    return single.union(repeated).union(base.filter(F.col(text_col).isNull())).toDF(*names)

@@ -6,18 +6,27 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramforge.sources.folders import shared_base
+
 LOWEST = -(1 << 63)
-MAX_BUCKETS = 20_000
+MAX_BUCKETS = 65_536
+#: Bytes of an Arrow batch on its way to a Python worker; the next text may go beyond it.
+BATCH_BYTES = 8 << 20
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give executors this package (once a context), so that worker processes import it wherever they start."""
+    """Give executors this package (once a context), so that worker processes import it wherever they start, and keep
+    batches of texts small, however long the texts are."""
     sc = spark.sparkContext
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_gramforge_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -30,14 +39,13 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests, local mode) a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="gramforge-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one in local mode, else an error."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ..., which clash with no working column, and their names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
 
 
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -90,10 +98,15 @@ def bucket_of(key: Column, bounds: list, width: Column | None = None) -> Column:
     return F.aggregate(halves, F.lit(0), step)
 
 
-def id_bounds(df: DataFrame, key: Column, buckets: int) -> list[int]:
-    """Quantiles of an integer key that cut df into about equal buckets; at most MAX_BUCKETS values reach the driver."""
-    if buckets < 2:
-        return []
-    at = [i / buckets for i in range(1, buckets)]
-    got = df.agg(F.percentile_approx(key, at, max(10_000, 20 * buckets)).alias("b")).first()[0]
-    return sorted(set(got or []))
+def id_bounds(df: DataFrame, key: str, spread: str, buckets: int) -> tuple[Column, list[tuple[int, int]]]:
+    """The bucket of a row, and the bounds (key, spread) of the buckets: quantiles of an integer key; a key that is several
+    quantiles is cut by `spread`, a hash that rows of one key have. At most MAX_BUCKETS values reach the driver."""
+    bounds: list[tuple[int, int]] = []
+    if buckets > 1:
+        at = [i / buckets for i in range(1, buckets)]
+        got = df.agg(F.percentile_approx(F.col(key), at, max(10_000, 20 * buckets)).alias("b")).first()[0]
+        for v, times in sorted(Counter(got or []).items()):
+            bounds += [(v, LOWEST + j * ((1 << 64) // times)) for j in range(times)]
+    pair = lambda k, h: F.struct(k.alias("k"), h.alias("h"))
+    number = lambda x: F.lit(x).cast("long")
+    return bucket_of(pair(F.col(key), F.col(spread)), [pair(number(k), number(h)) for k, h in bounds]), bounds

@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramforge.llm.runtime import LOWEST, bucket_of, id_bounds, shared_dir, ship_code, task_count
+from gramforge.llm.runtime import LOWEST, id_bounds, shared_dir, ship_code, task_count
 
 SEQUENCE = 2048
 SEQUENCES_PER_BATCH = 64
@@ -62,12 +62,19 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
 
+    def _letters(self, word: str) -> bool:
+        if word.isascii():
+            return word.isalpha()
+        return word.isalpha() and (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(word).isalpha())
+
     def _learn(self, new: set[str]) -> None:
-        """Encodes pieces into the cache. A word of letters is one unit of the library's own split, whatever stands
-        beside it, and so is one full stop or comma after it: such words are encoded together."""
-        stems = {w: w[:-1] for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()}
-        words = list({x for x in (*(w for w in new if w.isalpha()), *stems.values()) if x not in self.cache})
-        other = [w for w in new if w not in stems and not w.isalpha()]
+        """Encodes pieces into the cache. A word that is letters only once the library has normalised it is one unit of
+        the library's own split, whatever stands beside it, and so is one full stop or comma after it: such words are
+        encoded together."""
+        stems = {w: w[:-1] for w in new if w[-1:] in (".", ",") and self._letters(w[:-1])}
+        plain = {w for w in new if self._letters(w)}
+        words = list({x for x in (*plain, *stems.values()) if x not in self.cache})
+        other = [w for w in new if w not in stems and w not in plain]
         groups = [words[i : i + PIECES_TOGETHER] for i in range(0, len(words), PIECES_TOGETHER)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             cuts = [0, *(np.flatnonzero(self.ends_word[e.ids]) + 1).tolist()]
@@ -152,15 +159,16 @@ class _Writer:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files under `folder` (a URI all executors share) and returns their manifest, kept there as Parquet.
 
-    Null texts are empty (their ids are the end id alone), null ids sort first, repeated rows are documents of their
-    own, an empty table writes no file. Other columns are left out.
+    Null texts are empty (their ids are the end id alone), null ids sort first, rows of one id are in the order of a hash
+    of their texts (and can fill several files), repeated rows are documents of their own, an empty table writes no
+    file. Other columns are left out.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("k"), F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("k"), F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
     n = task_count(rows, "t")
-    dealt = rows.withColumn("b", bucket_of(F.col("k"), [F.lit(x).cast("long") for x in id_bounds(rows, F.col("k"), n)]))
-    sorted_rows = dealt.repartitionById(n, F.col("b")).sortWithinPartitions("b", "k", "t")
+    bucket, _ = id_bounds(rows, "k", "h", n)
+    sorted_rows = rows.withColumn("b", bucket).repartitionById(n, F.col("b")).sortWithinPartitions("b", "k", "h", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from gramforge.llm.bytescan import slices
