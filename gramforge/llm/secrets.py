@@ -2,7 +2,7 @@
 
 A base span stands alone. Weak candidates (account names, long random-looking tokens, endpoints) are reported only when
 complementary parts meet within a scope: a token needs an access identifier or account within SCOPE code points, an
-account or endpoint needs a secret there.
+account or endpoint needs a secret there. Parts that overlap don't complete one another.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramforge.llm.runtime import Scratch, stored
+
 SCOPE = 160
 #: kind -> (pattern, group whose length counts, least length, role); fixed values of the base kinds
 BASE = {
@@ -23,8 +25,11 @@ WEAK = {
     "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}", "secret", ("identifier",)),
     "endpoint": (r"""(?i:https?://[A-Za-z0-9.:/_-]+|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""", "endpoint", ("secret",)),
 }
-SPAN = "array<struct<kind:string,role:string,start:int,end:int,weak:boolean>>"
-NO_SPANS = f"cast(array() as {SPAN})"
+SPAN = "struct<kind:string,role:string,start:int,end:int,weak:boolean>"
+NO_SPANS = f"cast(array() as array<{SPAN}>)"
+NO_RUNS = f"cast(array() as array<struct<at:int,out:array<{SPAN}>>>)"
+#: Matches are gathered in runs of this many, so that a text with many matches doesn't copy a growing array each time.
+RUN = 256
 
 
 def _spans(text: Column, pattern: str, kind: str, role: str, weak: bool, least: int = 0) -> Column:
@@ -32,7 +37,6 @@ def _spans(text: Column, pattern: str, kind: str, role: str, weak: bool, least:
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     start_len = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), lambda x: F.char_length(x))
     pairs = F.arrays_zip(start_len.alias("gap"), F.transform(whole, lambda m: F.char_length(m)).alias("len"), whole.alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out"))
 
     def add(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
@@ -41,7 +45,14 @@ def _spans(text: Column, pattern: str, kind: str, role: str, weak: bool, least:
         kept = F.length(F.regexp_extract(p["m"], pattern, 1)) >= least if least else F.lit(True)
         return F.struct(end.alias("at"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+    def add_run(acc: Column, run: Column) -> Column:
+        begin = F.struct(F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(0)).alias("at"), F.expr(NO_SPANS).alias("out"))
+        return F.concat(acc, F.array(F.aggregate(run, begin, add)))
+
+    runs = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: F.slice(p, k * RUN + 1, RUN))
+    # a value that is used twice is bound by a transform of one element
+    made = F.transform(F.array(pairs), lambda p: F.when(F.size(p) == 0, F.expr(NO_SPANS)).otherwise(F.aggregate(runs(p), F.expr(NO_RUNS), add_run, lambda acc: F.flatten(F.transform(acc, lambda r: r["out"])))))
+    return made[0]
 
 
 def _found(text: Column) -> Column:
@@ -59,25 +70,42 @@ def _found(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def _completed(spans: DataFrame, scope: int) -> DataFrame:
+    """Of (row, kind, role, start, end, weak): the weak spans that a part with a role they need ends before, at most
+    `scope` code points away, or starts after. Both meet in a block of `scope` code points, which holds few of them."""
+    block = lambda c: F.expr(f"{c} div {scope}")
+    ends = F.array(F.struct(F.lit("before").alias("side"), F.col("end").alias("pos")), F.struct(F.lit("after").alias("side"), F.col("start").alias("pos")))
+    anchors = spans.select("row", "role", F.inline(ends)).withColumn("block", block("pos")).distinct()
+    needs = F.create_map(*[x for k, (_, _, roles) in WEAK.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in roles]))])
+    reach = F.array(
+        F.struct(F.lit("before").alias("side"), F.greatest(F.col("start") - scope, F.lit(0)).alias("lo"), F.col("start").alias("hi")),
+        F.struct(F.lit("after").alias("side"), F.col("end").alias("lo"), (F.col("end") + scope).alias("hi")),
+    )
+    open_ = spans.filter("weak").withColumn("role", F.explode(F.element_at(needs, F.col("kind")))).select("row", "kind", "start", "end", "role", F.inline(reach))
+    open_ = open_.withColumn("block", F.explode(F.sequence(block("lo"), block("hi"))))
+    o, a = open_.alias("o"), anchors.alias("a")
+    same = [F.col(f"o.{c}") == F.col(f"a.{c}") for c in ("row", "role", "side", "block")]
+    return o.join(a, [*same, F.col("a.pos").between(F.col("o.lo"), F.col("o.hi"))], "left_semi").select("row", "kind", "start", "end")
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row for a row of docs: the id and `found`, an array of spans (kind, role, start, end, weak), code points.
 
-    Null and empty texts have no spans. Rows that repeat an id and its text have equal results; columns other than the
-    id and the text are left out. Links are found by equal keys of text and block of `scope` code points, over the
-    least start and greatest end of each role in a block, so a text with many parts does not meet itself pair by pair.
+    Null and empty texts have no spans, repeated rows have equal ones, an empty table gives no rows; columns other than
+    the id and the text are left out. The texts are read once: their spans go to the shared folder, and only rows with
+    weak spans take part in the linking.
     """
+    scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("__id"), F.md5(text.cast("binary")).alias("__t"), _found(text).alias("__found"))
-    weak = rows.filter(F.exists("__found", lambda s: s["weak"]))
-    parts = weak.select("__t", F.inline("__found")).distinct()
-    anchors = parts.withColumn("__block", F.explode(F.expr(f"sequence(start div {scope}, end div {scope})"))).groupBy("__t", "role", "__block").agg(F.min("start").alias("__lo"), F.max("end").alias("__hi"))
-    needs = F.create_map(*[x for k, (_, _, roles) in WEAK.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in roles]))])
-    open_parts = parts.filter("weak").withColumn("role", F.explode(F.element_at(needs, F.col("kind")))).withColumn("__block", F.explode(F.expr(f"sequence(start div {scope} - 1, end div {scope} + 1)")))
-    linked = open_parts.alias("p").join(anchors.alias("a"), ["__t", "role", "__block"]).filter((F.col("a.__lo") <= F.col("p.end") + scope) & (F.col("a.__hi") >= F.col("p.start") - scope))
-    kept = linked.groupBy("__t").agg(F.collect_set(F.struct("p.kind", "p.start", "p.end")).alias("__kept"))
-    joined = rows.join(kept, "__t", "left")
-    found = F.filter("__found", lambda s: ~s["weak"] | F.coalesce(F.array_contains(F.col("__kept"), F.struct(s["kind"], s["start"], s["end"])), F.lit(False)))
-    return joined.select(F.col("__id").alias(id_col), found.alias("found"))
+    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), _found(text).alias("found")).withColumn("row", F.monotonically_increasing_id()), "found")
+    has_weak = F.exists("found", lambda s: s["weak"])
+    linked = _completed(rows.filter(has_weak).select("row", F.inline("found")), scope)
+    kept = linked.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("kept"))
+    stay = lambda s: ~s["weak"] | F.coalesce(F.array_contains(F.col("kept"), F.struct(s["kind"], s["start"], s["end"])), F.lit(False))
+    weak = rows.filter(has_weak).join(kept, "row", "left").select("id", F.filter("found", stay).alias("found"))
+    out = stored(rows.filter(~has_weak).select("id", "found").union(weak).select(F.col("id").alias(id_col), "found"), "secrets")
+    scratch.remove()
+    return out
 
 
 def span_digest(spans: Column) -> Column:
