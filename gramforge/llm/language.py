@@ -3,12 +3,13 @@
 Words are labelled; emissions sum weights of character n-grams (with marks at a word's ends, so prefixes and suffixes
 too) and of a lexicon of frequent words, transitions are learned from chains spliced of several languages, and
 forward-backward gives every word's marginals. A text's language is the one with the largest mean marginal.
-A chain is up to CHAIN successive words; all words of a text are in one of its chains.
+A text is one chain. Its pieces of CHAIN words are gone through side by side: each piece is first made a matrix from the
+message that enters it to the one that leaves it, these carry the messages over the pieces, and then every piece is
+gone through with those of both its ends.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.llm.bytescan import Words, slices
+from gramforge.llm.bytescan import SLICE_BYTES, Words, slices
 from gramforge.llm.runtime import ship_code
 
 GRAMS = (2, 3, 4)
 BITS = 15
 CHAIN = 64
 LEXICON = 4000
-#: The fit's bounds: rows of each language and bytes of a row; languages beyond MAX_LANGS (by rows) are not learned.
-FIT_ROWS, FIT_BYTES, MAX_LANGS = 250, 6000, 64
+#: The fit's bounds: rows of each language and bytes of a row. More than MAX_LANGS languages are an error.
+FIT_ROWS, FIT_BYTES, MAX_LANGS = 250, 6000, 256
 STEPS, CHAINS, RATE = 160, 64, 0.15
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 GRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,18 +89,32 @@ class Crf:
         out[~table.has_letter] = 0
         return out
 
-    def marginals(self, scores: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward on chains side by side: scores (place, chain, label), live (place, chain). Also the expected
-        transitions, summed."""
+    def carried(self, scores: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """For pieces of chains (place, piece, label): the matrix (piece, label, label) from the message that reaches a
+        piece's first place to the one that its last place sends, to a factor."""
+        e = np.exp(scores - scores.max(axis=2, keepdims=True))
+        a = np.exp(self.transitions)
+        out = np.eye(scores.shape[2], dtype=np.float32) * e[0][:, None, :]
+        for t in range(1, len(e)):
+            step = (out @ a) * e[t][:, None, :]
+            step /= step.max(axis=(1, 2), keepdims=True)
+            out = np.where(live[t][:, None, None], step, out)
+        return out
+
+    def marginals(self, scores: np.ndarray, live: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Forward-backward on chains side by side: scores (place, chain, label), live (place, chain). For pieces of
+        chains, the messages that reach the first place (to be multiplied with its score) and the last one. Also the
+        expected transitions, summed."""
         places, chains, n = scores.shape
         e = np.exp(scores - scores.max(axis=2, keepdims=True))
         a = np.exp(self.transitions)
         forward = np.empty_like(e)
-        forward[0] = e[0] / e[0].sum(axis=1, keepdims=True)
+        begin = e[0] if enter is None else e[0] * enter
+        forward[0] = begin / begin.sum(axis=1, keepdims=True)
         for t in range(1, places):
             f = (forward[t - 1] @ a) * e[t]
             forward[t] = f / f.sum(axis=1, keepdims=True)
-        back = np.ones((chains, n), np.float32)
+        back = np.ones((chains, n), np.float32) if leave is None else leave
         out = np.empty_like(e)
         moved = np.zeros((n, n))
         for t in range(places - 1, -1, -1):
@@ -111,7 +125,7 @@ class Crf:
                 joint = (forward[t - 1][:, :, None] * a) * ahead[:, None, :]
                 moved += (joint * (live[t] / joint.sum(axis=(1, 2)))[:, None, None]).sum(axis=0) if self.fitting else 0
                 b = ahead @ a.T
-                back = np.where(live[t][:, None], b / b.sum(axis=1, keepdims=True), 1)
+                back = np.where(live[t][:, None], b / b.sum(axis=1, keepdims=True), back)
         return out, moved
 
     fitting = False
@@ -191,12 +205,36 @@ class Crf:
         start = np.repeat(words.bounds[:-1], chains) + inner * CHAIN
         size = np.minimum(CHAIN, np.repeat(counts, chains) - inner * CHAIN)
         order = np.argsort(size, kind="stable")
-        for i in range(0, total, 4096):
-            own = order[i : i + 4096]
+        groups = [order[i : i + 4096] for i in range(0, total, 4096)]
+
+        def laid(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             places = np.arange(int(size[own].max()))[:, None]
             live = places < size[own]
             at = np.where(live, start[own] + places, start[own])
-            made, _ = self.marginals(np.where(live[:, :, None], score[table.at[at]], np.float32(0)), live)
+            return np.where(live[:, :, None], score[table.at[at]], np.float32(0)), live, at
+
+        enter, leave = np.ones((total, n), np.float32), np.ones((total, n), np.float32)
+        several = np.repeat(chains > 1, chains)
+        if several.any():
+            carried = np.empty((total, n, n), np.float32)
+            for own in groups:
+                if len(own := own[several[own]]):
+                    scores, live, _ = laid(own)
+                    carried[own] = self.carried(scores, live)
+            a = np.exp(self.transitions)
+            lasts = np.cumsum(chains) - 1
+            firsts = lasts - chains + 1
+            for step in range(1, int(chains.max())):  # pieces of the longest text
+                texts = np.flatnonzero(chains > step)
+                c = firsts[texts] + step
+                now = np.einsum("cj,cjk->ck", enter[c - 1], carried[c - 1]) @ a
+                enter[c] = now / now.max(axis=1, keepdims=True)
+                c = lasts[texts] - step
+                now = np.einsum("cjk,ck->cj", carried[c + 1], leave[c + 1]) @ a.T
+                leave[c] = now / now.max(axis=1, keepdims=True)
+        for own in groups:
+            scores, live, at = laid(own)
+            made, _ = self.marginals(scores, live, enter[own], leave[own])
             out[at[live]] = made[live]
         return out
 
@@ -211,7 +249,7 @@ class Crf:
         mean = (upto[words.bounds[1:]] - upto[words.bounds[:-1]]) / np.maximum(counts, 1)[:, None]
         best = mean.argmax(axis=1)
         for i, t in enumerate(texts.to_pylist()):
-            if t and counts[i] and LETTER.search(t):
+            if t and counts[i] and any(map(str.isalpha, t)):
                 names[i], scores[i] = self.langs[best[i]], min(1.0, max(0.0, float(mean[i, best[i]])))
         return names, scores
 
@@ -221,19 +259,27 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Crf:
-    """A model of the languages of the rows not held out, fitted on at most `rows` of each, drawn by a hash of the id."""
+    """A model of the languages of the rows not held out, fitted on at most `rows` of each, drawn by a hash of the id and
+    the text. Rows without a text or language are left out, repeated rows count once, texts of more than FIT_BYTES are not
+    fitted on; without any row there is no language to predict. docs is read twice, whatever the number of languages."""
     known = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    langs = sorted(r[0] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect())
-    ids = known.filter(F.octet_length("t") <= FIT_BYTES).select("i", "l")
-    parts = [ids.filter(F.col("l") == lang).orderBy(F.xxhash64("i"), "i").limit(rows) for lang in langs]
-    if not parts:
+    known = known.select("l", "t", (F.octet_length("t") <= FIT_BYTES).cast("long").alias("short"), F.xxhash64("i", "t").alias("h"))
+    found = known.groupBy("l").agg(F.sum("short").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = sorted(r[0] for r in found)
+    # twice the rows of each language are drawn on average, then the least hashes are taken
+    share = {r[0]: min(1.0, 2 * rows / max(1, r[1])) for r in found}
+    if not langs:
         return Crf([])
-    picked = parts[0]
-    for p in parts[1:]:
-        picked = picked.union(p)
-    # rows * MAX_LANGS ids at most
-    got = sorted(known.filter(F.octet_length("t") <= FIT_BYTES).join(F.broadcast(picked), ["i", "l"]).select("i", "t", "l").collect())
-    return Crf(langs).fit([r[1] for r in got], [langs.index(r[2]) for r in got])
+    below = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, share[lang])]), F.col("l"))
+    drawn = known.filter((F.col("short") == 1) & (F.pmod("h", F.lit(1 << 30)) < below * (1 << 30))).groupBy("l", "h").agg(F.min("t").alias("t"))
+    order = {lang: [] for lang in langs}
+    for lang, h, t in sorted(drawn.collect(), key=lambda r: (r[0], r[1] % (1 << 30), r[1])):
+        if len(order[lang]) < rows:
+            order[lang].append((lang, t))
+    got = [x for own in order.values() for x in own]
+    return Crf(langs).fit([t for _, t in got], [langs.index(lang) for lang, _ in got])
 
 
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +289,7 @@ def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "t"):
+        for piece in slices(batches, "t", SLICE_BYTES * 4 // max(4, len(held.value.langs))):
             names, scores = held.value.predict(piece.column("t"))
             yield pa.RecordBatch.from_arrays([piece.column("i"), pa.array(names, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
 
