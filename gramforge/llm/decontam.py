@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Test items are split into words. Three-word grams of an item are seeds unless the corpus holds them far more often than
-is usual for the item (counts over all documents); of every few successive grams the least counted is one in any case,
-so each part of an item has a seed, however common. Where a document holds a
-seed, the words around it are aligned with the item (match 2, mismatch and gap -1); the score over twice the item's
-words is the share that survives.
+Test items are split into words. Runs of three words of an item are seeds unless the corpus holds them far more often
+than is usual for the item (counts over all documents); of every few successive runs the least counted is one in any
+case, so each part of an item has a seed, however common. Runs of two words are seeds by the same rule, but two of them
+have to meet on close diagonals: copies with every third word changed have no other. An item of one or two words is one
+seed. Where a document holds seeds, the words around them are aligned with the item (match 2, mismatch and gap -1); the
+score over twice the item's words is the share that survives.
 """
 
 from __future__ import annotations
@@ -13,47 +14,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.llm.bytescan import Words, shingle_hashes, slices
+from gramforge.llm.bytescan import Words, among, shingle_hashes, slices
 from gramforge.llm.runtime import ship_code
 
-GRAM = 3
+#: Words of a seed, and how many seeds of the size make a candidate together: weights that have to reach ENOUGH.
+GRAMS, ENOUGH = {3: 2, 2: 1, 1: 2}, 2
 SEED_EVERY = 3
 #: A gram is rare up to this many times the item's median count, plus this many.
 RARE_TIMES, RARE_PLUS = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Test items that one pass over the documents takes; more items take more passes.
-BLOCK_BYTES = 32 << 20
-ALIGNED_TOGETHER = 256
+BLOCK_BYTES = 16 << 20
+#: Cells of a row of the alignments that are made side by side.
+ALIGNED_CELLS = 1 << 18
 
 
 class Items:
-    """Some test items: words, grams and seeds."""
+    """Some test items: words and, for each size of gram, its distinct grams and seeds (gram, item, place, weight)."""
 
     def __init__(self, ids: list, texts: list[str]):
         words = Words(pa.array(texts, pa.large_string()))
         self.ids, self.words, self.bounds = np.array(ids, np.int64), words.hash, words.bounds
         self.lengths = np.diff(self.bounds)
-        grams, gram_bounds = shingle_hashes(self.words, self.bounds, GRAM)
-        self.grams, self.gram_bounds = grams, gram_bounds
-        self.distinct = np.unique(grams)
-        self.seeds = self.seed_item = self.seed_place = None
-
-    def choose(self, counts: dict[int, int]) -> None:
+        self.grams: dict[int, tuple] = {}
+        for size in GRAMS:
+            grams, bounds = shingle_hashes(self.words, self.bounds, size)
+            item = np.repeat(np.arange(len(self.lengths)), np.diff(bounds))
+            # an item of fewer words has one seed, of as many words as it has
+            used = (self.lengths >= size if size > 1 else self.lengths == 1)[item]
+            place = np.arange(len(grams)) - np.repeat(bounds[:-1], np.diff(bounds))
+            self.grams[size] = grams[used], item[used], place[used]
+        self.distinct = {size: np.unique(g[0]) for size, g in self.grams.items()}
+        self.seeds: dict[int, tuple] = {}
+
+    def choose(self, counts: dict[int, np.ndarray]) -> None:
         """Seeds: an item's rare grams, and in each group of SEED_EVERY the least counted, the first of equals."""
-        seen = np.array([counts.get(g, 0) for g in self.grams.view(np.int64).tolist()], np.int64)
-        chosen = []
-        for a, b in zip(self.gram_bounds[:-1].tolist(), self.gram_bounds[1:].tolist(), strict=True):
-            rare = a + np.flatnonzero(seen[a:b] <= RARE_TIMES * np.median(seen[a:b]) + RARE_PLUS) if b > a else []
-            chosen += sorted({*map(int, rare), *(s + int(np.argmin(seen[s : min(s + SEED_EVERY, b)])) for s in range(a, b, SEED_EVERY))})
-        at = np.array(chosen, np.int64)
-        item = np.searchsorted(self.gram_bounds, at, side="right") - 1
-        order = np.argsort(self.grams[at], kind="stable")
-        self.seeds, self.seed_item = self.grams[at][order], item[order]
-        self.seed_place = (at - self.gram_bounds[item])[order]
+        for size, (grams, item, place) in self.grams.items():
+            seen = counts[size][np.searchsorted(self.distinct[size], grams)] if len(grams) else np.zeros(0, np.int64)
+            chosen = np.zeros(len(grams), bool)
+            bounds = np.searchsorted(item, np.arange(len(self.lengths) + 1))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b > a:
+                    chosen[a:b] = seen[a:b] <= RARE_TIMES * np.median(seen[a:b]) + RARE_PLUS
+                    for s in range(a, b, SEED_EVERY):
+                        chosen[s + int(np.argmin(seen[s : min(s + SEED_EVERY, b)]))] = True
+            at = np.flatnonzero(chosen)
+            at = at[np.argsort(grams[at], kind="stable")]
+            weight = np.where(self.lengths[item[at]] <= size, ENOUGH, GRAMS[size])
+            self.seeds[size] = grams[at], item[at], place[at], weight
 
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -78,37 +91,42 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> np.nd
 
 def _matches(words: Words, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, last word + 1) of the best passage of each text and item that reaches it."""
-    grams, bounds = shingle_hashes(words.hash, words.bounds, GRAM)
-    if not len(grams) or not len(items.seeds):
-        return []
-    left, right = np.searchsorted(items.seeds, grams, "left"), np.searchsorted(items.seeds, grams, "right")
-    hit = np.flatnonzero(right > left)
-    if not len(hit):
+    hits = []
+    for size, (seeds, seed_item, seed_place, seed_weight) in items.seeds.items():
+        if not len(seeds):
+            continue
+        grams, bounds = shingle_hashes(words.hash, words.bounds, size)
+        hit = np.flatnonzero(among(seeds, grams))
+        left, right = np.searchsorted(seeds, grams[hit], "left"), np.searchsorted(seeds, grams[hit], "right")
+        times = right - left
+        at = np.repeat(hit, times)
+        seed = np.repeat(left, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        text = np.searchsorted(bounds, at, side="right") - 1
+        hits.append((text, seed_item[seed], at - bounds[text] - seed_place[seed], seed_weight[seed]))
+    if not hits or not sum(len(h[0]) for h in hits):
         return []
-    times = (right - left)[hit]
-    at = np.repeat(hit, times)
-    seed = np.repeat(left[hit], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-    text = np.searchsorted(bounds, at, side="right") - 1
-    item = items.seed_item[seed]
-    place = at - bounds[text]
-    diagonal = place - items.seed_place[seed]
+    text, item, diagonal, weight = (np.concatenate(c) for c in zip(*hits, strict=True))
     # hits of one item in one text whose diagonals lie close are one passage
     order = np.lexsort((diagonal, item, text))
-    text, item, diagonal = text[order], item[order], diagonal[order]
+    text, item, diagonal, weight = text[order], item[order], diagonal[order], weight[order]
     slack = items.lengths[item] // 4 + 4
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > slack[1:])
     group = np.flatnonzero(new)
     lows = diagonal[group]
     highs = diagonal[np.concatenate([group[1:], [len(text)]]) - 1]
+    enough = np.add.reduceat(weight, group) >= ENOUGH
+    group, lows, highs = group[enough], lows[enough], highs[enough]
     text, item, slack = text[group], item[group], slack[group]
     count = words.counts()[text]
     first = np.maximum(lows - slack, 0)
     last = np.minimum(highs + items.lengths[item] + slack, count)
     scores = np.zeros(len(group))
-    order = np.argsort(last - first, kind="stable")
-    for i in range(0, len(order), ALIGNED_TOGETHER):
-        own = order[i : i + ALIGNED_TOGETHER]
+    order = np.argsort(last - first, kind="stable")[::-1]
+    i = 0
+    while i < len(order):
+        own = order[i : i + max(1, ALIGNED_CELLS // int(last[order[i]] - first[order[i]] + 1))]
+        i += len(own)
         a = [items.words[items.bounds[k] : items.bounds[k + 1]] for k in item[own]]
         b = [words.hash[words.bounds[t] + f : words.bounds[t] + z] for t, f, z in zip(text[own], first[own], last[own], strict=True)]
         scores[own] = smith_waterman(a, b) / (MATCH * items.lengths[item[own]])
@@ -128,22 +146,29 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
     for p in range(parts):
         got = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect()
         made = Items([r[0] for r in got], [r[1] for r in got])
-        if not len(made.distinct):
+        if not len(made.words):
             continue
         wanted = docs.sparkSession.sparkContext.broadcast(made.distinct)
 
         def count(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(len(wanted.value), np.int64)
+            seen = {size: np.zeros(len(g), np.int64) for size, g in wanted.value.items()}
             for piece in slices(batches, "t"):
                 words = Words(piece.column("t"))
-                grams, _ = shingle_hashes(words.hash, words.bounds, GRAM)
-                at = np.minimum(np.searchsorted(wanted.value, grams), len(wanted.value) - 1)
-                seen += np.bincount(at[wanted.value[at] == grams], minlength=len(seen))
-            used = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(wanted.value[used].view(np.int64)), pa.array(seen[used])], names=["g", "n"])
-
-        counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()
-        made.choose(dict(map(tuple, counted)))
+                for size, distinct in wanted.value.items():
+                    if len(distinct):
+                        grams, _ = shingle_hashes(words.hash, words.bounds, size)
+                        seen[size] += np.bincount(np.searchsorted(distinct, grams[among(distinct, grams)]), minlength=len(distinct))
+            for size, n in seen.items():
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), size, np.int32)), pa.array(used), pa.array(n[used])], names=["size", "g", "n"])
+
+        # as many rows as the block's items have grams
+        counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "size int, g long, n long").groupBy("size", "g").agg(F.sum("n").alias("n")).toArrow()
+        counts = {size: np.zeros(len(g), np.int64) for size, g in made.distinct.items()}
+        for size, own in counts.items():
+            rows = counted.filter(pa.compute.equal(counted.column("size"), size))
+            own[rows.column("g").to_numpy()] = rows.column("n").to_numpy()
+        made.choose(counts)
         yield made
 
 
@@ -151,7 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(id, item_id, score, word_start, word_end) for each document and item whose best passage reaches the threshold.
 
     Null and empty texts hold no passage; null items and items without words are not looked for; repeated rows give
-    repeated results; an item of fewer than three words is one gram. Without items there are no rows.
+    repeated results; an item of one or two words is found where these stand side by side. Without items there are no
+    rows.
     """
     schema = f"`{id_col}` long, item_id long, score double, word_start long, word_end long"
     out = None
@@ -171,7 +197,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that hold a passage of a test item; no join and no shuffle of the texts."""
+    """docs without the rows that hold a passage of a test item; no shuffle of the texts. Null and empty texts stay,
+    repeated rows are alike, other columns stay as they are; without items or rows nothing goes."""
     out = docs
     for items in item_blocks(docs, benchmark, id_col, text_col, item_col, item_text):
         held = docs.sparkSession.sparkContext.broadcast(items)
