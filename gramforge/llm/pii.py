@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
-Base patterns stand. Wider candidates of the same kinds and of names are voted on by labelers (strict pattern,
-gazetteer, context, shape, surroundings). Counts of vote patterns over all documents give, by expectation-maximisation,
+Base patterns stand. Wider candidates of the same kinds and of names are voted on by labelers, for or against: strict
+pattern, gazetteer (domains, given names, issuers, area codes, address blocks), context (cues in four languages as
+whole words), shape (check digits, lengths, repeats) and surroundings. Counts of vote patterns over all documents give, by expectation-maximisation,
 each labeler's reliability and each pattern's probability; a logistic span classifier is trained on these and adds the
 candidates that it accepts.
 """
@@ -35,20 +36,41 @@ WIDE = {
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[.\x20/-][0-9]{4}){3}(?![0-9])"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?"),
+    "name": re.compile(r"\b(?:Mrs?|Ms|Dr|Prof|Herrn?|Frau|M(?=\.)|Mme|Mlle|Monsieur|Madame|Sra?|Srta|Señora?|Don|Doña)\.?\x20[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[\x20-][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+){0,2}"),
 }
+#: One of these stands in every text with a name of the pattern above.
+TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "M.", "Mme", "Mlle", "Monsieur", "Madame", "Sr", "Señor", "Don", "Doña")
+#: Top-level domains in use, frequent given names of the four languages, and how card numbers begin.
 GAZETTEER = {
-    "email": frozenset("com org net edu gov io de fr es uk info mil".split()),
-    "name": frozenset("james mary john anna peter paul maria michael david laura thomas marie hans jean juan carlos sofia".split()),
+    "email": frozenset(
+        "com org net edu gov mil int info biz name pro io dev app ai cloud online site shop tech blog example "
+        "ac ad ae ar at au be bg bo br by ca ch cl cn co cr cu cy cz de dk do ec ee eg es eu fi fr gb gr gt hk hn hr hu id ie "
+        "il in ir is it jp ke kr li lt lu lv ma mc md me mx my ng ni nl no nz pa pe ph pl pr pt py ro rs ru sa se sg si sk sv "
+        "th tn tr tw ua uk us uy ve vn za".split()
+    ),
+    "name": frozenset(
+        "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica "
+        "thomas sarah charles karen daniel lisa matthew nancy anthony betty mark margaret paul sandra steven ashley andrew "
+        "emily george anna peter laura emma alice hans peter wolfgang klaus jürgen dieter manfred uwe günter stefan andreas "
+        "ursula monika helga renate sabine ingrid petra gisela karin birgit jean pierre michel andré philippe alain jacques "
+        "bernard louis marie nathalie isabelle sylvie catherine françoise monique nicolas julien camille chloé josé antonio "
+        "juan manuel francisco luis javier miguel ángel carlos jesús maría carmen josefa isabel dolores pilar teresa ana "
+        "lucía sofía pablo diego sergio".split()
+    ),
+    "card": ("4", "51", "52", "53", "54", "55", "2221", "23", "24", "25", "26", "270", "271", "2720", "34", "37", "35", "36", "38", "6011", "644", "645", "65", "62"),
 }
+#: Cues, as whole words before a candidate, in English, German, French and Spanish.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "e-mail"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "payment", "mastercard"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "contact"),
-    "name": ("dear", "signed", "regards", "patient", "by"),
+    "email": "mail email e-mail contact write reply address kontakt schreiben adresse courriel écrire adresse correo escribir contacto",
+    "ip": "ip host server address client from adresse rechner hôte serveur servidor dirección cliente",
+    "card": "card visa mastercard amex credit debit payment paid karte kreditkarte zahlung carte paiement tarjeta pago crédito",
+    "phone": "phone call tel telephone mobile cell fax contact telefon anrufen mobil handy rufnummer téléphone appeler portable teléfono llamar móvil",
+    "name": "dear signed regards patient sincerely by from liebe lieber gruß unterschrift cher chère signé cordialement querido querida firmado atentamente",
 }
-AGAINST = ("version", "isbn", "order", "invoice", "sku", "figure", "table")
+AGAINST = "version v release isbn issn order invoice sku part serial figure fig table section chapter page build ticket bestellung rechnung artikel abbildung tabelle kapitel seite commande facture référence tableau chapitre pedido factura referencia figura tabla capítulo página"
+_cue = lambda words: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, dict.fromkeys(words.split()))) + r")(?!\w)")
+CONTEXT_CUES = {k: _cue(v) for k, v in CONTEXT.items()}
+AGAINST_CUES = _cue(AGAINST)
 LABELERS = ("pattern", "gazetteer", "context", "shape", "surroundings")
 BEFORE = 40
 CANDIDATE = "struct<kind:int,start:int,end:int,base:boolean,votes:int,shape:int>"
@@ -92,29 +114,40 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def _votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, int]:
     """Votes of the labelers, each 0 (against), 1 (none) or 2 (for), as one number to base 3; and a shape bucket."""
     body = text[start:end]
-    lower = body.lower()
-    digits = sum(c in "0123456789" for c in body)
-    words = re.findall("[a-z]+", lower)
-    gazetteer = 1
+    digits = "".join(c for c in body if c in "0123456789")
+    pattern, gazetteer, shape = (2 if base else 1), 1, 1
     if kind == "email":
+        words = re.findall(r"[^\W\d_]+", body.lower())
         gazetteer = 2 if words and words[-1] in GAZETTEER["email"] else 0
+        shape = 0 if len(body) > 254 or ".." in body else 2
     elif kind == "name":
-        gazetteer = 2 if any(w in GAZETTEER["name"] for w in words[1:]) else 1
-    before = text[max(0, start - BEFORE) : start].lower()
-    context = 2 if any(w in before for w in CONTEXT[kind]) else 0 if any(w in before for w in AGAINST) else 1
-    shape = 1
-    if kind == "card":
-        shape = 2 if luhn("".join(c for c in body if c in "0123456789")) else 0
+        words = re.findall(r"[^\W\d_]+", body.lower())[1:]
+        gazetteer = 2 if any(w in GAZETTEER["name"] for w in words) else 1
+        pattern, shape = (2 if len(words) > 1 else 1), (0 if text[end : end + 1] == "'" else 1)
+    elif kind == "card":
+        gazetteer = 2 if digits.startswith(GAZETTEER["card"]) else 0
+        shape = 2 if luhn(digits) and len(set(digits)) > 2 else 0
     elif kind == "phone":
-        shape = 2 if digits >= 10 else 1
-    elif kind == "ip":
-        shape = 2
+        # an area code and an exchange begin with 2 to 9
+        national = digits[-10:]
+        gazetteer = 0 if len(digits) < 8 or len(set(digits)) < 3 else 2 if "+" in body or national[0] in "23456789" else 0
+        shape = 2 if len(digits) >= 10 and (len(digits) != 10 or national[3] in "23456789") else 0
+    elif ":" in body:
+        groups = body.lower().split(":")
+        gazetteer = 0 if groups[0] in ("0", "0000") else 2 if groups[0].startswith(("2", "fe8", "fc", "fd")) else 1
+        shape = 2 if len(set(groups)) > 2 else 0
+    else:
+        parts = body.split(".")
+        gazetteer = 0 if parts[0].lstrip("0") in ("", "127", "255") else 2
+        shape = 0 if any(len(p) > 1 and p[0] == "0" for p in parts) or max(map(len, parts)) == 1 else 2
+    before = text[max(0, start - BEFORE) : start].lower()
+    context = 0 if AGAINST_CUES.search(before) else 2 if CONTEXT_CUES[kind].search(before) else 1
     glued = (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
     votes = 0
-    for v in (2 if base else 1, gazetteer, context, shape, 0 if glued else 2):
+    for v in (pattern, gazetteer, context, shape, 0 if glued else 2):
         votes = 3 * votes + v
     size = min(3, (end - start) // 8)
-    share = min(3, 4 * digits // max(1, end - start))
+    share = min(3, 4 * len(digits) // max(1, end - start))
     return votes, 4 * size + share
 
 
@@ -123,7 +156,7 @@ def candidates(text: str) -> list[dict]:
     base = base_spans(text)
     found = [(KINDS.index(k), a, b, True) for k in BASE_KINDS for a, b in base[k]]
     taken = sorted((a, b) for _, a, b, _ in found)
-    has_digit, has_title = any(c in text for c in "0123456789"), "M" in text or "Dr" in text or "Prof" in text
+    has_digit, has_title = any(c in text for c in "0123456789"), any(t in text for t in TITLES)
     for k, pattern in WIDE.items():
         if (k == "name" and not has_title) or (k in ("phone", "card", "ip") and not has_digit) or (k == "email" and "(" not in text and "[" not in text):
             continue
