@@ -13,10 +13,15 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gramforge.llm.runtime import positional
 
 PERIOD = 1 << 40
 BLOCK_ROWS = 64
 BUCKET_ROWS = 4096
+#: Offsets of so many buckets are summed in one task, and then those sums.
+BUCKETS_TOGETHER = 4096
 MAX_SOURCES = 1000
 
 
@@ -70,12 +75,17 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block_
 
     `mixed` is true up to the slot where sources of more than 1 - live_weight of the weight have run out; the mix holds
     its weights till there. Null sources are a source of their own, a source without a weight is not mixed (its
-    mix_ columns are null); repeated rows are rows of their own; an empty table gives no rows. Sources must be at most
-    MAX_SOURCES (their counts reach the driver); more raise ValueError.
+    mix_ columns are null); repeated rows are rows of their own; an empty table gives no rows; other columns may have any
+    name. Rows are ranked by a hash of the id and the whole row, so that rows of one id spread and a retry ranks alike.
+    Weights are exact to 1/PERIOD; a weight below that counts as 1/PERIOD. With live_weight=0 the mix goes on to the
+    last row, whatever the weights of what is left. Sources must be at most MAX_SOURCES (their counts reach the
+    driver); more raise ValueError.
     """
     names = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank", "mixed"]
-    keep = [c for c in docs.columns if c not in names]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__s", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")))
+    base, columns_in = positional(docs)
+    at_col = {n: F.col(c) for c, n in zip(base.columns, columns_in, strict=True)}
+    whole = F.xxhash64(*[F.col(f.name) for f in base.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    base = base.withColumn("__s", F.coalesce(F.concat(F.lit("="), at_col[source_col].cast("string")), F.lit("null")))
     spark = docs.sparkSession
     found = base.groupBy("__s").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -96,12 +106,16 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block_
     table = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, [pa.string()] + [pa.int64()] * 4, strict=True)], names=["__s", "__block", "__r", "__d", "__slot"]))
     # ranks in two steps: within hash buckets of a source, then offsets of the buckets, so no source meets in one task
     buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
-    id64 = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
-    bucketed = base.withColumn("__i", id64).withColumn("__h", F.md5(F.col("__i").cast("string"))).withColumn("__b", F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    earlier = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0).cast("long"))).drop("__n")
-    ranked = bucketed.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", "__i")).cast("long") - 1).join(offsets, ["__s", "__b"])
+    id64 = F.coalesce(at_col[id_col].cast("long"), F.lit(-(1 << 63)).cast("long"))
+    bucketed = base.withColumn("__i", id64).withColumn("__w", whole).withColumn("__h", F.xxhash64("__i", "__w")).withColumn("__b", F.pmod("__h", F.lit(buckets)))
+    each = bucketed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__g", F.expr(f"__b div {BUCKETS_TOGETHER}"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda w: F.coalesce(F.sum("__n").over(w), F.lit(0).cast("long"))
+    groups = each.groupBy("__s", "__g").agg(F.sum("__n").alias("__n")).withColumn("__o", upto(before("__s", "__g"))).drop("__n")
+    offsets = each.withColumn("__p", upto(before("__s", "__g", "__b"))).join(groups, ["__s", "__g"]).select("__s", "__b", (F.col("__o") + F.col("__p")).alias("__before"))
+    ranked = bucketed.withColumn("__rank", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", "__i", "__w")).cast("long") - 1).join(offsets, ["__s", "__b"])
     at = F.col("__before") + F.col("__rank")
     placed = ranked.withColumn("__block", F.when(F.col("__s").isin(list(units)), F.floor(at / block_rows).cast("long"))).withColumn("__in", at % block_rows)
     out = placed.join(F.broadcast(table), ["__s", "__block"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__block").alias("mix_block"), F.col("__r").alias("mix_release"), F.col("__d").alias("mix_deadline"), F.col("__slot").alias("mix_slot"), F.when(F.col("__block").isNotNull(), F.col("__in")).alias("mix_rank"), F.coalesce(F.col("__slot") < F.lit(horizon), F.lit(False)).alias("mixed"))
+    kept = [F.col(c).alias(n) for c, n in zip([f"c{i}" for i in range(len(columns_in))], columns_in, strict=True) if n not in names]
+    return out.select(*kept, F.col("__block").alias("mix_block"), F.col("__r").alias("mix_release"), F.col("__d").alias("mix_deadline"), F.col("__slot").alias("mix_slot"), F.when(F.col("__block").isNotNull(), F.col("__in")).alias("mix_rank"), F.coalesce(F.col("__slot") < F.lit(horizon), F.lit(False)).alias("mixed"))
