@@ -155,13 +155,18 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Network:
-    """A network fitted on at most `rows` labelled rows of each class, drawn by a hash of the id, not held out."""
+    """A network fitted on at most `rows` labelled rows of each class, drawn by a hash of the id, not held out.
+
+    Null ids and labels other than 0 and 1 are left out, as are null texts; of an id's several texts the least counts;
+    an id with both labels is an example of both. Without examples of both classes the network knows their prior alone.
+    """
     ids = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).filter((F.col("y").isin(0, 1)) & ~held_out(F.col("i")) & F.col("i").isNotNull())
     draw = [F.xxhash64("i"), F.col("i")]
     # 2 * rows ids at most
     picked = ids.filter("y = 0").orderBy(*draw).limit(rows).union(ids.filter("y = 1").orderBy(*draw).limit(rows))
     short = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.octet_length("t") <= FIT_BYTES)
-    got = sorted(short.join(F.broadcast(picked), "i").select("i", "t", "y").collect())
+    # one text for an id, however often it stands there
+    got = sorted(short.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "t", "y").collect())
     return Network().fit([r[1] for r in got], [r[2] for r in got])
 
 
@@ -179,7 +184,8 @@ def score_quality(docs: DataFrame, network: Network, id_col: str = "doc_id", tex
 
 
 def keep_quality(docs: DataFrame, network: Network, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score below the threshold; nothing is shuffled."""
+    """docs without the rows that score below the threshold; nothing is shuffled. Null texts score as empty ones, repeated
+    rows are alike, other columns stay as they are; an empty table gives no rows."""
     ship_code(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(network)
 
