@@ -40,7 +40,7 @@ ORDERS_HELD = 1 << 20
 PAIR_ROWS = 4096
 BLOCK_TEXTS = 256
 BLOCK_COLUMNS = 4096
-#: Ids (8 bytes each) that are broadcast at most.
+#: Rows of one or two numbers that are broadcast at most.
 MOST_SENT = 1 << 20
 #: Shingles met COMMON_LEAST times in one of COMMON_EVERY rows come last in the order; which they are changes no result.
 COMMON_EVERY, COMMON_LEAST, COMMON_MOST = 16, 3, 100_000
@@ -104,9 +104,9 @@ def prefix_size(n: np.ndarray | int, similarity: float) -> np.ndarray:
     return np.maximum(n - np.ceil(similarity * np.asarray(n) - 1e-9).astype(np.int64) + 1, 0)
 
 
-def ordered_prefixes(shingles: np.ndarray, bounds: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The prefixes of some texts end to end (codes of CODE_BITS, common ones with a bit above), the bounds of each, and
-    the distinct codes of each text."""
+def ordered_prefixes(shingles: np.ndarray, bounds: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The prefixes of some texts end to end (codes of CODE_BITS, common ones with a bit above), the bounds of each, the
+    distinct codes of each text, and bits that its codes set."""
     texts = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
     code = (shingles >> np.uint64(64 - CODE_BITS)) | (among(common, shingles).astype(np.uint64) << np.uint64(CODE_BITS))
     # a slice has far fewer than 2^20 texts
@@ -116,7 +116,27 @@ def ordered_prefixes(shingles: np.ndarray, bounds: np.ndarray, common: np.ndarra
     n = np.bincount(owner, minlength=len(bounds) - 1)
     place = np.arange(len(made)) - np.repeat(np.cumsum(n) - n, n)
     sizes = np.minimum(prefix_size(n, similarity), n)
-    return made[place < sizes[owner]] & np.uint64((1 << (CODE_BITS + 1)) - 1), np.concatenate([[0], np.cumsum(sizes)]), n
+    # a power of two of bits, twice the codes or more
+    width = np.left_shift(64, np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64))
+    first = np.cumsum(width) - width
+    bits = np.zeros(int(width.sum()), bool)
+    bits[first[owner] + (made & (width[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+    ends = (np.concatenate([first, [len(bits)]]) // 8).astype(np.int32)
+    held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.packbits(bits, bitorder="little").tobytes())])
+    return made[place < sizes[owner]] & np.uint64((1 << (CODE_BITS + 1)) - 1), np.concatenate([[0], np.cumsum(sizes)]), n, held
+
+
+def most_shared(a: bytes, na: int, b: bytes, nb: int) -> int:
+    """A bound of the shingles that two texts share: each bit that one sets alone stands for a shingle of its own."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    for k in range((len(a) // len(b)).bit_length() - 1):
+        half = 4 * len(a) >> k
+        x = (x | x >> half) & ((1 << half) - 1)
+    for k in range((len(b) // len(a)).bit_length() - 1):
+        half = 4 * len(b) >> k
+        y = (y | y >> half) & ((1 << half) - 1)
+    both = x & y
+    return min(na - (x ^ both).bit_count(), nb - (y ^ both).bit_count())
 
 
 def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -146,7 +166,7 @@ def _common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """k (id, null: least), v (128-bit digest of the text), n (distinct shingles), keys, prefix, words (32-bit word hashes)."""
+    """k (id, null: least), v (128-bit digest of the text), n (distinct shingles), keys, prefix, bits, words (32-bit word hashes)."""
     ship_code(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, id_col, text_col))
 
@@ -165,12 +185,12 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
             times = np.where(distinct < counts, 2, 1)
             sizes = np.where(counts > 0, times * SKETCHES, 0)
             key_lists = _lists(sizes, keys[np.repeat(counts > 0, times)].reshape(-1))
-            prefix, ends, n = ordered_prefixes(shingles, bounds, held.value, similarity)
+            prefix, ends, n, bits = ordered_prefixes(shingles, bounds, held.value, similarity)
             bodies = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer((words.bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(short.astype("<u4").tobytes())])
-            yield pa.RecordBatch.from_arrays([piece.column("k"), piece.column("v"), pa.array(n.astype(np.int32)), key_lists, _lists(np.diff(ends), prefix), bodies], names=["k", "v", "n", "keys", "prefix", "words"])
+            yield pa.RecordBatch.from_arrays([piece.column("k"), piece.column("v"), pa.array(n.astype(np.int32)), key_lists, _lists(np.diff(ends), prefix), bits, bodies], names=["k", "v", "n", "keys", "prefix", "bits", "words"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long")).alias("k"), _digest(text_col).alias("v"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
-    return rows.mapInArrow(run, "k long, v binary, n int, keys array<long>, prefix array<long>, words binary")
+    return rows.mapInArrow(run, "k long, v binary, n int, keys array<long>, prefix array<long>, bits binary, words binary")
 
 
 def _digest(text_col: str) -> Column:
@@ -255,7 +275,7 @@ def _block_links(large: DataFrame, words: DataFrame, similarity: float) -> DataF
     """(a, b): links within buckets (key, id, c, rows), each cut into blocks of texts; any two blocks meet once."""
     blocks = F.ceil(F.col("rows") / BLOCK_TEXTS)
     own = large.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    met = own.select("key", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "id", "c", "block").join(words, "id")
+    met = own.select("key", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "id", "c", "block").join(words.select("id", "words"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders, group, at = Orders(), [], None
@@ -295,10 +315,33 @@ class Orders:
         return self.held[vertex]
 
 
-def _bodies(sk: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, words) of the given vertices; the texts' words pass a shuffle only if there are too many ids to send around."""
+def _sent(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it has at most MOST_SENT rows."""
+    return F.broadcast(table) if table.count() <= MOST_SENT else table
+
+
+def _of(sk: DataFrame, ids: DataFrame, column: str, scratch: Scratch) -> DataFrame:
+    """(id, n, column) of the given vertices; the column passes a shuffle only if there are too many ids to send around."""
     ids = scratch.keep(ids.distinct(), "ids")
-    return scratch.keep(sk.select(F.col("rid").alias("id"), "words").join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id"), "bodies")
+    return scratch.keep(sk.select(F.col("rid").alias("id"), "n", column).join(_sent(ids), "id"), column)
+
+
+def _possible(pairs: DataFrame, sk: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs whose bits allow them to share enough shingles: no link is among the others, and texts are much longer."""
+    bits = _of(sk, _ends(pairs), "bits", scratch)
+    side = lambda x: bits.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")]
+            enough = [most_shared(sa, na, sb, nb) >= similarity / (1 + similarity) * (na + nb) - 1e-6 for sa, na, sb, nb in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(enough, pa.bool_()))
+
+    return scratch.keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a long, b long"), "possible")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
 
 def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -316,7 +359,7 @@ def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
 
 def _hub_pairs(sk: DataFrame, vertices: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): each text of a bucket with the bucket's text that has the most company in its buckets."""
-    members = sk.select(F.col("rid").alias("id"), "n", "keys").join(vertices.select("id"), "id").select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    members = sk.select(F.col("rid").alias("id"), "n", "keys").join(_sent(vertices.select("id")), "id").select("id", "n", F.explode(F.array_distinct("keys")).alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = scratch.keep(members.join(shared, "key"), "buckets")
     company = met.groupBy("id").agg(F.sum("size").alias("company"))
@@ -338,7 +381,7 @@ def _held_bits(keys: DataFrame) -> np.ndarray:
 
 def _meeting(sk: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, id, c, n, place): the prefix entries in whose shingle texts of several classes meet."""
-    own = sk.filter("n > 0").select(F.col("rid").alias("id"), "n", "prefix").join(labelled.select("id", "c"), "id")
+    own = sk.filter("n > 0").select(F.col("rid").alias("id"), "n", "prefix").join(_sent(labelled.select("id", "c")), "id")
     several = scratch.keep(own.select("c", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"), "several")
     held = sk.sparkSession.sparkContext.broadcast(_held_bits(several))
 
@@ -369,8 +412,8 @@ def _settled(sk: DataFrame, labelled: DataFrame, tried: DataFrame, similarity: f
     alike = F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
     pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike & left).select("a", "b").distinct()
-    pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    words = _bodies(sk, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")), scratch)
+    pairs = _possible(scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sk, similarity, scratch)
+    words = _of(sk, _ends(pairs).union(many.select("id")), "words", scratch)
     found = _verify(pairs, words, similarity).filter(F.col("score") >= similarity).select("a", "b")
     return scratch.keep(found.union(_block_links(many, words, similarity)).distinct(), "found")
 
@@ -381,7 +424,7 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float,
     first = sk.groupBy("v").agg(F.min(F.struct("k", "rid")).alias("m"))
     vertices = scratch.keep(first.select(F.col("m.rid").alias("id"), "v", F.col("m.k").alias("k")), "vertices")
     pairs = scratch.keep(_hub_pairs(sk, vertices, similarity, scratch), "hub-pairs")
-    words = _bodies(sk, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), scratch)
+    words = _of(sk, _ends(pairs), "words", scratch)
     checked = scratch.keep(_verify(pairs, words, similarity), "checked")
     classes = components(checked.filter(F.col("score") >= similarity).select("a", "b"), scratch)
     labelled = scratch.keep(vertices.join(classes.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")), "labelled")

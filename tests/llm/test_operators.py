@@ -470,6 +470,20 @@ def test_near_duplicates_repeated_ids(spark):
     assert sorted(map(tuple, kept), key=key) == sorted([(1, a), (3, b), (None, "x"), (None, "y"), (5, None), (5, None)], key=key)
 
 
+def test_near_duplicates_bits():
+    g = np.random.default_rng(7)
+    base = g.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = [np.concatenate([base[: g.integers(0, n + 1)], g.integers(0, 1 << 63, n).astype(np.uint64)])[:n] for n in [*g.integers(1, 900, 30).tolist(), 31, 32, 33, 64, 65, 500]]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    *_, n, bits = neardup.ordered_prefixes(np.concatenate(sets), bounds, np.zeros(0, np.uint64), 0.8)
+    bits = bits.to_pylist()
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            assert shared <= neardup.most_shared(bits[i], int(n[i]), bits[j], int(n[j])) <= min(n[i], n[j])
+    assert neardup.most_shared(bits[-1], 500, bits[-1], 500) == 500
+
+
 def test_near_duplicates_blocks():
     rng = np.random.default_rng(4)
     base = [np.arange(60, dtype="<u4") + np.uint32(1000 * g) for g in range(4)]
