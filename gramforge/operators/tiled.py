@@ -11,6 +11,7 @@ definite ends the factorisation: status 7 and NaN everywhere.
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from gramforge.functions.dtypes import conjugate, is_complex, make, numpy_dtype, parts
 from gramforge.operators import cells as C
-from gramforge.plans.frame import NOT_DEFINITE, REPLICATED, MatrixFrame, check_solve, check_square, matrix
+from gramforge.plans.frame import NOT_DEFINITE, REPLICATED, DenseWarning, MatrixFrame, check_solve, check_square, matrix
 from gramforge.sources.folders import shared_base
 
 TILE = 256
 #: A block column of U (or row, on the way back) of at most this size is collected and broadcast; a larger one is joined.
 PANEL_BYTES = 64 << 20
+#: More block rows than this draw a warning.
+MANY_ROWS = 64
 SCHEMA = "bi int, bj int, data binary"
 
 
@@ -208,6 +211,8 @@ def chol_solve(a: MatrixFrame, b: MatrixFrame, tile: int = TILE, strict_limits:
     check_square(a, tile)
     tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
     nb = -(-a.rows // tile)
+    if nb > MANY_ROWS:
+        warnings.warn(f"tiles of {tile} columns make {nb} block rows, each a job or more; wider tiles make fewer", DenseWarning, stacklevel=2)
     store = Tiles(a.spark, "solve")
     tiles = to_tiles(_padded(a, tile), tile, upper=True).unionByName(to_tiles(b.with_cells(b.cells, nb * tile, b.cols), tile, upper=False, shift=nb))
     made = factor(tiles, nb, tile, dtype, store)

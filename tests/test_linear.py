@@ -119,6 +119,13 @@ def test_eigen_not_converged(spark, monkeypatch):
     assert {r["status"] for r in rows} == {frame.NOT_CONVERGED} and all(np.isnan(r["lambda"]) and np.isnan(r["vec"]).all() for r in rows)
 
 
+def test_narrow_tiles_warn(spark, monkeypatch):
+    monkeypatch.setattr(tiled, "MANY_ROWS", 1)
+    with pytest.warns(frame.DenseWarning, match="block rows"):
+        x = tiled.chol_solve(C.eye(spark, 4), frame.matrix(C.eye(spark, 4).cells, 4, 4, frame.REPLICATED), 3)
+    assert np.allclose(_dense(x, 4, 4), np.eye(4))
+
+
 def test_products_by_tiles(spark, monkeypatch):
     monkeypatch.setattr(C, "MOST_PRODUCTS", 0)
     g = np.random.default_rng(6)
