@@ -67,4 +67,16 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality, op2_decontamination, op3_sharding, op4_near_duplicates, op5_language, op6_mixing, op7_pii, op8_secrets, op9_fingerprints, op10_tokens)
 }
-ORACLES: dict[str, str] = {}
+#: Beyond SQL are trained models, fingerprints, tokens and links of the others; tests/llm hold them against brute force.
+ORACLES: dict[str, str] = {
+    # a table of the 256 byte steps of CRC-32, then each text's bytes one after another; shards cut the order by digest
+    "op3_sharding": """WITH RECURSIVE steps(k, n, c) AS (SELECT k, 0, k::UBIGINT FROM range(256) r(k) UNION ALL
+  SELECT k, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE n < 8),
+crc AS (SELECT list(c ORDER BY k) AS tab FROM steps WHERE n = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 16 AS size, md5(coalesce(text, '')) AS h FROM documents),
+bytes AS (SELECT doc_id, h, size, t, hex(encode(t)) AS x FROM d),
+p AS (SELECT *, 2 * sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS place, sum(size) OVER () AS total FROM bytes),
+s AS (SELECT *, least(39, place * 40 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_transform(range(size - 16), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT), lambda c, b: xor(c >> 8, tab[((xor(c, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT AS text_crc32,
+  'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM s CROSS JOIN crc""",
+}

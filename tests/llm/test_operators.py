@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -66,6 +67,15 @@ def test_sharding(spark, docs, odd, texts):
     assert sharding.assign_shards(odd.limit(0), 3).count() == 0
 
 
+def test_sharding_oracle(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{SF}/documents.parquet'")
+    found = queries.op3_sharding(spark, SF)
+    columns = sorted(found.columns)
+    want = con.sql(f"select {', '.join(columns)} from ({queries.ORACLES['op3_sharding']})").fetchall()
+    assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
 def test_mixing(spark, docs, odd):
     units = mixing.quantised({"a": 5, "b": 3, "c": 1}, 100)
     plan = mixing.period_schedule(units)
