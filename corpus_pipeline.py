@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near duplicates, decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; run() writes each stage's rows as Parquet in the shared
-folder and reads them again as the next one's docs. Stages before the last return the columns of `documents`.
+folder and reads them again as the next one's docs. Stages before the last return the columns of `documents`, whatever
+they are. In every stage null texts count as empty ones (near duplicates leaves them alone), repeated rows are alike,
+ties go by hashes of id and text, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gramforge.llm import decontam, mixing, neardup, quality, tokens
-from gramforge.llm.runtime import stored
+from gramforge.llm.runtime import Scratch, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the schedule places before its weights can no longer be held: sources by their share to the power 0.7."""
+    """Rows that the schedule places before its weights can no longer be held: sources by their share to the power 0.7.
+    Only the selection takes effect here; mix(docs, live_weight=0) would keep every row, at the end out of its weights."""
     return mixing.mix(docs).filter("mixed").select(*docs.columns)
 
 
@@ -52,8 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    out = stored(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
+    scratch.remove()
+    return out
