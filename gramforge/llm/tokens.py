@@ -27,7 +27,7 @@ SEQUENCES_PER_BATCH = 64
 END_ID = 1
 CACHE_WORDS = 600_000
 PIECES_TOGETHER = 512
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 9 << 20  # an Arrow batch
 MANIFEST = "bucket int, path string, docs long, tokens long"
 
 _cache: dict[str, dict[str, bytes]] = {}
@@ -62,28 +62,41 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
 
-    def _letters(self, word: str) -> bool:
-        if word.isascii():
-            return word.isalpha()
-        return word.isalpha() and (self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(word).isalpha())
+    def _taken_apart(self, words: list[str]) -> set[str]:
+        """Those words of letters that are no longer letters alone once the library has normalised them."""
+        if self.tokenizer.normalizer is None or not words:
+            return set()
+        made = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        if len(made) != len(words):
+            return set(words)
+        return {w for w, m in zip(words, made, strict=True) if not m.isalpha()}
 
     def _learn(self, new: set[str]) -> None:
         """Encodes pieces into the cache. A word that is letters only once the library has normalised it is one unit of
         the library's own split, whatever stands beside it, and so is one full stop or comma after it: such words are
         encoded together."""
-        stems = {w: w[:-1] for w in new if w[-1:] in (".", ",") and self._letters(w[:-1])}
-        plain = {w for w in new if self._letters(w)}
+        stems = {w: w[:-1] for w in new if w[-1:] in (".", ",") and w[:-1].isalpha()}
+        plain = {w for w in new if w.isalpha()}
+        apart = self._taken_apart([w for w in {*plain, *stems.values()} if not w.isascii()])
+        if apart:
+            stems = {w: stem for w, stem in stems.items() if stem not in apart}
+            plain -= apart
         words = list({x for x in (*plain, *stems.values()) if x not in self.cache})
         other = [w for w in new if w not in stems and w not in plain]
+        spoiled: set[str] = set()
         groups = [words[i : i + PIECES_TOGETHER] for i in range(0, len(words), PIECES_TOGETHER)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            cuts = [0, *(np.flatnonzero(self.ends_word[e.ids]) + 1).tolist()]
-            if len(cuts) != len(group) + 1:  # a letter that the library takes apart
-                other += group
+            ids = np.array(e.ids)
+            cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            if len(cuts) != len(group) + 1:  # a letter that the library takes apart all the same
+                spoiled.update(group)
                 continue
-            data, size = np.array(e.ids, self.dtype).tobytes(), self.dtype.itemsize
+            data, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
             for w, start, cut in zip(group, cuts[:-1], cuts[1:], strict=True):
                 self.cache[w] = data[start * size : cut * size]
+        if spoiled:
+            other += [*(plain & spoiled), *(w for w, stem in stems.items() if stem in spoiled)]
+            stems = {w: stem for w, stem in stems.items() if stem not in spoiled}
         other += ["."] * ("." not in self.cache) + [","] * ("," not in self.cache)
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.cache[w] = np.array(e.ids, self.dtype).tobytes()
