@@ -83,12 +83,18 @@ def task_count(df: DataFrame, text_col: str | None = None, task_bytes: int = 16
     return max(1, min(MAX_BUCKETS, max(least, total // task_bytes + 1)))
 
 
-def bucket_of(key: Column, bounds: list, width: Column | None = None) -> Column:
-    """How many of the ascending bounds are <= key, by binary search over a constant array."""
+def constants(values: list[int]) -> Column:
+    """A constant array of BIGINT, as one expression."""
+    return F.expr(f"array({', '.join(f"bigint('{v}')" for v in values)})")
+
+
+def bucket_of(first: str, second: str, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending bounds are at most the pair of two columns, by binary search over a constant array."""
     if not bounds:
         return F.lit(0)
     steps = max(1, len(bounds).bit_length())
-    array = F.array(*[b if isinstance(b, Column) else F.lit(b) for b in bounds])
+    key = F.struct(F.col(first).alias("a"), F.col(second).alias("b"))
+    array = F.arrays_zip(constants([a for a, _ in bounds]).alias("a"), constants([b for _, b in bounds]).alias("b"))
 
     def step(at: Column, half: Column) -> Column:
         nxt = (at + half).cast("int")
@@ -107,6 +113,4 @@ def id_bounds(df: DataFrame, key: str, spread: str, buckets: int) -> tuple[Colum
         got = df.agg(F.percentile_approx(F.col(key), at, max(10_000, 20 * buckets)).alias("b")).first()[0]
         for v, times in sorted(Counter(got or []).items()):
             bounds += [(v, LOWEST + j * ((1 << 64) // times)) for j in range(times)]
-    pair = lambda k, h: F.struct(k.alias("k"), h.alias("h"))
-    number = lambda x: F.lit(x).cast("long")
-    return bucket_of(pair(F.col(key), F.col(spread)), [pair(number(k), number(h)) for k, h in bounds]), bounds
+    return bucket_of(key, spread, bounds), bounds

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramforge.llm.runtime import Scratch, bucket_of, positional, stored
+from gramforge.llm.runtime import Scratch, bucket_of, constants, positional, stored
 
 SAMPLES_PER_RANGE = 24
 MAX_RANGES = 8192
@@ -60,7 +60,7 @@ def _splitters(keyed: DataFrame, weight: str, total: int, ranges: int) -> list[t
 
 
 def _range_of(cuts: list[tuple[int, int]]) -> Column:
-    return bucket_of(F.struct(F.col("__key").alias("k"), F.col("__id").alias("i")), [F.struct(F.lit(k).cast("long").alias("k"), F.lit(i).cast("long").alias("i")) for k, i in cuts])
+    return bucket_of("__key", "__id", cuts)
 
 
 def _range_sums(keyed: DataFrame, cuts: list[tuple[int, int]], weight: str) -> dict[int, int]:
@@ -91,7 +91,7 @@ def assign_shards(docs: DataFrame, n_shards: int, law: str = "bytes", id_col: st
     for r in range(len(cuts) + 1):
         offsets.append(run)
         run += sums.get(r, 0)
-    before = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("__range") + 1)
+    before = F.element_at(constants(offsets), F.col("__range") + 1)
     inside = Window.partitionBy("__range").orderBy("__digest", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = before + F.sum(weight).over(inside)
     # the middle of the record in bytes, its first row in counts: floor(place * shards / total)
