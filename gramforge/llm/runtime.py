@@ -94,7 +94,8 @@ def bucket_of(first: str, second: str, bounds: list[tuple[int, int]]) -> Column:
         return F.lit(0)
     steps = max(1, len(bounds).bit_length())
     key = F.struct(F.col(first).alias("a"), F.col(second).alias("b"))
-    array = F.arrays_zip(constants([a for a, _ in bounds]).alias("a"), constants([b for _, b in bounds]).alias("b"))
+    # one literal once Spark has folded it
+    array = F.expr(f"array({', '.join(f"named_struct('a', bigint('{a}'), 'b', bigint('{b}'))" for a, b in bounds)})")
 
     def step(at: Column, half: Column) -> Column:
         nxt = (at + half).cast("int")
