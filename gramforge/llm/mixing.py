@@ -3,7 +3,8 @@
 Rows of a source are ranked and cut into blocks. A source of weight w gives its block k the window
 [floor(k/w), ceil((k+1)/w)); earliest deadline first over released blocks fills one slot after another and keeps each
 source within one block of w times the slots so far. Weights are units of 1/PERIOD, which is so fine that rounding them
-moves no source by a thousandth of a block within a thousand million slots; the driver places each block (not each row).
+moves no source by a thousandth of a block within a thousand million slots; the driver places each block (not each row),
+and blocks grow with the table once there would be more than MOST_BLOCKS of them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from gramforge.llm.runtime import positional
 
 PERIOD = 1 << 40
 BLOCK_ROWS = 64
+#: Blocks that the driver places and that are sent to all tasks (some 25 MB), but for one more a source.
+MOST_BLOCKS = 1 << 18
 BUCKET_ROWS = 4096
 #: Offsets of so many buckets are summed in one task, and then those sums.
 BUCKETS_TOGETHER = 4096
@@ -70,7 +73,7 @@ def tempered(counts: dict, power: float) -> dict:
     return {s: float(n) ** power for s, n in counts.items() if n > 0}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block_rows: int = BLOCK_ROWS, period: int = PERIOD, live_weight: float = 0.9, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS, period: int = PERIOD, live_weight: float = 0.9, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs with `mix_block`, `mix_release`, `mix_deadline`, `mix_slot`, `mix_rank` (place in the block) and `mixed`.
 
     `mixed` is true up to the slot where sources of more than 1 - live_weight of the weight have run out; the mix holds
@@ -78,7 +81,9 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block_
     mix_ columns are null); repeated rows are rows of their own; an empty table gives no rows; other columns may have any
     name. Rows are ranked by a hash of the id and the whole row, so that rows of one id spread and a retry ranks alike.
     Weights are exact to 1/PERIOD; a weight below that counts as 1/PERIOD. With live_weight=0 the mix goes on to the
-    last row, whatever the weights of what is left. Sources must be at most MAX_SOURCES (their counts reach the
+    last row, whatever the weights of what is left. A block has block_rows rows, or as many more as leave at most
+    most_blocks blocks and one a source: rows of a large table stay within one such larger block of their weights, and
+    what the driver places and broadcasts doesn't grow with the table. Sources must be at most MAX_SOURCES (their counts reach the
     driver); more raise ValueError.
     """
     names = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_rank", "mixed"]
@@ -93,6 +98,7 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block_
     counts = {s: n for s, n in found}
     target = tempered(counts, power) if weights is None else {("null" if s is None else f"={s}"): w for s, w in weights.items() if w > 0}
     units = quantised({s: w for s, w in target.items() if s in counts}, period)
+    block_rows = max(block_rows, -(-sum(counts[s] for s in units) // most_blocks))
     blocks = {s: -(-counts[s] // block_rows) for s in units}
     plan = period_schedule(units, blocks)
     # the deadline of a source's last block, and the first by which too much weight is gone
