@@ -28,8 +28,10 @@ SEED_EVERY = 3
 RARE_TIMES, RARE_PLUS = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-#: Test items that one pass over the documents takes; more items take more passes.
-BLOCK_BYTES = 16 << 20
+#: Test items that one pass over the documents takes (some 80 MB of seeds in a worker); more items take more passes.
+BLOCK_BYTES = 8 << 20
+#: Hits of some texts that are held at once; where there are more, items are taken in parts.
+HITS_HELD = 1 << 20
 #: Cells of a row of the alignments that are made side by side.
 ALIGNED_CELLS = 1 << 18
 
@@ -66,7 +68,9 @@ class Items:
             at = np.flatnonzero(chosen)
             at = at[np.argsort(grams[at], kind="stable")]
             weight = np.where(self.lengths[item[at]] <= size, ENOUGH, GRAMS[size])
-            self.seeds[size] = grams[at], item[at], place[at], weight
+            self.seeds[size] = grams[at], item[at].astype(np.int32), place[at].astype(np.int32), weight.astype(np.int8)
+        # workers need the seeds alone
+        self.grams, self.distinct = {}, {}
 
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -91,21 +95,35 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> np.nd
 
 def _matches(words: Words, items: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, last word + 1) of the best passage of each text and item that reaches it."""
-    hits = []
-    for size, (seeds, seed_item, seed_place, seed_weight) in items.seeds.items():
-        if not len(seeds):
-            continue
-        grams, bounds = shingle_hashes(words.hash, words.bounds, size)
-        hit = np.flatnonzero(among(seeds, grams))
-        left, right = np.searchsorted(seeds, grams[hit], "left"), np.searchsorted(seeds, grams[hit], "right")
-        times = right - left
-        at = np.repeat(hit, times)
-        seed = np.repeat(left, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-        text = np.searchsorted(bounds, at, side="right") - 1
-        hits.append((text, seed_item[seed], at - bounds[text] - seed_place[seed], seed_weight[seed]))
-    if not hits or not sum(len(h[0]) for h in hits):
-        return []
-    text, item, diagonal, weight = (np.concatenate(c) for c in zip(*hits, strict=True))
+    grams = {size: shingle_hashes(words.hash, words.bounds, size) for size, own in items.seeds.items() if len(own[0])}
+    hit = {size: np.flatnonzero(among(items.seeds[size][0], made)) for size, (made, _) in grams.items()}
+    held = 0
+    for size, at in hit.items():
+        seeds, found = items.seeds[size][0], grams[size][0][at]
+        held += int((np.searchsorted(seeds, found, "right") - np.searchsorted(seeds, found, "left")).sum())
+    parts = held // HITS_HELD + 1
+    out = []
+    for part in range(parts if held else 0):
+        hits = []
+        for size, at in hit.items():
+            seeds, item, place, weight = items.seeds[size]
+            if parts > 1:
+                own = item % parts == part
+                seeds, item, place, weight = seeds[own], item[own], place[own], weight[own]
+            made, bounds = grams[size]
+            left = np.searchsorted(seeds, made[at], "left")
+            times = np.searchsorted(seeds, made[at], "right") - left
+            where = np.repeat(at, times)
+            seed = np.repeat(left - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            text = np.searchsorted(bounds, where, side="right") - 1
+            hits.append((text, item[seed].astype(np.int64), where - bounds[text] - place[seed], weight[seed].astype(np.int64)))
+        if sum(len(h[0]) for h in hits):
+            out += _aligned(words, items, threshold, *(np.concatenate(c) for c in zip(*hits, strict=True)))
+    return out
+
+
+def _aligned(words: Words, items: Items, threshold: float, text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+    """The best passages among all hits of some items, by alignment."""
     # hits of one item in one text whose diagonals lie close are one passage
     order = np.lexsort((diagonal, item, text))
     text, item, diagonal, weight = text[order], item[order], diagonal[order], weight[order]

@@ -258,6 +258,22 @@ def test_empty_tables(spark, odd):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.decontaminate(empty, bench).count() == 0
 
 
+def test_mixing_blocks_are_bounded(spark):
+    # blocks grow to the bound, every row keeps its place, sources stay within a block of their weights
+    frame = spark.range(9_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
+    rows = mixing.mix(frame, most_blocks=100).collect()
+    per = collections.Counter((r.source, r.mix_block, r.mix_slot) for r in rows)
+    assert len(rows) == 9_000 and len(per) <= 108 and max(per.values()) == 90
+    assert len({(r.mix_slot, r.mix_rank) for r in rows}) == 9_000 and None not in {r.mix_slot for r in rows}
+    counts = collections.Counter(r.source for r in rows)
+    target = mixing.tempered(counts, 0.7)
+    mixed = sorted({(r.mix_slot, r.source) for r in rows if r.mixed})
+    done = collections.Counter()
+    for slot, source in mixed:
+        done[source] += 1
+        assert all(abs(done[s] - target[s] / sum(target.values()) * (slot + 1)) < 1.001 for s in target)
+
+
 def test_mixing_by_brute_force():
     # each slot taken by the released block of the earliest deadline, one after another
     units = mixing.quantised({"a": 7, "b": 2, "c": 1.5}, 64)
@@ -374,6 +390,19 @@ def test_short_and_edited_items(spark):
     assert got == {(1, 7), (3, 8), (5, 9)}
 
 
+def test_decontamination_in_parts(monkeypatch):
+    # runs of words that all items share, hits taken in one part and in many
+    g = np.random.default_rng(4)
+    texts = [f"which of the following is {' '.join(f'w{w}' for w in g.integers(0, 30, 12))}" for _ in range(40)]
+    items = decontam.Items(list(range(40)), texts)
+    items.choose({size: np.zeros(len(d), np.int64) for size, d in items.distinct.items()})
+    words = Words(pa.array([f"so {texts[3]} or {texts[7]}", "which of the following is", "nothing", *texts[:5]]))
+    whole = sorted(decontam._matches(words, items, 0.4))
+    assert {(0, 3), (0, 7), (3, 0), (7, 4)} <= {f[:2] for f in whole}
+    monkeypatch.setattr(decontam, "HITS_HELD", 16)
+    assert sorted(decontam._matches(words, items, 0.4)) == whole
+
+
 def test_decontamination_recall(spark):
     # copies with random replaced, dropped and added words, against the alignment of every pair
     g = np.random.default_rng(9)
