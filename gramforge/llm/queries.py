@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramforge.llm import audit, decontam, fingerprints, language, merkle, mixing, neardup, pii, quality, secrets, sharding, tokens
+from gramforge.llm import audit, decontam, fingerprints, html, language, merkle, mixing, neardup, pii, quality, secrets, sharding, tokens
 
 SHARDS = 40
 
@@ -72,9 +72,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html.extract(pages, html.train(pages))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_decontamination, op3_sharding, op4_near_duplicates, op5_language, op6_mixing, op7_pii, op8_secrets, op9_fingerprints, op10_tokens, op11_manifest, op12_filter_audit)
+    for f in (op1_quality, op2_decontamination, op3_sharding, op4_near_duplicates, op5_language, op6_mixing, op7_pii, op8_secrets, op9_fingerprints, op10_tokens, op11_manifest, op12_filter_audit, op13_html)
 }
 #: A table of the 256 byte steps of CRC-32, for the bytes of a text one after another.
 _CRC = """steps(k, n, c) AS (SELECT k, 0, k::UBIGINT FROM range(256) r(k) UNION ALL
