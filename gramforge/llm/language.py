@@ -24,8 +24,9 @@ GRAMS = (2, 3, 4)
 BITS = 15
 CHAIN = 64
 LEXICON = 4000
-#: The fit's bounds: rows of each language and bytes of a row. More than MAX_LANGS languages are an error.
-FIT_ROWS, FIT_BYTES, MAX_LANGS = 250, 6000, 256
+#: The fit's bounds: rows of each language and code points of a row; of a longer row a piece at a hashed place is used.
+#: More than MAX_LANGS languages are an error.
+FIT_ROWS, FIT_CHARS, MAX_LANGS = 250, 6000, 256
 STEPS, CHAINS, RATE = 160, 64, 0.15
 UNKNOWN = "und"
 GRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -260,20 +261,23 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Crf:
     """A model of the languages of the rows not held out, fitted on at most `rows` of each, drawn by a hash of the id and
-    the text. Rows without a text or language are left out, repeated rows count once, texts of more than FIT_BYTES are not
-    fitted on; without any row there is no language to predict. docs is read twice, whatever the number of languages."""
+    the text. Rows without a text or language are left out, repeated rows count once, of texts beyond FIT_CHARS code points a
+    piece of so many is fitted on, cut at white space where it has some; without any row there is no language to
+    predict. docs is read twice, whatever the number of languages."""
     known = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter(~held_out(F.col("i")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    known = known.select("l", "t", (F.octet_length("t") <= FIT_BYTES).cast("long").alias("short"), F.xxhash64("i", "t").alias("h"))
-    found = known.groupBy("l").agg(F.sum("short").alias("n")).limit(MAX_LANGS + 1).collect()
+    known = known.select("l", "t", F.xxhash64("i", "t").alias("h"))
+    found = known.groupBy("l").agg(F.approx_count_distinct("h", 0.05).alias("n")).limit(MAX_LANGS + 1).collect()
     if len(found) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(r[0] for r in found)
-    # twice the rows of each language are drawn on average, then the least hashes are taken
+    # twice the distinct rows of each language are drawn on average, then the least hashes are taken
     share = {r[0]: min(1.0, 2 * rows / max(1, r[1])) for r in found}
     if not langs:
         return Crf([])
     below = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, share[lang])]), F.col("l"))
-    drawn = known.filter((F.col("short") == 1) & (F.pmod("h", F.lit(1 << 30)) < below * (1 << 30))).groupBy("l", "h").agg(F.min("t").alias("t"))
+    over = F.char_length("t") - FIT_CHARS
+    piece = F.regexp_replace(F.substring("t", F.pmod("h", over + 1).cast("int") + 1, F.lit(FIT_CHARS)), r"^\S*\s|\s\S*$", "")
+    drawn = known.filter(F.pmod("h", F.lit(1 << 30)) < below * (1 << 30)).select("l", "h", F.when(over > 0, piece).otherwise(F.col("t")).alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
     order = {lang: [] for lang in langs}
     for lang, h, t in sorted(drawn.collect(), key=lambda r: (r[0], r[1] % (1 << 30), r[1])):
         if len(order[lang]) < rows:
@@ -283,8 +287,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, lang_pred and score (mean marginal) of every row, by its whole text. Texts that are null or have no
-    letter are `und` with score 0; repeated rows are alike."""
+    """The id, lang_pred and score (mean marginal) of every row, by its whole text, however long. Texts that are null or
+    have no letter are `und` with score 0; repeated rows are alike; other columns are left out."""
     ship_code(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

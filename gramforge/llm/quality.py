@@ -19,8 +19,8 @@ from gramforge.llm.runtime import ship_code
 
 EMBED, FILTERS, STEP, HOP, LAGS = 8, 24, 4, 32, 32
 SLICE = 1 << 20
-#: The fit's bounds: rows of each class, and bytes of a row; longer rows are not used to fit.
-FIT_ROWS, FIT_BYTES = 1000, 12_000
+#: The fit's bounds: rows of each class, and code points of a row; of a longer row a piece at a hashed place is used.
+FIT_ROWS, FIT_CHARS = 1000, 12_000
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 #: Short pieces of good texts (which are good as well) join the fit, for texts of a few words.
 PIECES, PIECE_CHARS = 400, 120
@@ -147,7 +147,24 @@ class Network:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
-        return self.forward(Layout(*byte_view(texts)))[-1].astype(np.float64)
+        raw, offsets = byte_view(texts)
+        if len(raw) <= SLICE:
+            return self.forward(Layout(raw, offsets))[-1].astype(np.float64)
+        return np.array([self._long_score(raw[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)])
+
+    def _long_score(self, raw: np.ndarray) -> float:
+        """The score of one text by windows of SLICE bytes, of which the largest chunks are kept: equal to that of the
+        whole, in bounded memory. A window has a block before it (for repeats) and two after (for its last chunk)."""
+        size, per = HOP * STEP, max(1, SLICE // (HOP * STEP))
+        blocks = -(-(max(-(-len(raw) // STEP), 2) - 1) // HOP)
+        top = np.full(FILTERS, -1, np.float32)
+        for b in range(0, blocks, per):
+            lo, hi = max(b - 1, 0), min(b + per + 2, blocks)
+            end = len(raw) if hi == blocks else hi * size + STEP
+            chunk = self.forward(Layout(raw[lo * size : end], np.array([0, end - lo * size])))[2]
+            top = np.maximum(top, chunk[b - lo : min(b + per, blocks) - lo].max(axis=0))
+        logit = float(top @ self.p["out"] + self.p["prior"][0])
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, logit))))
 
 
 def held_out(id_col: Column) -> Column:
@@ -158,20 +175,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A network fitted on at most `rows` labelled rows of each class, drawn by a hash of the id, not held out.
 
     Null ids and labels other than 0 and 1 are left out, as are null texts; of an id's several texts the least counts;
-    an id with both labels is an example of both. Without examples of both classes the network knows their prior alone.
+    an id with both labels is an example of both. Of texts beyond FIT_CHARS code points a piece of so many counts, at a place
+    that a hash of the id gives. Without examples of both classes the network knows their prior alone.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).filter((F.col("y").isin(0, 1)) & ~held_out(F.col("i")) & F.col("i").isNotNull())
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
     draw = [F.xxhash64("i"), F.col("i")]
-    # 2 * rows ids at most
-    picked = ids.filter("y = 0").orderBy(*draw).limit(rows).union(ids.filter("y = 1").orderBy(*draw).limit(rows))
-    short = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.octet_length("t") <= FIT_BYTES)
+    # of ids that have a text; 2 * rows ids at most
+    there = ids.distinct().join(texts.select("i"), "i", "left_semi")
+    picked = there.filter("y = 0").orderBy(*draw).limit(rows).union(there.filter("y = 1").orderBy(*draw).limit(rows))
+    begin = F.pmod(F.xxhash64("i"), F.greatest(F.char_length("t") - FIT_CHARS, F.lit(0)) + 1).cast("int") + 1
+    pieces = texts.join(F.broadcast(picked), "i").select("i", "y", F.substring("t", begin, F.lit(FIT_CHARS)).alias("t"))
     # one text for an id, however often it stands there
-    got = sorted(short.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "t", "y").collect())
+    got = sorted(pieces.groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "t", "y").collect())
     return Network().fit([r[1] for r in got], [r[2] for r in got])
 
 
 def score_quality(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, score and predicted of every row, by its whole text. Null texts score as empty ones; repeated rows alike."""
+    """The id, score and predicted of every row, by its whole text. Null texts score as empty ones, repeated rows alike;
+    texts longer than SLICE bytes go by windows, with the same score; other columns are left out."""
     ship_code(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(network)
 

@@ -2,7 +2,8 @@
 
 A base span stands alone. Weak candidates (account names, long random-looking tokens, endpoints) are reported only when
 complementary parts meet within a scope: a token needs an access identifier or account within SCOPE code points, an
-account or endpoint needs a secret there. Parts that overlap don't complete one another.
+account needs a secret there (a token and an account complete each other), an endpoint needs a secret that is reported
+itself: a base one, or a token that was completed. Parts that overlap don't complete one another.
 """
 
 from __future__ import annotations
@@ -70,18 +71,19 @@ def _found(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _completed(spans: DataFrame, scope: int) -> DataFrame:
-    """Of (row, kind, role, start, end, weak): the weak spans that a part with a role they need ends before, at most
-    `scope` code points away, or starts after. Both meet in a block of `scope` code points, which holds few of them."""
+def _completed(parts: DataFrame, open_: DataFrame, scope: int) -> DataFrame:
+    """Of the weak spans open_ (row, kind, start, end): those that one of the parts (row, role, start, end) with a role they
+    need ends before, at most `scope` code points away, or starts after. Both meet in a block of `scope` code points,
+    which holds few of them."""
     block = lambda c: F.expr(f"{c} div {scope}")
     ends = F.array(F.struct(F.lit("before").alias("side"), F.col("end").alias("pos")), F.struct(F.lit("after").alias("side"), F.col("start").alias("pos")))
-    anchors = spans.select("row", "role", F.inline(ends)).withColumn("block", block("pos")).distinct()
+    anchors = parts.select("row", "role", F.inline(ends)).withColumn("block", block("pos")).distinct()
     needs = F.create_map(*[x for k, (_, _, roles) in WEAK.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in roles]))])
     reach = F.array(
         F.struct(F.lit("before").alias("side"), F.greatest(F.col("start") - scope, F.lit(0)).alias("lo"), F.col("start").alias("hi")),
         F.struct(F.lit("after").alias("side"), F.col("end").alias("lo"), (F.col("end") + scope).alias("hi")),
     )
-    open_ = spans.filter("weak").withColumn("role", F.explode(F.element_at(needs, F.col("kind")))).select("row", "kind", "start", "end", "role", F.inline(reach))
+    open_ = open_.withColumn("role", F.explode(F.element_at(needs, F.col("kind")))).select("row", "kind", "start", "end", "role", F.inline(reach))
     open_ = open_.withColumn("block", F.explode(F.sequence(block("lo"), block("hi"))))
     o, a = open_.alias("o"), anchors.alias("a")
     same = [F.col(f"o.{c}") == F.col(f"a.{c}") for c in ("row", "role", "side", "block")]
@@ -91,15 +93,20 @@ def _completed(spans: DataFrame, scope: int) -> DataFrame:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row for a row of docs: the id and `found`, an array of spans (kind, role, start, end, weak), code points.
 
-    Null and empty texts have no spans, repeated rows have equal ones, an empty table gives no rows; columns other than
-    the id and the text are left out. The texts are read once: their spans go to the shared folder, and only rows with
+    Null and empty texts have no spans, texts of any length are taken whole, repeated rows have equal spans, an empty table
+    gives no rows; columns other than the id and the text are left out. The texts are read once: their spans go to the shared folder, and only rows with
     weak spans take part in the linking.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = scratch.keep(docs.select(F.col(id_col).alias("id"), _found(text).alias("found")).withColumn("row", F.monotonically_increasing_id()), "found")
     has_weak = F.exists("found", lambda s: s["weak"])
-    linked = _completed(rows.filter(has_weak).select("row", F.inline("found")), scope)
+    spans = rows.filter(has_weak).select("row", F.inline("found"))
+    # who and what first, where after: an endpoint is completed by what is reported
+    ends = spans.filter("kind = 'endpoint'")
+    pairs = scratch.keep(_completed(spans.filter("kind <> 'endpoint'"), spans.filter("weak and kind <> 'endpoint'"), scope), "pairs")
+    told = spans.filter("not weak").select("row", "role", "start", "end").unionByName(pairs.filter("kind = 'opaque'").select("row", F.lit("secret").alias("role"), "start", "end"))
+    linked = pairs.unionByName(_completed(told, ends, scope))
     kept = linked.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("kept"))
     stay = lambda s: ~s["weak"] | F.coalesce(F.array_contains(F.col("kept"), F.struct(s["kind"], s["start"], s["end"])), F.lit(False))
     weak = rows.filter(has_weak).join(kept, "row", "left").select("id", F.filter("found", stay).alias("found"))
