@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from gramforge.llm.bytescan import slices
 from gramforge.llm.runtime import ship_code
 
-#: The fit's bounds: pages (drawn by a hash of id and url), bytes of each that are read, layouts made of each.
-FIT_PAGES, FIT_BYTES, LAYOUTS = 120, 40_000, 6
+#: The fit's bounds: pages (drawn by a hash of id and url), code points of each that are read, layouts made of each.
+FIT_PAGES, FIT_CHARS, LAYOUTS = 120, 40_000, 6
 TREES, DEPTH, BINS, RATE = 60, 4, 32, 0.25
 #: Cost of going from outside into main and from main into excluded, in logits; the largest logit of a node.
 ENTER, LEAVE, MOST_LOGIT = 2.0, 1.0, 6.0
@@ -66,7 +66,7 @@ def attribute_bits(attributes: str) -> tuple[int, int]:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "data-y":
-            label = int(value)
+            label = int(value) if value in ("0", "1") else -1
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             bits |= HIDDEN
         elif name != "style":
@@ -498,9 +498,13 @@ def main_texts(trees: Trees, pages: list[str | None]) -> list[str]:
 
 def train(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows: int = FIT_PAGES) -> Trees:
     """Trees fitted on at most `rows` pages, those of the least hashes of id and url (repeated rows count once), and of each on
-    its first FIT_BYTES characters; null pages are left out."""
-    known = pages.select(F.xxhash64(F.col(id_col), F.col(url_col)).alias("h"), F.substring(F.col(html_col), 1, FIT_BYTES).alias("t")).filter("t is not null")
-    got = known.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(rows).collect()
+    its first FIT_CHARS characters; null pages are left out."""
+    known = pages.filter(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(url_col)).alias("h"), F.col(html_col).alias("t"))
+    # the hashes first, so that only the drawn pages' texts move
+    drawn = [r["h"] for r in known.select("h").distinct().orderBy("h").limit(rows).collect()]
+    if not drawn:
+        return fit([])
+    got = known.filter(F.col("h") <= drawn[-1]).select("h", F.substring("t", 1, FIT_CHARS).alias("t")).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
     return fit([r["t"] for r in got])
 
 
