@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gramforge.functions.dtypes import conjugate, is_complex, make, parts
 from gramforge.plans.frame import MatrixFrame, matrix
 
-MOST_PRODUCTS = 1 << 22
+#: Products of cells up to which they are joined one by one, and places of a tile for each cell up to which tiles are dense.
+MOST_PRODUCTS, SPARSE = 1 << 22, 16
 
 
 def eye(spark: SparkSession, n: int, value: Column | float = 1.0, dtype: str = "float64") -> MatrixFrame:
@@ -54,25 +55,52 @@ def add(a: MatrixFrame, b: MatrixFrame, sign: float = 1.0) -> MatrixFrame:
 
 
 def matmul(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
-    """A join on the inner index and a sum, with partial sums before the shuffle; beyond MOST_PRODUCTS products of cells
-    (as the shapes allow them) a join of tiles."""
+    """a b: a join of cells on the inner index and a sum; beyond MOST_PRODUCTS counted products, and where the cells fill
+    their tiles well enough, a join of tiles.
+
+    Either way means the same: cells that occur twice count as their sum, a missing cell meets nothing (NaN spreads only
+    over cells of the other matrix), and the result has the cells that there is a product for.
+    """
     if a.cols != b.rows:
         raise AssertionError("the inner dimensions differ")
     if a.rows * a.cols * b.cols > MOST_PRODUCTS:
         from gramforge.operators.tiled import TILE, tile_product
 
-        return tile_product(a, b, min(TILE, max(a.rows, a.cols, b.cols)))
+        tile = min(TILE, max(a.rows, a.cols, b.cols))
+        if _products(a, b) > MOST_PRODUCTS and _fills_tiles(a, tile) and _fills_tiles(b, tile):
+            return tile_product(a, b, tile)
+    return cell_product(a, b)
+
+
+def cell_product(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
+    """a b by a join of cells, with partial sums before the shuffle."""
     left = a.cells.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.cells.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("y"))
     (xr, xi), (yr, yi) = parts(F.col("x"), a.dtype), parts(F.col("y"), b.dtype)
-    product = make(xr * yr - xi * yi, xr * yi + xi * yr, a.dtype) if is_complex(a.dtype) else F.col("x") * F.col("y")
-    return _summed(a, left.join(right, "k").select("i", "j", product.alias("v")), a.rows, b.cols)
+    double = lambda c: c.cast("double")
+    xr, xi, yr, yi = double(xr), double(xi), double(yr), double(yi)
+    wide = "complex128" if is_complex(a.dtype) or is_complex(b.dtype) else "float64"
+    product = make(xr * yr - xi * yi, xr * yi + xi * yr, wide) if is_complex(wide) else xr * yr
+    dtype = a.dtype if is_complex(a.dtype) or not is_complex(b.dtype) else b.dtype
+    return _summed(a, left.join(right, "k").select("i", "j", product.alias("v")), a.rows, b.cols, wide, dtype)
+
+
+def _products(a: MatrixFrame, b: MatrixFrame) -> float:
+    """How many pairs of cells meet, counted by the inner index."""
+    of = lambda m, k, n: m.cells.groupBy(F.col(k).alias("k")).agg(F.count(F.lit(1)).cast("double").alias(n))
+    return of(a, "j", "x").join(of(b, "i", "y"), "k").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0
+
+
+def _fills_tiles(a: MatrixFrame, tile: int) -> bool:
+    got = a.cells.groupBy(F.expr(f"i div {tile}").alias("bi"), F.expr(f"j div {tile}").alias("bj")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+    return got[0] * tile * tile <= SPARSE * (got[1] or 0)
 
 
-def _summed(like: MatrixFrame, cells: DataFrame, rows: int, cols: int) -> MatrixFrame:
-    re, im = parts(F.col("v"), like.dtype)
+def _summed(like: MatrixFrame, cells: DataFrame, rows: int, cols: int, found: str | None = None, dtype: str | None = None) -> MatrixFrame:
+    """Cells of one place summed; `found` is their element type and `dtype` the result's, else both are like's."""
+    re, im = parts(F.col("v"), found or like.dtype)
     summed = cells.groupBy("i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
-    return like.with_cells(summed.select("i", "j", make(F.col("re"), F.col("im"), like.dtype).alias("v")), rows, cols)
+    return like.with_cells(summed.select("i", "j", make(F.col("re"), F.col("im"), dtype or like.dtype).alias("v")), rows, cols)
 
 
 def summary(a: MatrixFrame) -> DataFrame:

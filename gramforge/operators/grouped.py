@@ -1,7 +1,7 @@
 """Many small matrices at once: one group of rows is one matrix (its size is bounded by MOST), solved in one task.
 
 Input is (group, i, j, v); j = -1 stands for a right-hand side, j = -2 for the next one and so on. Only the upper triangle
-is read. A group without a definite matrix (one of right-hand sides alone, say) has status 7 and NaN.
+is read; cells that occur twice are summed. A group without a definite matrix (one of right-hand sides alone, say) has status 7 and NaN.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _number(c: str):
 
 def _dense(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     a = np.zeros((n, n))
-    a[i, j] = v
+    np.add.at(a, (i, j), v)
     return np.triu(a) + np.triu(a, 1).T
 
 
@@ -48,7 +48,7 @@ def _solved(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, in
     own, n = j >= 0, _size(i, j)
     a = _dense(i[own], j[own], v[own], n)
     b = np.zeros((n, max(1, -int(j.min()))))
-    b[i[~own], -j[~own] - 1] = v[~own]
+    np.add.at(b, (i[~own], -j[~own] - 1), v[~own])
     try:
         low = np.linalg.cholesky(a)
     except np.linalg.LinAlgError:

@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramforge.functions.dtypes import conjugate, is_complex, make, numpy_dtype, parts
-from gramforge.operators import cells as C
-from gramforge.plans.frame import NOT_DEFINITE, REPLICATED, DenseWarning, MatrixFrame, check_solve, check_square, matrix
-from gramforge.sources.folders import shared_base
+from gramforge.plans.frame import NOT_DEFINITE, DenseWarning, MatrixFrame, check_solve, check_square, matrix
+from gramforge.sources.folders import shared_base, ship_code
 
 TILE = 256
 #: A block column of U (or row, on the way back) of at most this size is collected and broadcast; a larger one is joined.
 PANEL_BYTES = 64 << 20
+#: Result tiles of a product that one group makes, along either side.
+SUPER = 4
 #: More block rows than this draw a warning.
 MANY_ROWS = 64
 SCHEMA = "bi int, bj int, data binary"
@@ -43,6 +44,7 @@ class Tiles:
     """Stored block rows of one operator, in a folder that is removed when its result is stored."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)
         self.spark, self.root, self.n = spark, f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> str:
@@ -59,8 +61,38 @@ class Tiles:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def asymmetric_cells(a: MatrixFrame, tile: int = TILE) -> DataFrame:
+    """i, j (i < j, or i = j of a complex diagonal) of places where A differs from its (conjugate) transpose; missing cells are
+    0 and cells that occur twice count as their sum.
+
+    One pass makes two sums for each pair of tiles, of hashes of (i, j, v) on one side of the diagonal and of (j, i, conj v)
+    on the other, which don't depend on the order of cells. Only tiles whose sums differ are compared cell by cell.
+    """
+    re, im = parts(F.col("v"), a.dtype)
+    below = F.col("i") > F.col("j")
+    sign = F.when(below, -1.0).otherwise(1.0)
+    # adding 0.0 makes one zero of both
+    turned = a.cells.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), below.alias("below"), (re.cast("double") + 0.0).alias("re"), (im.cast("double") * sign + 0.0).alias("im"))
+    turned = turned.filter("(re <> 0 or im <> 0) and (i < j or im <> 0)")
+    turned = turned.withColumn("bi", F.expr(f"i div {tile}")).withColumn("bj", F.expr(f"j div {tile}"))
+    mark = F.pmod(F.xxhash64("i", "j", "re", "im"), F.lit(1 << 40))
+    side = lambda c: F.coalesce(F.sum(F.when(c, mark)), F.lit(0).cast("long"))
+    odd = turned.groupBy("bi", "bj").agg(side(F.col("below")).alias("x"), side(~F.col("below")).alias("y")).filter("x <> y").select("bi", "bj")
+    both = turned.join(odd, ["bi", "bj"], "left_semi").groupBy("i", "j").agg(*[F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0.0)).alias(f"{n}_{x}") for n, c in (("low", F.col("below")), ("up", ~F.col("below"))) for x in ("re", "im")])
+    real = F.when(F.col("i") == F.col("j"), F.lit(True)).otherwise(F.col("low_re").eqNullSafe(F.col("up_re")))
+    imaginary = F.col("low_im").eqNullSafe(F.col("up_im"))
+    return both.filter(~(real & imaginary)).select("i", "j")
+
+
+def check_symmetry(a: MatrixFrame) -> None:
+    found = asymmetric_cells(a).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", "j")).alias("first")).first()
+    if found["n"]:
+        raise ValueError(f"A is not symmetric: {found['n']} places differ, the first is ({found['first']['i']}, {found['first']['j']})")
+
+
 def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0) -> DataFrame:
-    """Dense tiles of all cells (of the upper triangle); block columns count from `shift`. Zero tiles are made too."""
+    """Dense tiles of all cells (of the upper triangle); block columns count from `shift`. Cells that occur twice are summed,
+    zero tiles are made too."""
     spark, dtype = a.spark, numpy_dtype(a.dtype)
     re, im = parts(F.col("v"), a.dtype)
     source = a.cells.filter("j >= i") if upper else a.cells
@@ -68,7 +100,7 @@ def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0) -> DataFram
 
     def dense(group: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(tile * tile, np.complex128)
-        out[group["p"].to_numpy()] = group["re"].to_numpy() + 1j * group["im"].to_numpy()
+        np.add.at(out, group["p"].to_numpy(), group["re"].to_numpy() + 1j * group["im"].to_numpy())
         return pd.DataFrame({"bi": group["bi"].iloc[:1], "bj": group["bj"].iloc[:1], "data": [(out if dtype.kind == "c" else out.real).astype(dtype).tobytes()]})
 
     made = coded.groupBy("bi", "bj").applyInPandas(dense, SCHEMA)  # tile * tile cells at most
@@ -79,17 +111,19 @@ def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0) -> DataFram
 
 
 def to_cells(tiles: DataFrame, like: MatrixFrame, tile: int, rows: int, cols: int, shift: int = 0) -> DataFrame:
-    """All cells of the tiles within rows x cols, zeros too."""
-    dtype, complex_ = numpy_dtype(like.dtype), is_complex(like.dtype)
+    """All cells of the tiles within rows x cols, zeros too; of tiles with a mask only those that it marks."""
+    dtype, complex_, masked = numpy_dtype(like.dtype), is_complex(like.dtype), "mask" in tiles.columns
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bi, bj, data in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("data"), strict=True):
-                block = np.frombuffer(data.as_buffer(), dtype).reshape(tile, tile)[: max(0, rows - bi * tile), : max(0, cols - (bj - shift) * tile)]
-                i, j = np.indices(block.shape)
-                flat = block.reshape(-1)
+            masks = batch.column("mask").to_pylist() if masked else [None] * batch.num_rows
+            for bi, bj, data, mask in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("data"), masks, strict=True):
+                inside = np.s_[: max(0, rows - bi * tile), : max(0, cols - (bj - shift) * tile)]
+                block = np.frombuffer(data.as_buffer(), dtype).reshape(tile, tile)[inside]
+                i, j = np.nonzero(_places(mask, tile)[inside])
+                flat = block[i, j]
                 im = flat.imag.astype(float) if complex_ else np.zeros(len(flat))
-                yield pa.RecordBatch.from_arrays([pa.array((i + bi * tile).reshape(-1)), pa.array((j + (bj - shift) * tile).reshape(-1)), pa.array(flat.real.astype(float)), pa.array(im)], names=["i", "j", "re", "im"])
+                yield pa.RecordBatch.from_arrays([pa.array(i + bi * tile), pa.array(j + (bj - shift) * tile), pa.array(flat.real.astype(float)), pa.array(im)], names=["i", "j", "re", "im"])
 
     return tiles.mapInArrow(spread, "i long, j long, re double, im double").select("i", "j", make(F.col("re"), F.col("im"), like.dtype).alias("v"))
 
@@ -140,9 +174,21 @@ def _cholesky(a: np.ndarray) -> np.ndarray | None:
     return low.conj().T if np.isfinite(low).all() else None
 
 
-def factor(tiles: DataFrame, nb: int, tile: int, dtype: np.dtype, store: Tiles) -> tuple[list[str], list[np.ndarray]] | None:
+def _bad_pivot(a: np.ndarray) -> int:
+    """The first column whose pivot is not positive, column after column; the last one if rounding hides it."""
+    whole = (np.triu(a) + np.triu(a, 1).conj().T).astype(np.result_type(a, np.float64))
+    for k in range(len(whole)):
+        pivot = whole[k, k].real
+        if not (np.isfinite(pivot) and pivot > 0):
+            return k
+        row = whole[k, k + 1 :].copy()
+        whole[k + 1 :, k + 1 :] -= np.outer(row.conj(), row) / pivot
+    return len(whole) - 1
+
+
+def factor(tiles: DataFrame, nb: int, tile: int, dtype: np.dtype, store: Tiles) -> tuple[list[str], list[np.ndarray]] | int:
     """The stored block rows of U right of the diagonal (and of U^-H b, in the further block columns), and the diagonal
-    tiles; None if A is not positive definite. One block column (or one tile) is on the driver at a time, and the
+    tiles; the order of the first leading minor that is not positive if A is not positive definite. One block column (or one tile) is on the driver at a time, and the
     diagonal tiles, which are as much as one block column."""
     whole = store.read([store.keep(tiles)])
     paths: list[str] = []
@@ -163,7 +209,7 @@ def factor(tiles: DataFrame, nb: int, tile: int, dtype: np.dtype, store: Tiles)
                 square = square - np.frombuffer(r[0], dtype).reshape(tile, tile)
         top = _cholesky(square)
         if top is None:
-            return None
+            return k * tile + _bad_pivot(square) + 1
         diagonal.append(top)
         rest = whole.filter((F.col("bi") == k) & (F.col("bj") > k)).unionByName(above.filter(F.col("bj") > k))
         if not small:
@@ -182,13 +228,13 @@ def _squares(batches: Iterator[pa.RecordBatch], tile: int, dtype: np.dtype) -> I
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(dtype).tobytes()], pa.binary())], names=["data"])
 
 
-def _back(rows: list[str], diagonal: list[np.ndarray], nb: int, tile: int, dtype: np.dtype, store: Tiles) -> DataFrame:
-    """Solves U x = y for the further block columns."""
+def _back(rows: list[str], diagonal: list[np.ndarray], nb: int, tile: int, dtype: np.dtype, store: Tiles, y: DataFrame | None = None) -> DataFrame:
+    """Solves U x = y for the further block columns, those of the stored rows or of other tiles y."""
     done: list[str] = []
     for k in reversed(range(nb)):
         row = store.read(rows[k : k + 1])
         right = row.filter(F.col("bj") < nb)
-        x = store.read(done).unionByName(row.filter(F.col("bj") >= nb))
+        x = store.read(done).unionByName(row.filter(F.col("bj") >= nb) if y is None else y.filter(F.col("bi") == k))
         if (nb - k) * diagonal[k].nbytes <= PANEL_BYTES:
             panel = _collected(right, "bj", tile, dtype) if k < nb - 1 else {}
         else:
@@ -205,62 +251,188 @@ def _padded(a: MatrixFrame, tile: int) -> MatrixFrame:
     return matrix(a.cells.unionByName(extra), whole)
 
 
-def chol_solve(a: MatrixFrame, b: MatrixFrame, tile: int = TILE, strict_limits: bool = False) -> DataFrame:
-    """A x = b: cells i, j, v and status (0, or 7 and NaN in every cell if A is not positive definite)."""
+def _factored(a: MatrixFrame, tile: int, store: Tiles, b: MatrixFrame | None = None) -> tuple[list[str], list[np.ndarray]] | int:
+    nb = -(-a.rows // tile)
+    if nb > MANY_ROWS:
+        warnings.warn(f"tiles of {tile} columns make {nb} block rows, each a job or more; wider tiles make fewer", DenseWarning, stacklevel=3)
+    tiles = to_tiles(_padded(a, tile), tile, upper=True)
+    if b is not None:
+        tiles = tiles.unionByName(to_tiles(b.with_cells(b.cells, nb * tile, b.cols), tile, upper=False, shift=nb))
+    return factor(tiles, nb, tile, numpy_dtype(a.dtype), store)
+
+
+def _not_definite(like: MatrixFrame, rows: int, cols: int, minor: int, upper: bool, failed_minor: bool) -> DataFrame:
+    nan = make(F.lit(float("nan")), F.lit(float("nan") if is_complex(like.dtype) else 0.0), like.dtype)
+    first = F.col("id") if upper else F.lit(0).cast("long")
+    places = like.spark.range(rows).select(F.col("id").alias("i"), F.explode(F.sequence(first, F.lit(cols - 1).cast("long"))).alias("j"))
+    out = places.select("i", "j", nan.alias("v"), F.lit(NOT_DEFINITE).cast("int").alias("status"))
+    return out.withColumn("failed_minor", F.lit(minor).cast("long")) if failed_minor else out
+
+
+def _solved(cells: DataFrame, failed_minor: bool) -> DataFrame:
+    out = cells.withColumn("status", F.lit(0).cast("int"))
+    return out.withColumn("failed_minor", F.lit(None).cast("long")) if failed_minor else out
+
+
+def chol_solve(a: MatrixFrame, b: MatrixFrame, tile: int = TILE, strict_limits: bool = False, check_symmetric: bool = False, failed_minor: bool = False) -> DataFrame:
+    """A x = b: cells i, j, v and status (0, or 7 and NaN in every cell if A is not positive definite).
+
+    `check_symmetric` compares A with its transpose first (ValueError if they differ). `failed_minor` adds a column of that
+    name: the order (from 1) of the first leading minor of A that is not positive, null where all are.
+    """
     check_solve(a, b, strict_limits)
     check_square(a, tile)
+    if check_symmetric:
+        check_symmetry(a)
     tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
     nb = -(-a.rows // tile)
-    if nb > MANY_ROWS:
-        warnings.warn(f"tiles of {tile} columns make {nb} block rows, each a job or more; wider tiles make fewer", DenseWarning, stacklevel=2)
     store = Tiles(a.spark, "solve")
-    tiles = to_tiles(_padded(a, tile), tile, upper=True).unionByName(to_tiles(b.with_cells(b.cells, nb * tile, b.cols), tile, upper=False, shift=nb))
-    made = factor(tiles, nb, tile, dtype, store)
-    if made is None:
+    made = _factored(a, tile, store, b)
+    if isinstance(made, int):
         store.remove()
-        nan = make(F.lit(float("nan")), F.lit(float("nan") if is_complex(b.dtype) else 0.0), b.dtype)
-        places = a.spark.range(b.rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b.cols - 1).cast("long"))).alias("j"))
-        return places.select("i", "j", nan.alias("v"), F.lit(NOT_DEFINITE).cast("int").alias("status"))
+        return _not_definite(b, b.rows, b.cols, made, False, failed_minor)
     x = cut(_back(*made, nb, tile, dtype, store))
     store.remove()
-    return to_cells(x, b, tile, b.rows, b.cols, shift=nb).withColumn("status", F.lit(0).cast("int"))
+    return _solved(to_cells(x, b, tile, b.rows, b.cols, shift=nb), failed_minor)
 
 
-def spd_inverse(a: MatrixFrame, tile: int = TILE, part: str = "full") -> DataFrame:
-    """A^-1: cells i, j, v, status; part 'upper' gives the upper triangle alone. The result is mirrored from it."""
+def spd_inverse(a: MatrixFrame, tile: int = TILE, part: str = "full", check_symmetric: bool = False, failed_minor: bool = False) -> DataFrame:
+    """A^-1: cells i, j, v, status; part 'upper' gives the upper triangle alone. The options are those of chol_solve.
+
+    The factor U is inverted tile by tile from the last block row up, which stays upper triangular; A^-1 is the upper
+    half of U^-1 U^-H by tiles, mirrored for the full one.
+    """
     if part not in ("full", "upper"):
         raise ValueError("part must be 'full' or 'upper'")
     check_square(a, tile)
-    one = C.eye(a.spark, a.rows, dtype=a.dtype)
-    solved = chol_solve(a, matrix(one.cells, a.rows, a.rows, REPLICATED), tile)
-    top = solved.filter("j >= i")
+    if check_symmetric:
+        check_symmetry(a)
+    tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
+    nb = -(-a.rows // tile)
+    store = Tiles(a.spark, "inverse")
+    made = _factored(a, tile, store)
+    if isinstance(made, int):
+        store.remove()
+        return _not_definite(a, a.rows, a.rows, made, part == "upper", failed_minor)
+    rows, diagonal = made
+    one = np.eye(tile, dtype=dtype).tobytes()
+    units = a.spark.range(nb).select(F.col("id").cast("int").alias("bi"), (F.col("id") + nb).cast("int").alias("bj"), F.lit(one).alias("data"))
+    inverse = _back(rows, diagonal, nb, tile, dtype, store, units).select("bi", (F.col("bj") - nb).alias("bj"), "data")
+    top = cut(upper_square(inverse, nb, tile, dtype))
+    store.remove()
+    cells = _solved(to_cells(top, a, tile, a.rows, a.rows).filter("j >= i"), failed_minor)
     if part == "upper":
-        return top
-    return top.unionByName(solved.filter("j > i").select(F.col("j").alias("i"), F.col("i").alias("j"), conjugate(F.col("v"), a.dtype).alias("v"), "status"))
+        return cells
+    rest = [c for c in cells.columns if c not in ("i", "j", "v")]
+    return cells.unionByName(cells.filter("j > i").select(F.col("j").alias("i"), F.col("i").alias("j"), conjugate(F.col("v"), a.dtype).alias("v"), *rest))
 
 
-def tile_product(a: MatrixFrame, b: MatrixFrame, tile: int = TILE) -> MatrixFrame:
-    """a b by tiles: a join on the inner block, products in the tasks, sums of a tile's products one after another."""
+def upper_square(tiles: DataFrame, nb: int, tile: int, dtype: np.dtype) -> DataFrame:
+    """The upper tiles of V V^H for upper triangular tiles V: each tile of V goes to the SUPER x SUPER groups of result tiles
+    that use it, where block columns come one after another; nb^3 / 6 products in all."""
+    last = (nb - 1) // SUPER
+    # tile (i, k) is a left factor of (i, j) and a right one of (j, i) for j from i, or up to i, and at most k
+    left = tiles.select(F.expr(f"bi div {SUPER}").alias("si"), F.explode(F.expr(f"sequence(bi div {SUPER}, least(bj div {SUPER}, {last}))")).alias("sj"), F.col("bj").alias("k"), F.lit(0).alias("side"), F.col("bi").alias("at"), "data")
+    right = tiles.select(F.explode(F.expr(f"sequence(cast(0 as bigint), bi div {SUPER})")).alias("si"), F.expr(f"bi div {SUPER}").alias("sj"), F.col("bj").alias("k"), F.lit(1).alias("side"), F.col("bi").alias("at"), "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, column, held = None, None, []
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def settle(at: int, x: np.ndarray) -> None:
+            for i, l in held:
+                if i <= at:
+                    made = l @ x.conj().T
+                    sums[i, at] = sums[i, at] + made if (i, at) in sums else made
+
+        for batch in batches:
+            for si, sj, k, side, at, data in zip(*(batch.column(c).to_pylist() for c in ("si", "sj", "k", "side", "at")), batch.column("data"), strict=True):
+                if (si, sj) != group:
+                    for (i, j), x in sums.items():
+                        yield _tile(i, j, x, dtype)
+                    sums.clear()
+                    group, column = (si, sj), None
+                if k != column:
+                    column, held = k, []
+                x = np.frombuffer(data.as_buffer(), dtype).reshape(tile, tile)
+                if side == 0:
+                    held.append((at, x))
+                else:
+                    settle(at, x)
+        for (i, j), x in sums.items():
+            yield _tile(i, j, x, dtype)
+
+    return left.unionByName(right).repartition("si", "sj").sortWithinPartitions("si", "sj", "k", "side", "at").mapInArrow(run, SCHEMA)
+
+
+def _tile(bi: int, bj: int, x: np.ndarray, dtype: np.dtype) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([x.astype(dtype).tobytes()], pa.binary())], names=["bi", "bj", "data"])
+
+
+def held_tiles(a: MatrixFrame, tile: int) -> DataFrame:
+    """The tiles that cells touch, cells that occur twice summed: data, and mask, bits of the places that have a cell (null:
+    all of them)."""
     dtype = numpy_dtype(a.dtype)
-    inner = -(-a.cols // tile) * tile
-    left = to_tiles(a.with_cells(a.cells, a.rows, inner), tile, upper=False).select("bi", F.col("bj").alias("k"), F.col("data").alias("l"))
-    right = to_tiles(b.with_cells(b.cells, inner, b.cols), tile, upper=False).select(F.col("bi").alias("k"), "bj", F.col("data").alias("r"))
+    re, im = parts(F.col("v"), a.dtype)
+    coded = a.cells.select(F.expr(f"cast(i div {tile} as int)").alias("bi"), F.expr(f"cast(j div {tile} as int)").alias("bj"), F.expr(f"cast((i % {tile}) * {tile} + j % {tile} as int)").alias("p"), re.cast("double").alias("re"), im.cast("double").alias("im"))
+
+    def dense(group: pd.DataFrame) -> pd.DataFrame:
+        out, there, p = np.zeros(tile * tile, np.complex128), np.zeros(tile * tile, bool), group["p"].to_numpy()
+        np.add.at(out.real, p, group["re"].to_numpy(float))
+        np.add.at(out.imag, p, group["im"].to_numpy(float))
+        there[p] = True
+        return pd.DataFrame({"bi": group["bi"].iloc[:1], "bj": group["bj"].iloc[:1], "data": [(out if dtype.kind == "c" else out.real).astype(dtype).tobytes()], "mask": [None if there.all() else np.packbits(there).tobytes()]})
+
+    return coded.groupBy("bi", "bj").applyInPandas(dense, f"{SCHEMA}, mask binary")
+
+
+def _places(mask: bytes | None, tile: int) -> np.ndarray:
+    return np.ones((tile, tile), bool) if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=tile * tile).astype(bool).reshape(tile, tile)
+
+
+def _met(x: np.ndarray, there: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """x y over pairs of cells that are both there; what isn't finite meets no missing cell."""
+    bad = ~(np.isfinite(x).all(axis=0) & np.isfinite(y).all(axis=1))
+    if not bad.any():
+        return x @ y
+    x, y, odd = x.copy(), y.copy(), np.flatnonzero(bad)
+    extra = np.zeros((len(x), y.shape[1]), np.result_type(x, y))
+    for k in odd:
+        extra += np.where(np.outer(there[:, k], here[k]), x[:, k, None] * y[k], 0)
+    x[:, odd] = 0
+    y[odd] = 0
+    return x @ y + extra
+
+
+def tile_product(a: MatrixFrame, b: MatrixFrame, tile: int = TILE) -> MatrixFrame:
+    """a b by the tiles that cells touch: a join on the inner block, products in the tasks, sums of a tile's products one
+    after another. The meaning is that of matmul."""
+    ship_code(a.spark)
+    dtype = numpy_dtype(a.dtype if is_complex(a.dtype) or not is_complex(b.dtype) else b.dtype)
+    wide = np.result_type(dtype, np.float64)
+    left, right = (numpy_dtype(m.dtype) for m in (a, b))
+    x = held_tiles(a, tile).select("bi", F.col("bj").alias("k"), F.col("data").alias("l"), F.col("mask").alias("ml"))
+    y = held_tiles(b, tile).select(F.col("bi").alias("k"), "bj", F.col("data").alias("r"), F.col("mask").alias("mr"))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
+        at, total, there = None, None, None
+
+        def made() -> pa.RecordBatch:
+            mask = None if there.all() else np.packbits(there.reshape(-1)).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([total.astype(dtype).tobytes()], pa.binary()), pa.array([mask], pa.binary())], names=["bi", "bj", "data", "mask"])
+
         for batch in batches:
-            for bi, bj, x, y in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("l"), batch.column("r"), strict=True):
+            for bi, bj, l, ml, r, mr in zip(*(batch.column(c).to_pylist() for c in ("bi", "bj")), batch.column("l"), batch.column("ml").to_pylist(), batch.column("r"), batch.column("mr").to_pylist(), strict=True):
                 if (bi, bj) != at:
                     if at is not None:
-                        yield _tile(*at, total, dtype)
-                    at, total = (bi, bj), np.zeros((tile, tile), dtype)
-                total = total + np.frombuffer(x.as_buffer(), dtype).reshape(tile, tile) @ np.frombuffer(y.as_buffer(), dtype).reshape(tile, tile)
+                        yield made()
+                    at, total, there = (bi, bj), np.zeros((tile, tile), wide), np.zeros((tile, tile), bool)
+                u, v = _places(ml, tile), _places(mr, tile)
+                total = total + _met(np.frombuffer(l.as_buffer(), left).reshape(tile, tile).astype(wide), u, np.frombuffer(r.as_buffer(), right).reshape(tile, tile).astype(wide), v)
+                there |= True if ml is None and mr is None else u.astype(np.float32) @ v.astype(np.float32) > 0
         if at is not None:
-            yield _tile(*at, total, dtype)
-
-    summed = left.join(right, "k").select("bi", "bj", "l", "r").repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(product, SCHEMA)
-    return a.with_cells(to_cells(summed, a, tile, a.rows, b.cols), a.rows, b.cols)
-
+            yield made()
 
-def _tile(bi: int, bj: int, x: np.ndarray, dtype: np.dtype) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([x.astype(dtype).tobytes()], pa.binary())], names=["bi", "bj", "data"])
+    summed = x.join(y, "k").select("bi", "bj", "l", "ml", "r", "mr").repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(product, f"{SCHEMA}, mask binary")
+    like = a if is_complex(a.dtype) or not is_complex(b.dtype) else b
+    return a.with_cells(to_cells(summed, like, tile, a.rows, b.cols), a.rows, b.cols)

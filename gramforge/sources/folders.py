@@ -1,8 +1,11 @@
-"""Where intermediate tables go: the folder that the driver and all executors share."""
+"""Where intermediate tables go (the folder that the driver and all executors share), and code for the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +21,17 @@ def shared_base(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Gives executors this package, once a context, so that their Python workers import it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gramforge_code", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="gramforge-"), "gramforge_library.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(target)
+    sc._gramforge_code = True
