@@ -25,7 +25,7 @@ from gramforge.sources.folders import ship_code
 #: Columns of a block, columns of the basis before a restart (at least 2 k and three blocks), steps in all.
 BLOCK, MOST_BASIS, MOST_STEPS = 4, 96, 400
 #: Directions of a block shorter than this (against the matrix) end there; overlaps with the basis that count as none.
-SHORT, ORTHOGONAL = 1e-9, 1e-13
+SHORT, ORTHOGONAL = 1e-9, 1e-11
 STATE = "i long, q array<double>, w array<double>"
 
 
@@ -80,8 +80,8 @@ class Basis:
         number = lambda batch: (lambda re, im: re + 1j * im if kind is np.complex128 else re)(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("re", "im")))
         if n * width * np.dtype(kind).itemsize <= VECTOR_BYTES:
             held = np.zeros((n, width), kind)
-            for r in x.toLocalIterator(prefetchPartitions=True):
-                held[r["i"]] = np.array(r["x"]).view(kind)
+            got = x.toArrow()
+            held[got.column("i").to_numpy()] = _square(got.column("x").combine_chunks(), len(got), kind)
             sent = self.spark.sparkContext.broadcast(held)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +106,8 @@ class Basis:
         zeros = F.array_repeat(F.lit(0.0), width * (2 if self.kind is np.complex128 else 1))
         return state.select("i", "q").join(product, "i", "left").select("i", "q", F.coalesce("x", zeros).alias("w"))
 
-    def overlaps(self, state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """q^H w and w^H w, summed in the tasks first; their size doesn't depend on the matrix."""
+    def overlaps(self, state: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """q^H w and w^H w for a w of `width` columns, summed in the tasks first; their size doesn't depend on the matrix."""
         kind = self.kind
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +121,8 @@ class Basis:
                 flat = np.ascontiguousarray(total).view(np.float64).reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["p", "v"])
 
-        got = state.mapInArrow(run, "p long, v double").groupBy("p").agg(F.sum("v").alias("v")).orderBy("p").collect()
-        width = len(state.select("w").first()["w"]) // (2 if kind is np.complex128 else 1)
-        both = np.array([r["v"] for r in got]).view(kind).reshape(-1, width)
+        got = state.mapInArrow(run, "p long, v double").groupBy("p").agg(F.sum("v").alias("v")).collect()
+        both = np.array([v for _, v in sorted(got)]).view(kind).reshape(-1, width)
         return both[:-width], both[-width:]
 
     def mapped(self, state: DataFrame, left: np.ndarray, right: np.ndarray, into: str) -> DataFrame:
@@ -154,40 +153,46 @@ class Basis:
 
         return state.mapInArrow(run, STATE)
 
-    def orthonormal(self, state: DataFrame, scale: float) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
-        """The basis with what is left of w appended, orthonormal; also q^H w, the factor of what was appended, and its
-        columns. Directions no longer than SHORT * scale are dropped."""
-        c, gram = self.overlaps(state)
-        width, found = gram.shape[0], c.copy()
-        into = np.eye(width, dtype=self.kind)
+    def orthonormal(self, state: DataFrame, width: int, scale: float) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
+        """The basis with what is left of w appended, orthonormal (not stored yet); also q^H w, the factor of what was
+        appended, and its columns. Directions no longer than SHORT * scale are dropped. A w that loses most of its length
+        is stored on the way, so that what is left isn't made of rounding."""
+        c, gram = self.overlaps(state, width)
+        found = c.copy()
+        into = right = np.eye(width, dtype=self.kind)
+        left = np.zeros_like(c)
         first = True
         for _ in range(6):
-            left = gram - c.conj().T @ c
-            lam, v = np.linalg.eigh((left + left.conj().T) / 2)
-            if first:
-                alive = lam > max((SHORT * scale) ** 2, 1e-30)
-                if not alive.any():
-                    return self.keep(self.mapped(state, np.zeros((len(c), 0), self.kind), np.zeros((width, 0), self.kind), "q")), found, np.zeros((0, width), self.kind), 0
-                lam, v = lam[alive], v[:, alive]
-            lam = np.maximum(lam, 1e-300)
+            rest = gram - c.conj().T @ c
+            lam, v = np.linalg.eigh((rest + rest.conj().T) / 2)
+            # later on, what loses nearly all of its new length was rounding
+            alive = lam > (max((SHORT * scale) ** 2, 1e-24 * max(float(np.trace(gram).real), 1e-300)) if first else 0.1)
+            if not alive.any():
+                return self.mapped(state, left[:, :0], right[:, :0], "q"), found, np.zeros((0, width), self.kind), 0
+            lost = lam[alive].min() < 1e-6 * max(float(np.trace(gram).real), 1e-300)
+            lam, v = lam[alive], v[:, alive]
             turn = v / np.sqrt(lam)
+            left, right = (left - c) @ turn, right @ turn
+            found = found + c @ into if not first else found
             into = (np.sqrt(lam)[:, None] * v.conj().T) @ into
-            state = self.keep(self.mapped(state, -c @ turn, turn, "w"))
-            before = into
-            c, gram = self.overlaps(state)
-            found = found + c @ before
+            if first and lost:
+                state = self.keep(self.mapped(state, left, right, "w"))
+                left, right = np.zeros_like(left), np.eye(len(lam), dtype=self.kind)
+            c, gram = self.overlaps(self.mapped(state, left, right, "w"), len(lam))
             first = False
-            if max(np.abs(c).max(initial=0.0), np.abs(gram - np.eye(len(gram))).max(initial=0.0)) <= ORTHOGONAL * 10:
+            if max(np.abs(c).max(initial=0.0), np.abs(gram - np.eye(len(gram))).max(initial=0.0)) <= ORTHOGONAL:
                 break
-        return self.keep(self.mapped(state, np.zeros((c.shape[0], gram.shape[0]), self.kind), np.eye(gram.shape[0], dtype=self.kind), "q")), found, into, gram.shape[0]
+        return self.mapped(state, left, right, "q"), found, into, gram.shape[0]
 
 
-def top_eigen(a: MatrixFrame, k: int, which: str = "largest", vectors: bool = False, tolerance: float = 1e-10, block: int = BLOCK, seed: int = 7, check_symmetric: bool = False) -> DataFrame:
+def top_eigen(a: MatrixFrame, k: int, which: str = "largest", vectors: bool = False, tolerance: float = 1e-10, block: int = BLOCK, seed: int = 7, check_symmetric: bool = False, confirm: bool = True) -> DataFrame:
     """The k largest or smallest eigenvalues: k (0 is the outermost), lambda, residual (bound of |A v - lambda v| against the
     largest |lambda| met), status; with `vectors` one row for each i and k, with v, and none of residual.
 
-    Only the upper triangle is read. Steps end when all k residuals are within `tolerance`; status 8 if MOST_STEPS steps
-    don't get there (the values are then the best found), 7 and NaN for input that isn't finite. k is cut to the size.
+    Only the upper triangle is read. Steps end when all k residuals are within `tolerance` and, as a block may miss
+    further vectors of a value that occurs more often than it is wide, new directions beside the vectors found have led
+    to the same k values again (`confirm` = False takes the first ones). Status is 8 if MOST_STEPS steps don't get there
+    (the values are then the best found), 7 with NaN for input that isn't finite. k is cut to the size.
     """
     if which not in ("largest", "smallest"):
         raise ValueError("which must be 'largest' or 'smallest'")
@@ -210,14 +215,14 @@ def top_eigen(a: MatrixFrame, k: int, which: str = "largest", vectors: bool = Fa
     basis = Basis(a, block, seed)
     empty = F.array().cast("array<double>")
     state = basis.keep(basis.start(basis.block, seed).select("i", empty.alias("q"), F.col("x").alias("w")))
-    state, _, _, width = basis.orthonormal(state, 0.0)
+    state, _, _, width = basis.orthonormal(state, basis.block, 0.0)  # a hashed block; SHORT doesn't apply
     h = np.zeros((0, 0), basis.kind)  # q^H A q of the columns that were multiplied
     most = min(n, max(MOST_BASIS, 2 * k + 3 * basis.block))
-    status, sign = NOT_CONVERGED, -1 if which == "largest" else 1
+    status, sign, settled = NOT_CONVERGED, -1 if which == "largest" else 1, None
     for step in range(MOST_STEPS):
         done = len(h)
         state = basis.keep(basis.with_product(state, basis.times(basis.last(state, width), width), width))
-        state, c, into, more = basis.orthonormal(state, scale)
+        state, c, into, more = basis.orthonormal(state, width, scale)
         grown = np.zeros((done + width, done + width), basis.kind)
         grown[:done, :done] = h
         grown[:, done:] = c
@@ -229,25 +234,29 @@ def top_eigen(a: MatrixFrame, k: int, which: str = "largest", vectors: bool = Fa
         lam, y = lam[order], y[:, order]
         size = max(float(np.abs(lam).max()), 1e-300)
         residual = np.linalg.norm(into @ y[-width:], axis=0) / size if more else np.zeros(len(lam))
-        if len(lam) >= k and (residual[:k] <= tolerance).all() and (more or len(lam) == n):
-            status = 0
-            break
         if len(lam) == n:
             status = 0
             break
-        if not more:
-            # an invariant subspace: go on from new directions
-            fresh = basis.start(basis.block, seed + step + 1)
-            state = basis.keep(state.select("i", "q").join(fresh, "i").select("i", "q", F.col("x").alias("w")))
-            state, _, _, more = basis.orthonormal(state, 0.0)
-            into = np.zeros((more, width), basis.kind)
-            if len(lam) >= k and not more:
+        fresh = not more
+        if len(lam) >= k and (residual[:k] <= tolerance).all():
+            if not confirm or settled is not None and np.allclose(lam[:k], settled, rtol=0, atol=10 * tolerance * size):
+                status = 0
+                break
+            # the next round begins beside the vectors found, which have no product outside themselves
+            settled, fresh = lam[:k], True
+            state = basis.keep(basis.rotated(state, y[:, :k], 0))
+            h = np.diag(lam[:k]).astype(basis.kind)
+        if fresh:
+            start = basis.start(basis.block, seed + step + 1)
+            state = basis.keep(state.select("i", "q").join(start, "i").select("i", "q", F.col("x").alias("w")))
+            state, _, _, more = basis.orthonormal(state, basis.block, 0.0)
+            if not more:
                 status = 0
                 break
         width = more
         if len(h) + width > most:
             kept = min(len(h), max(k + basis.block, most // 2))
-            state = basis.keep(basis.rotated(state, y[:, :kept], width))
+            state = basis.rotated(state, y[:, :kept], width)
             h = np.diag(lam[:kept]).astype(basis.kind)
     lam, residual = lam[:k], residual[:k]
     values = spark.createDataFrame([(j, float(x), float(r), status) for j, (x, r) in enumerate(zip(lam, residual, strict=True))], "k long, lambda double, residual double, status int")

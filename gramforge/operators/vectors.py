@@ -47,9 +47,10 @@ def matvec(a: MatrixFrame, x: MatrixFrame) -> MatrixFrame:
     ship_code(spark)
     held = np.zeros((x.rows, x.cols), np.complex128 if complex_ else np.float64)
     there = np.zeros(held.shape, bool)
-    for r in numbers(x, "i", "j", "re", "im").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toLocalIterator():
-        held[r["i"], r["j"]] = complex(r["re"], r["im"]) if complex_ else r["re"]
-        there[r["i"], r["j"]] = True
+    got = numbers(x, "i", "j", "re", "im").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toArrow()
+    at = got.column("i").to_numpy(), got.column("j").to_numpy()
+    held[at] = got.column("re").to_numpy() + 1j * got.column("im").to_numpy() if complex_ else got.column("re").to_numpy()
+    there[at] = True
     sent = spark.sparkContext.broadcast((held, None if there.all() else there))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
