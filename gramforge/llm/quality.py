@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramforge.llm.bytescan import byte_view, slices
 from gramforge.llm.runtime import ship_code
 
 EMBED, FILTERS, STEP, HOP, LAGS = 8, 24, 4, 32, 32
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: The fit's bounds: rows of each class, and code points of a row; of a longer row a piece at a hashed place is used.
 FIT_ROWS, FIT_CHARS = 1000, 12_000
 EPOCHS, BATCH, RATE = 8, 32, 0.01
@@ -181,14 +181,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).filter((F.col("y").isin(0, 1)) & ~held_out(F.col("i")) & F.col("i").isNotNull())
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
     draw = [F.xxhash64("i"), F.col("i")]
-    # of ids that have a text; 2 * rows ids at most
-    there = ids.distinct().join(texts.select("i"), "i", "left_semi")
-    picked = there.filter("y = 0").orderBy(*draw).limit(rows).union(there.filter("y = 1").orderBy(*draw).limit(rows))
     begin = F.pmod(F.xxhash64("i"), F.greatest(F.char_length("t") - FIT_CHARS, F.lit(0)) + 1).cast("int") + 1
-    pieces = texts.join(F.broadcast(picked), "i").select("i", "y", F.substring("t", begin, F.lit(FIT_CHARS)).alias("t"))
-    # one text for an id, however often it stands there
-    got = sorted(pieces.groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "t", "y").collect())
-    return Network().fit([r[1] for r in got], [r[2] for r in got])
+    drawn = 2 * rows
+    while True:
+        # 2 * drawn ids at most; more only where too many of them have no text
+        picked = ids.filter("y = 0").distinct().orderBy(*draw).limit(drawn).union(ids.filter("y = 1").distinct().orderBy(*draw).limit(drawn)).withColumn("h", F.xxhash64("i"))
+        taken = picked.groupBy("y").count().collect()
+        pieces = texts.join(F.broadcast(picked), "i").select("i", "y", "h", F.substring("t", begin, F.lit(FIT_CHARS)).alias("t"))
+        # one text for an id, however often it stands there
+        first = Window.partitionBy("y").orderBy("h", "i")
+        found = pieces.groupBy("i", "y", "h").agg(F.min("t").alias("t")).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows)
+        got = sorted(found.select("i", "t", "y").collect())
+        own = {y: sum(r["y"] == y for r in got) for y in (0, 1)}
+        if all(r["count"] < drawn or own[r["y"]] >= rows for r in taken):
+            return Network().fit([r[1] for r in got], [r[2] for r in got])
+        drawn *= 8
 
 
 def score_quality(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
