@@ -1,11 +1,13 @@
-"""Cholesky solves and inverses over tiles.
-
-A matrix is a DataFrame of square tiles (bi, bj, data); the right-hand sides are tiles of further block columns, so the
-forward sweep is part of the factorisation. Block rows of U are made one after another and written once: row k is A's
-row k less the products of the rows above, which a task gathers for a block column tile after tile, holding two of them.
-What all columns need of U (its block column k) is broadcast where it has at most PANEL_BYTES and joined otherwise; the
-sweep back works the same way on U's block rows. Only the upper triangle of A is read. A tile that is not positive
-definite ends the factorisation: status 7 and NaN everywhere.
+"""Cholesky solves and inverses over tiles that stay where they are.
+
+A matrix is a set of square tiles (bi, bj, data) in a table bucketed by block column; the right-hand sides are tiles of
+further block columns, so the forward sweep is part of the factorisation. Block rows of U are made one after another and
+appended to the same table: row k is A's row k less the products of the rows above, which the task that holds a block column
+gathers from its bucket, tile after tile, two of them in memory. So no step moves tiles that are stored already; what
+moves is what all columns need of U (its block column k), broadcast where it has at most PANEL_BYTES. Beyond that it is
+joined, and the step is dealt out again. The sweep back works the same way on U's block rows. A tile without a cell isn't
+made, in A or in U, and counts as zero. Only the upper triangle of A is read. A tile that is not positive definite ends the
+factorisation: status 7 and NaN everywhere.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from __future__ import annotations
 import uuid
 import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramforge.functions.dtypes import conjugate, is_complex, make, numpy_dtype, parts
@@ -61,6 +64,46 @@ class Tiles:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Placed:
+    """The tiles of one run, (kind, bi, bj, data), as a table in the shared folder, bucketed by block column. A task reads
+    the whole of its buckets, whatever was appended when, and appends to them; remove() drops table and files."""
+
+    A, U, X, Y = range(4)  # the matrix with its right-hand sides, the factor, the solution, other right-hand sides
+    SCAN = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+
+    def __init__(self, spark: SparkSession, name: str, devices: int | None = None):
+        ship_code(spark)
+        key = uuid.uuid4().hex
+        self.spark, self.root, self.table = spark, f"{shared_base(spark)}/{name}-{key}", f"gramforge_{name}_{key}"
+        self.devices = devices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @contextmanager
+    def whole_buckets(self):
+        """Scans keep buckets together even where nothing above them in the plan asks for it."""
+        before = self.spark.conf.get(self.SCAN)
+        self.spark.conf.set(self.SCAN, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(self.SCAN, before)
+
+    def put(self, tiles: DataFrame, kind: int, dealt: bool = True) -> None:
+        rows = tiles.select(F.lit(kind).cast("int").alias("kind"), F.col("bi").cast("int").alias("bi"), F.col("bj").cast("int").alias("bj"), "data")
+        if not dealt:
+            rows = rows.repartition(self.devices, "bj")
+        with self.whole_buckets():
+            rows.write.format("parquet").option("compression", "uncompressed").option("path", f"{self.root}/tiles").bucketBy(self.devices, "bj").mode("append").saveAsTable(self.table)
+
+    def read(self, where: Column | None = None) -> DataFrame:
+        tiles = self.spark.table(self.table)
+        return tiles if where is None else tiles.filter(where)
+
+    def remove(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def asymmetric_cells(a: MatrixFrame, tile: int = TILE) -> DataFrame:
     """i, j (i < j, or i = j of a complex diagonal) of places where A differs from its (conjugate) transpose; missing cells are
     0 and cells that occur twice count as their sum.
@@ -90,9 +133,9 @@ def check_symmetry(a: MatrixFrame) -> None:
         raise ValueError(f"A is not symmetric: {found['n']} places differ, the first is ({found['first']['i']}, {found['first']['j']})")
 
 
-def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0) -> DataFrame:
-    """Dense tiles of all cells (of the upper triangle); block columns count from `shift`. Cells that occur twice are summed,
-    zero tiles are made too."""
+def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0, zeros: bool = True) -> DataFrame:
+    """Dense tiles of all cells (of the upper triangle); block columns count from `shift`. Cells that occur twice are summed;
+    tiles without a cell are made too unless `zeros` is false."""
     spark, dtype = a.spark, numpy_dtype(a.dtype)
     re, im = parts(F.col("v"), a.dtype)
     source = a.cells.filter("j >= i") if upper else a.cells
@@ -104,10 +147,16 @@ def to_tiles(a: MatrixFrame, tile: int, upper: bool, shift: int = 0) -> DataFram
         return pd.DataFrame({"bi": group["bi"].iloc[:1], "bj": group["bj"].iloc[:1], "data": [(out if dtype.kind == "c" else out.real).astype(dtype).tobytes()]})
 
     made = coded.groupBy("bi", "bj").applyInPandas(dense, SCHEMA)  # tile * tile cells at most
-    nr, nc = -(-a.rows // tile), -(-a.cols // tile)
-    places = spark.range(nr).select(F.col("id").cast("int").alias("bi"), F.explode(F.expr(f"sequence({'cast(id as int)' if upper else '0'}, {nc - 1})")).alias("bj"))
+    if not zeros:
+        return made.select("bi", (F.col("bj") + shift).alias("bj"), "data")
+    return filled(made, -(-a.rows // tile), -(-a.cols // tile), tile, dtype, upper).select("bi", (F.col("bj") + shift).alias("bj"), "data")
+
+
+def filled(tiles: DataFrame, nr: int, nc: int, tile: int, dtype: np.dtype, upper: bool = False) -> DataFrame:
+    """nr x nc tiles (those on and above the diagonal), zeros where `tiles` has none."""
+    places = tiles.sparkSession.range(nr).select(F.col("id").cast("int").alias("bi"), F.explode(F.expr(f"sequence({'cast(id as int)' if upper else '0'}, {nc - 1})")).alias("bj"))
     zero = F.lit(bytes(tile * tile * dtype.itemsize))
-    return places.join(made, ["bi", "bj"], "left").select("bi", (F.col("bj") + shift).alias("bj"), F.coalesce("data", zero).alias("data"))
+    return places.join(tiles, ["bi", "bj"], "left").select("bi", "bj", F.coalesce("data", zero).alias("data"))
 
 
 def to_cells(tiles: DataFrame, like: MatrixFrame, tile: int, rows: int, cols: int, shift: int = 0) -> DataFrame:
@@ -129,7 +178,7 @@ def to_cells(tiles: DataFrame, like: MatrixFrame, tile: int, rows: int, cols: in
 
 
 def _gathered(rows: DataFrame, panel: dict[int, np.ndarray] | None, last: np.ndarray, own: int, tile: int, dtype: np.dtype, forward: bool) -> DataFrame:
-    """Block row `own` of the result: for each block column its tile of row `own` less the products of its other tiles
+    """Block row `own` of the result, of rows whose block columns are whole within partitions: for each block column its tile of row `own` less the products of its other tiles
     with the panel's (or, without a panel, with the column `l`), solved with `last`, a diagonal tile of U."""
     held = rows.sparkSession.sparkContext.broadcast((panel, last))
 
@@ -146,19 +195,21 @@ def _gathered(rows: DataFrame, panel: dict[int, np.ndarray] | None, last: np.nda
             others = batch.column("l") if panel is None else [None] * batch.num_rows
             for bi, bj, data, l in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("data"), others, strict=True):
                 if bj != at:
-                    if at is not None:
+                    if at is not None and total.any():
                         yield made()
                     at, total = bj, np.zeros((tile, tile), dtype)
                 x = np.frombuffer(data.as_buffer(), dtype).reshape(tile, tile)
                 if bi == own:
                     total = total + x
                     continue
-                p = panel[bi] if panel is not None else np.frombuffer(l.as_buffer(), dtype).reshape(tile, tile)
+                p = panel.get(bi) if panel is not None else np.frombuffer(l.as_buffer(), dtype).reshape(tile, tile) if l.is_valid else None
+                if p is None:
+                    continue  # a tile without a cell
                 total = total - (p.conj().T @ x if forward else p @ x)
-        if at is not None:
+        if at is not None and total.any():
             yield made()
 
-    return rows.repartition("bj").sortWithinPartitions("bj", "bi").mapInArrow(run, SCHEMA)
+    return rows.sortWithinPartitions("bj", "bi").mapInArrow(run, SCHEMA)
 
 
 def _collected(tiles: DataFrame, key: str, tile: int, dtype: np.dtype) -> dict[int, np.ndarray]:
@@ -186,36 +237,41 @@ def _bad_pivot(a: np.ndarray) -> int:
     return len(whole) - 1
 
 
-def factor(tiles: DataFrame, nb: int, tile: int, dtype: np.dtype, store: Tiles) -> tuple[list[str], list[np.ndarray]] | int:
-    """The stored block rows of U right of the diagonal (and of U^-H b, in the further block columns), and the diagonal
-    tiles; the order of the first leading minor that is not positive if A is not positive definite. One block column (or one tile) is on the driver at a time, and the
-    diagonal tiles, which are as much as one block column."""
-    whole = store.read([store.keep(tiles)])
-    paths: list[str] = []
+def factor(placed: Placed, nb: int, tile: int, dtype: np.dtype) -> list[np.ndarray] | int:
+    """Adds the block rows of U right of the diagonal (and of U^-H b, in the further block columns) to the placed tiles;
+    returns the diagonal tiles, or the order of the first leading minor that is not positive if A is not positive
+    definite. One block column (or one tile) is on the driver at a time, and the diagonal tiles, which are as much as one
+    block column."""
+    kind, bi, bj = F.col("kind"), F.col("bi"), F.col("bj")
     diagonal: list[np.ndarray] = []
     for k in range(nb):
-        above = store.read(paths)
-        column = above.filter(F.col("bj") == k)
-        own = _collected(whole.filter((F.col("bi") == k) & (F.col("bj") == k)), "bi", tile, dtype)[k]
-        small = (k + 1) * own.nbytes <= PANEL_BYTES
+        own = (kind == Placed.A) & (bi == k)
+        small = (k + 1) * tile * tile * dtype.itemsize <= PANEL_BYTES
+        column = placed.read((bj == k) & (kind == Placed.U))
+        square = np.zeros((tile, tile), dtype)
+        panel: dict[int, np.ndarray] | None = {} if small else None
         if small:
-            panel = _collected(column, "bi", tile, dtype) if k else {}
-            square = own - sum((p.conj().T @ p for p in panel.values()), np.zeros_like(own))
+            for r in placed.read((bj == k) & (own | (kind == Placed.U))).select("kind", "bi", "data").collect():
+                x = np.frombuffer(r["data"], dtype).reshape(tile, tile)
+                if r["kind"] == Placed.A:
+                    square = square + x
+                else:
+                    panel[r["bi"]] = x
+                    square = square - x.conj().T @ x
         else:
-            panel = None
-            squares = column.mapInArrow(lambda batches: _squares(batches, tile, dtype), "data binary")
-            square = own.copy()
-            for r in squares.toLocalIterator():  # one tile a task
+            for x in _collected(placed.read((bj == k) & own), "bi", tile, dtype).values():
+                square = square + x
+            for r in column.select("data").mapInArrow(lambda batches: _squares(batches, tile, dtype), "data binary").toLocalIterator():  # one tile a task
                 square = square - np.frombuffer(r[0], dtype).reshape(tile, tile)
         top = _cholesky(square)
         if top is None:
             return k * tile + _bad_pivot(square) + 1
         diagonal.append(top)
-        rest = whole.filter((F.col("bi") == k) & (F.col("bj") > k)).unionByName(above.filter(F.col("bj") > k))
+        rest = placed.read((bj > k) & (own | (kind == Placed.U))).select("bi", "bj", "data")
         if not small:
-            rest = rest.join(column.select("bi", F.col("data").alias("l")), "bi", "left").select("bi", "bj", "data", "l")
-        paths.append(store.keep(_gathered(rest, panel, top, k, tile, dtype, True)))
-    return paths, diagonal
+            rest = rest.join(column.select("bi", F.col("data").alias("l")), "bi", "left").select("bi", "bj", "data", "l").repartition(placed.devices, "bj")
+        placed.put(_gathered(rest, panel, top, k, tile, dtype, True), Placed.U)
+    return diagonal
 
 
 def _squares(batches: Iterator[pa.RecordBatch], tile: int, dtype: np.dtype) -> Iterator[pa.RecordBatch]:
@@ -228,20 +284,19 @@ def _squares(batches: Iterator[pa.RecordBatch], tile: int, dtype: np.dtype) -> I
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(dtype).tobytes()], pa.binary())], names=["data"])
 
 
-def _back(rows: list[str], diagonal: list[np.ndarray], nb: int, tile: int, dtype: np.dtype, store: Tiles, y: DataFrame | None = None) -> DataFrame:
-    """Solves U x = y for the further block columns, those of the stored rows or of other tiles y."""
-    done: list[str] = []
+def _back(placed: Placed, diagonal: list[np.ndarray], nb: int, tile: int, dtype: np.dtype, own: int) -> DataFrame:
+    """Solves U x = y for the further block columns, y being placed tiles of kind `own`. The tiles that x has."""
+    kind, bi, bj = F.col("kind"), F.col("bi"), F.col("bj")
     for k in reversed(range(nb)):
-        row = store.read(rows[k : k + 1])
-        right = row.filter(F.col("bj") < nb)
-        x = store.read(done).unionByName(row.filter(F.col("bj") >= nb) if y is None else y.filter(F.col("bi") == k))
+        right = placed.read((kind == Placed.U) & (bi == k) & (bj < nb))
+        x = placed.read((bj >= nb) & ((kind == own) & (bi == k) | (kind == Placed.X))).select("bi", "bj", "data")
         if (nb - k) * diagonal[k].nbytes <= PANEL_BYTES:
             panel = _collected(right, "bj", tile, dtype) if k < nb - 1 else {}
         else:
             panel = None
-            x = x.join(right.select(F.col("bj").alias("bi"), F.col("data").alias("l")), "bi", "left").select("bi", "bj", "data", "l")
-        done.append(store.keep(_gathered(x, panel, diagonal[k], k, tile, dtype, False)))
-    return store.read(done)
+            x = x.join(right.select(F.col("bj").alias("bi"), F.col("data").alias("l")), "bi", "left").select("bi", "bj", "data", "l").repartition(placed.devices, "bj")
+        placed.put(_gathered(x, panel, diagonal[k], k, tile, dtype, False), Placed.X)
+    return placed.read(kind == Placed.X).select("bi", "bj", "data")
 
 
 def _padded(a: MatrixFrame, tile: int) -> MatrixFrame:
@@ -251,14 +306,15 @@ def _padded(a: MatrixFrame, tile: int) -> MatrixFrame:
     return matrix(a.cells.unionByName(extra), whole)
 
 
-def _factored(a: MatrixFrame, tile: int, store: Tiles, b: MatrixFrame | None = None) -> tuple[list[str], list[np.ndarray]] | int:
+def _factored(a: MatrixFrame, tile: int, placed: Placed, b: MatrixFrame | None = None) -> list[np.ndarray] | int:
     nb = -(-a.rows // tile)
     if nb > MANY_ROWS:
         warnings.warn(f"tiles of {tile} columns make {nb} block rows, each a job or more; wider tiles make fewer", DenseWarning, stacklevel=3)
-    tiles = to_tiles(_padded(a, tile), tile, upper=True)
+    tiles = to_tiles(_padded(a, tile), tile, upper=True, zeros=False)
     if b is not None:
-        tiles = tiles.unionByName(to_tiles(b.with_cells(b.cells, nb * tile, b.cols), tile, upper=False, shift=nb))
-    return factor(tiles, nb, tile, numpy_dtype(a.dtype), store)
+        tiles = tiles.unionByName(to_tiles(b.with_cells(b.cells, nb * tile, b.cols), tile, upper=False, shift=nb, zeros=False))
+    placed.put(tiles, Placed.A, dealt=False)
+    return factor(placed, nb, tile, numpy_dtype(a.dtype))
 
 
 def _not_definite(like: MatrixFrame, rows: int, cols: int, minor: int, upper: bool, failed_minor: bool) -> DataFrame:
@@ -286,14 +342,15 @@ def chol_solve(a: MatrixFrame, b: MatrixFrame, tile: int = TILE, strict_limits:
         check_symmetry(a)
     tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
     nb = -(-a.rows // tile)
-    store = Tiles(a.spark, "solve")
-    made = _factored(a, tile, store, b)
+    placed = Placed(a.spark, "solve")
+    made = _factored(a, tile, placed, b)
     if isinstance(made, int):
-        store.remove()
+        placed.remove()
         return _not_definite(b, b.rows, b.cols, made, False, failed_minor)
-    x = cut(_back(*made, nb, tile, dtype, store))
-    store.remove()
-    return _solved(to_cells(x, b, tile, b.rows, b.cols, shift=nb), failed_minor)
+    x = _back(placed, made, nb, tile, dtype, Placed.U).withColumn("bj", F.col("bj") - nb)
+    x = cut(filled(x, nb, -(-b.cols // tile), tile, dtype))
+    placed.remove()
+    return _solved(to_cells(x, b, tile, b.rows, b.cols), failed_minor)
 
 
 def spd_inverse(a: MatrixFrame, tile: int = TILE, part: str = "full", check_symmetric: bool = False, failed_minor: bool = False) -> DataFrame:
@@ -309,17 +366,16 @@ def spd_inverse(a: MatrixFrame, tile: int = TILE, part: str = "full", check_symm
         check_symmetry(a)
     tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
     nb = -(-a.rows // tile)
-    store = Tiles(a.spark, "inverse")
-    made = _factored(a, tile, store)
+    placed = Placed(a.spark, "inverse")
+    made = _factored(a, tile, placed)
     if isinstance(made, int):
-        store.remove()
+        placed.remove()
         return _not_definite(a, a.rows, a.rows, made, part == "upper", failed_minor)
-    rows, diagonal = made
     one = np.eye(tile, dtype=dtype).tobytes()
-    units = a.spark.range(nb).select(F.col("id").cast("int").alias("bi"), (F.col("id") + nb).cast("int").alias("bj"), F.lit(one).alias("data"))
-    inverse = _back(rows, diagonal, nb, tile, dtype, store, units).select("bi", (F.col("bj") - nb).alias("bj"), "data")
-    top = cut(upper_square(inverse, nb, tile, dtype))
-    store.remove()
+    placed.put(a.spark.range(nb).select(F.col("id").alias("bi"), (F.col("id") + nb).alias("bj"), F.lit(one).alias("data")), Placed.Y, dealt=False)
+    inverse = _back(placed, made, nb, tile, dtype, Placed.Y).select("bi", (F.col("bj") - nb).alias("bj"), "data")
+    top = cut(filled(upper_square(inverse, nb, tile, dtype), nb, nb, tile, dtype, upper=True))
+    placed.remove()
     cells = _solved(to_cells(top, a, tile, a.rows, a.rows).filter("j >= i"), failed_minor)
     if part == "upper":
         return cells
