@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from gramforge.operators import eigen, grouped, krylov, layouts, tiled, vectors
 from gramforge.plans import topology
 from gramforge.plans.frame import REPLICATED, MatrixFrame, from_rows, matrix, to_rows
 from gramforge.sources import tables
+from gramforge.sources.folders import remove_folder, shared_base
+from gramforge.streaming.regression import SlidingRegression
 
 TILE, DIM, LABELS = 7, 64, 10
 
@@ -542,6 +547,22 @@ def solve_group_without_matrix(spark, sf_dir):
     return x.select("g", "i", F.isnan("v").alias("is_nan"), "status")
 
 
+def stream_regression(spark, sf_dir):
+    """Values of events on a constant, the user and the type, over the last ten days of the stream. The events come as a
+    stream of the files of a copy of the table, some at a time and not in order of time."""
+    folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
+    events = _read(spark, sf_dir, "events")
+    events.repartitionByRange(6, "ts").write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+    features = [F.lit(1.0), F.col("user_id") / 100, (F.col("event_type") == "purchase").cast("double")]
+    regression = SlidingRegression(f"{folder}/window", "ts", features, F.col("value"), timedelta(days=10))
+    query = regression.start(stream, f"{folder}/checkpoint")
+    query.awaitTermination()
+    found = regression.solution(spark, query.lastProgress["batchId"])
+    remove_folder(spark, folder)
+    return found.select("i", r6(F.col("v")), "rows", "status")
+
+
 def _eliminated(aug: str, n: int, wide: int, select: str) -> str:
     """Gauss-Jordan elimination of n rows of `wide` numbers, no pivots: the left part is positive definite."""
     return f"""WITH RECURSIVE {aug},
@@ -648,6 +669,9 @@ SELECT 0::INT AS "case", n AS machines, 4::BIGINT AS devices_per_machine, 4::BIG
     "solve_failed_minor": _eliminated(
         f"{_GRAM}, aug AS (SELECT i, j, v + CASE WHEN i <> j THEN 0 WHEN i = 37 THEN -1000 ELSE 1 END AS v FROM gram)", DIM, DIM,
         f"SELECT 7::INT AS status, min(k)::BIGINT AS failed_minor, {DIM}::BIGINT AS cells FROM ge WHERE k <= {DIM} AND m[k][k] <= 0"),
+    "stream_regression": _eliminated(
+        "f AS (SELECT [1.0::DOUBLE, user_id / 100, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, value] AS f FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 10 DAY), aug AS (SELECT i, j, sum(f[i + 1] * f[j + 1]) AS v FROM f CROSS JOIN range(3) t(i) CROSS JOIN range(4) l(j) GROUP BY ALL)",
+        3, 4, "SELECT i, round(m[i + 1][4], 6) + 0.0 AS v, (SELECT count(*) FROM f) AS rows, 0::INT AS status FROM done CROSS JOIN range(3) t(i)"),
     "asymmetric_cells": f"""WITH {_TRADE}, ways AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM trade UNION ALL SELECT j, i, v FROM trade) GROUP BY ALL),
 changed AS (SELECT i, j, v + CASE WHEN i = 3 AND j = 17 THEN 1 ELSE 0 END AS v FROM ways WHERE NOT (i = 5 AND j = 2))
 SELECT least(i, j) AS i, greatest(i, j) AS j FROM changed a FULL JOIN (SELECT j AS i, i AS j, v AS w FROM changed) b USING (i, j) WHERE coalesce(v, 0) <> coalesce(w, 0) GROUP BY 1, 2""",

@@ -58,11 +58,14 @@ def padded_rows(spark: SparkSession, n: int, tile: int, shards: int) -> DataFram
 
 def pad_rows(dealt: DataFrame, n: int, tile: int, shards: int) -> DataFrame:
     """Cells (device, local_off, j, v) with a zero cell for each column of the rows that fill a shard up to whole tiles."""
-    columns = dealt.select("j").distinct()
-    extra = padded_rows(dealt.sparkSession, n, tile, shards)
-    # less than a tile of rows for each shard
-    zeros = columns.crossJoin(F.broadcast(extra)).select("device", "local_off", "j", F.lit(0.0).cast(dealt.schema["v"].dataType).alias("v"))
-    return dealt.select("device", "local_off", "j", "v").unionByName(zeros)
+    shard = n // shards
+    pad = 0 if tile >= shard else -shard % tile
+    cells = dealt.select("device", "local_off", "j", "v")
+    if not pad:
+        return cells
+    zeros = dealt.select("j").distinct().withColumn("device", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    zeros = zeros.withColumn("local_off", F.explode(F.sequence(F.lit(shard).cast("long"), F.lit(shard + pad - 1).cast("long"))))
+    return cells.unionByName(zeros.select("device", "local_off", "j", F.lit(0.0).cast(dealt.schema["v"].dataType).alias("v")))
 
 
 def unpad_rows(padded: DataFrame, n: int, shards: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gramforge.functions.dtypes import conjugate, is_complex, make, numpy_dtype, parts
 from gramforge.plans.frame import NOT_DEFINITE, DenseWarning, MatrixFrame, check_solve, check_square, matrix
-from gramforge.sources.folders import shared_base, ship_code
+from gramforge.sources.folders import remove_folder, shared_base, ship_code
 
 TILE = 256
 #: A block column of U (or row, on the way back) of at most this size is collected and broadcast; a larger one is joined.
@@ -60,8 +60,7 @@ class Tiles:
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def remove(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, self.root)
 
 
 class Placed:
@@ -100,8 +99,7 @@ class Placed:
 
     def remove(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, self.root)
 
 
 def asymmetric_cells(a: MatrixFrame, tile: int = TILE) -> DataFrame:

@@ -89,6 +89,8 @@ def check_square(a: MatrixFrame, tile: int, eigen: bool = False, strict_limits:
         raise ValueError("A must be sharded along the rows")
     if a.rows != a.cols:
         raise AssertionError("A must be square.")
+    if a.rows < 1:
+        raise ValueError("A must have a row at least")
     if tile < 1:
         raise ValueError("the tile must have a column at least")
     if eigen and strict_limits and tile > MOST_EIGEN_TILE:

@@ -11,7 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramforge.operators.vectors import row_sums
 from gramforge.plans.frame import MatrixFrame, REPLICATED, matrix
+from gramforge.sources.folders import ship_code
 
 
 def vector_products(rows: DataFrame, vector: str, n: int) -> DataFrame:
@@ -39,9 +41,24 @@ def gram(rows: DataFrame, vector: str, n: int) -> MatrixFrame:
 
 
 def label_sums(rows: DataFrame, vector: str, label: str, n: int, labels: int) -> MatrixFrame:
-    """One right-hand side for each label 0..labels-1: the sum of its vectors."""
-    cells = rows.select(F.col(label).cast("long").alias("j"), F.posexplode(vector).alias("p", "x")).groupBy("p", "j").agg(F.sum(F.col("x").cast("double")).alias("v"))
-    return matrix(cells.select(F.col("p").cast("long").alias("i"), "j", "v"), n, labels, REPLICATED)
+    """One right-hand side for each label 0..labels-1: the sum of its vectors, summed where rows are read. Rows without a
+    vector or label are left out, null elements are 0, vectors of another length are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros((labels, n)), np.zeros(labels, bool)
+        for batch in batches:
+            if any(size != n for size in pc.unique(pc.list_value_length(batch.column("x"))).to_pylist()):
+                raise ValueError(f"vectors must have {n} elements")
+            own, sums = row_sums(batch.column("l").to_numpy(), pc.fill_null(batch.column("x").flatten(), 0.0).to_numpy().reshape(-1, n))
+            total[own] += sums
+            met[own] = True
+        at = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(n), len(at))), pa.array(np.repeat(at, n)), pa.array(total[at].reshape(-1))], names=["i", "j", "v"])
+
+    ship_code(rows.sparkSession)
+    known = rows.select(F.col(label).cast("long").alias("l"), F.col(vector).cast("array<double>").alias("x")).filter(F.col("l").between(0, labels - 1) & F.col("x").isNotNull())
+    sums = known.mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return matrix(sums, n, labels, REPLICATED)
 
 
 def normal_equations(rows: DataFrame, features: list[Column], target: Column) -> tuple[MatrixFrame, MatrixFrame]:
