@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gramforge.functions.dtypes import make
 from gramforge.functions.layout import plain_padding
 from gramforge.operators import cells as C
-from gramforge.operators import eigen, grouped, krylov, layouts, tiled, vectors
+from gramforge.operators import eigen, grouped, krylov, layouts, sparse, tiled, vectors
 from gramforge.plans import topology
 from gramforge.plans.frame import REPLICATED, MatrixFrame, from_rows, matrix, to_rows
 from gramforge.sources import tables
@@ -547,6 +547,25 @@ def solve_group_without_matrix(spark, sf_dir):
     return x.select("g", "i", F.isnan("v").alias("is_nan"), "status")
 
 
+def sparse_solve(spark, sf_dir):
+    """Prices smoothed over the hierarchy of orders, customers, nations and regions: (I + the Laplacian of that tree) x = b, b
+    being the price of an order in thousands and 0 above. Orders come first, so nothing is filled in. By kind: how many, and
+    sums of x and of its square."""
+    orders, customers, nations, regions = (_read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    at = [0, orders.count()]
+    for t in (customers, nations, regions):
+        at.append(at[-1] + t.count())
+    edge = lambda t, low, high, k: t.select((F.col(low) + at[k]).cast("long").alias("i"), (F.col(high) + at[k + 1]).cast("long").alias("j"))
+    edges = edge(orders, "o_orderkey", "o_custkey", 0).unionByName(edge(customers, "c_custkey", "c_nationkey", 1)).unionByName(edge(nations, "n_nationkey", "n_regionkey", 2))
+    # an edge is a cell and one more on the diagonal for either end, which are summed
+    cells = edges.select(F.inline(F.array(*[F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(v).alias("v")) for i, j, v in (("i", "j", -1.0), ("i", "i", 1.0), ("j", "j", 1.0))])))
+    a = matrix(cells.unionByName(C.eye(spark, at[-1]).cells), at[-1])
+    b = matrix(orders.select(F.col("o_orderkey").alias("i"), F.lit(0).cast("long").alias("j"), (F.col("o_totalprice") / 1000).alias("v")), at[-1], 1, REPLICATED)
+    x = sparse.sparse_solve(a, b)
+    kind = sum((F.when(F.col("i") >= k, 1).otherwise(0) for k in at[1:-1]), F.lit(0))
+    return x.groupBy(kind.cast("int").alias("kind"), "status").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("v"), 3) + 0.0).alias("total"), (F.round(F.sum(F.col("v") * F.col("v")), 2) + 0.0).alias("squares"))
+
+
 def stream_regression(spark, sf_dir):
     """Values of events on a constant, the user and the type, over the last ten days of the stream. The events come as a
     stream of the files of a copy of the table, some at a time and not in order of time."""
@@ -672,6 +691,14 @@ SELECT 0::INT AS "case", n AS machines, 4::BIGINT AS devices_per_machine, 4::BIG
     "stream_regression": _eliminated(
         "f AS (SELECT [1.0::DOUBLE, user_id / 100, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, value] AS f FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 10 DAY), aug AS (SELECT i, j, sum(f[i + 1] * f[j + 1]) AS v FROM f CROSS JOIN range(3) t(i) CROSS JOIN range(4) l(j) GROUP BY ALL)",
         3, 4, "SELECT i, round(m[i + 1][4], 6) + 0.0 AS v, (SELECT count(*) FROM f) AS rows, 0::INT AS status FROM done CROSS JOIN range(3) t(i)"),
+    # up the hierarchy and down again
+    "sparse_solve": """WITH o AS (SELECT o_custkey AS p, 2::DOUBLE AS d, o_totalprice / 1000 AS r FROM orders),
+c AS (SELECT c_custkey AS k, c_nationkey AS p, 2 + count(o.d) - coalesce(sum(1 / o.d), 0) AS d, coalesce(sum(o.r / o.d), 0) AS r FROM customer LEFT JOIN o ON o.p = c_custkey GROUP BY 1, 2),
+n AS (SELECT n_nationkey AS k, n_regionkey AS p, 2 + count(c.d) - coalesce(sum(1 / c.d), 0) AS d, coalesce(sum(c.r / c.d), 0) AS r FROM nation LEFT JOIN c ON c.p = n_nationkey GROUP BY 1, 2),
+g AS (SELECT r_regionkey AS k, 1 + count(n.d) - coalesce(sum(1 / n.d), 0) AS d, coalesce(sum(n.r / n.d), 0) AS r FROM region LEFT JOIN n ON n.p = r_regionkey GROUP BY 1),
+xg AS (SELECT k, r / d AS x FROM g), xn AS (SELECT n.k, (n.r + xg.x) / n.d AS x FROM n JOIN xg ON xg.k = n.p), xc AS (SELECT c.k, (c.r + xn.x) / c.d AS x FROM c JOIN xn ON xn.k = c.p), xo AS (SELECT (o.r + xc.x) / o.d AS x FROM o JOIN xc ON xc.k = o.p),
+x AS (SELECT 0::INT AS kind, x FROM xo UNION ALL SELECT 1, x FROM xc UNION ALL SELECT 2, x FROM xn UNION ALL SELECT 3, x FROM xg)
+SELECT kind, 0::INT AS status, count(*) AS n, round(sum(x), 3) + 0.0 AS total, round(sum(x * x), 2) + 0.0 AS squares FROM x GROUP BY 1""",
     "asymmetric_cells": f"""WITH {_TRADE}, ways AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM trade UNION ALL SELECT j, i, v FROM trade) GROUP BY ALL),
 changed AS (SELECT i, j, v + CASE WHEN i = 3 AND j = 17 THEN 1 ELSE 0 END AS v FROM ways WHERE NOT (i = 5 AND j = 2))
 SELECT least(i, j) AS i, greatest(i, j) AS j FROM changed a FULL JOIN (SELECT j AS i, i AS j, v AS w FROM changed) b USING (i, j) WHERE coalesce(v, 0) <> coalesce(w, 0) GROUP BY 1, 2""",

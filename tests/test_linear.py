@@ -15,7 +15,7 @@ from gramforge.sources import tables
 from gramforge.streaming.gram import streaming_gram
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
