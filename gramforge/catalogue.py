@@ -14,7 +14,7 @@ from gramforge.operators import cells as C
 from gramforge.operators import eigen, grouped, krylov, layouts, sparse, tiled, vectors
 from gramforge.plans import topology
 from gramforge.plans.frame import REPLICATED, MatrixFrame, from_rows, matrix, to_rows
-from gramforge.sources import tables
+from gramforge.sources import tables, timings
 from gramforge.sources.folders import remove_folder, shared_base
 from gramforge.streaming.regression import SlidingRegression
 
@@ -331,12 +331,12 @@ def bench_medians(spark, sf_dir):
     return tables.bench_medians(_timings(spark, sf_dir), 128)
 
 
-def _timings(spark, sf_dir) -> DataFrame:
+def _timings(spark, sf_dir, root: Column | None = None) -> DataFrame:
     """The values of events as seconds of runs: the type is the device's name; users deal out devices, sizes and tiles (one in
     four runs without tiles); errors have paths of another form."""
-    e = _read(spark, sf_dir, "events").select("event_type", "value", F.col("user_id").alias("u"), F.col("event_id").alias("e"))
+    e = _read(spark, sf_dir, "events").select("event_type", "value", "event_id", F.col("user_id").alias("u"), F.col("event_id").alias("e"))
     run = F.when(F.col("e") % 4 == 3, F.lit("chosolve")).otherwise(F.concat(F.lit("T_A_"), F.element_at(F.array(F.lit("16"), F.lit("128"), F.lit("256")), (F.col("e") % 4 + 1).cast("int"))))
-    path = F.concat(F.lit("runs/"), F.col("event_type"), F.lit("/float64/ndev_"), (1 + F.col("u") % 2).cast("string"), F.lit("/N_"), (64 * (1 + F.col("u") % 3)).cast("string"), F.lit("_"), run, F.when(F.col("event_type") == "error", ".txt").otherwise(".npy"))
+    path = F.concat(F.lit("runs/") if root is None else root, F.col("event_type"), F.lit("/float64/ndev_"), (1 + F.col("u") % 2).cast("string"), F.lit("/N_"), (64 * (1 + F.col("u") % 3)).cast("string"), F.lit("_"), run, F.when(F.col("event_type") == "error", ".txt").otherwise(".npy"))
     return e.select(path.alias("path"), F.col("value").alias("seconds"))
 
 
@@ -547,6 +547,19 @@ def solve_group_without_matrix(spark, sf_dir):
     return x.select("g", "i", F.isnan("v").alias("is_nan"), "status")
 
 
+def timing_source(spark, sf_dir):
+    """The runs of events as files, ten thousand events a folder, read again through the source with filters on their paths."""
+    timings.register(spark)
+    folder = f"{shared_base(spark)}/timings-{uuid.uuid4().hex}"
+    runs = _timings(spark, sf_dir, F.concat(F.lit("part_"), F.expr("event_id div 10000").cast("string"), F.lit("/"))).filter("path like '%.npy'")
+    timings.write_timings(runs, folder).write.format("noop").mode("overwrite").save()
+    found = spark.read.format("timings").load(folder).filter("ndev = 1 and tile >= 128 and n < 192 and seconds > 1")
+    out = found.groupBy("gpu", "tile", "n").agg(F.count(F.lit(1)).alias("runs"), (F.round(F.sum("seconds"), 4) + 0.0).alias("total"))
+    out = tiled.cut(out)
+    remove_folder(spark, folder)
+    return out
+
+
 def sparse_solve(spark, sf_dir):
     """Prices smoothed over the hierarchy of orders, customers, nations and regions: (I + the Laplacian of that tree) x = b, b
     being the price of an order in thousands and 0 above. Orders come first, so nothing is filled in. By kind: how many, and
@@ -691,6 +704,7 @@ SELECT 0::INT AS "case", n AS machines, 4::BIGINT AS devices_per_machine, 4::BIG
     "stream_regression": _eliminated(
         "f AS (SELECT [1.0::DOUBLE, user_id / 100, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, value] AS f FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 10 DAY), aug AS (SELECT i, j, sum(f[i + 1] * f[j + 1]) AS v FROM f CROSS JOIN range(3) t(i) CROSS JOIN range(4) l(j) GROUP BY ALL)",
         3, 4, "SELECT i, round(m[i + 1][4], 6) + 0.0 AS v, (SELECT count(*) FROM f) AS rows, 0::INT AS status FROM done CROSS JOIN range(3) t(i)"),
+    "timing_source": f"SELECT gpu, tile, n, count(*) AS runs, round(sum(value), 4) + 0.0 AS total FROM ({_RUNS}) WHERE ndev = 1 AND tile >= 128 AND n < 192 AND value > 1 GROUP BY 1, 2, 3",
     # up the hierarchy and down again
     "sparse_solve": """WITH o AS (SELECT o_custkey AS p, 2::DOUBLE AS d, o_totalprice / 1000 AS r FROM orders),
 c AS (SELECT c_custkey AS k, c_nationkey AS p, 2 + count(o.d) - coalesce(sum(1 / o.d), 0) AS d, coalesce(sum(o.r / o.d), 0) AS r FROM customer LEFT JOIN o ON o.p = c_custkey GROUP BY 1, 2),
