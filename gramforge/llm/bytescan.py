@@ -6,6 +6,7 @@ table values by place and byte (tabulation), so that no Python object is made fo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,17 @@ def among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def free_memory() -> None:
+    """Gives memory without use back to the system: workers are kept between tasks and count against their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one piece have about `limit` bytes; a longer text is a piece of its own."""
+    free_memory()  # of tasks before
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -55,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    free_memory()
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

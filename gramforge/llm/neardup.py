@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.llm.bytescan import Words, among, mix64, shingle_hashes, slices
+from gramforge.llm.bytescan import Words, among, free_memory, mix64, shingle_hashes, slices
 from gramforge.llm.graph import components
 from gramforge.llm.runtime import LOWEST, Scratch, positional, ship_code, stored
 
@@ -332,6 +332,7 @@ def _possible(pairs: DataFrame, sk: DataFrame, similarity: float, scratch: Scrat
     side = lambda x: bits.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")]
             enough = [most_shared(sa, na, sb, nb) >= similarity / (1 + similarity) * (na + nb) - 1e-6 for sa, na, sb, nb in zip(*columns, strict=True)]
@@ -386,6 +387,7 @@ def _meeting(sk: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
     held = sk.sparkSession.sparkContext.broadcast(_held_bits(several))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             prefix = batch.column("prefix")
             keys = prefix.flatten().to_numpy()
