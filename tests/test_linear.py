@@ -106,7 +106,8 @@ def test_panels_beyond_the_bound_are_joined(spark, monkeypatch):
     a, b = a @ a.T + np.eye(11), g.standard_normal((11, 2))
     x = tiled.chol_solve(_matrix(spark, a, "float64"), _matrix(spark, b, "float64", sharding=frame.REPLICATED), 3)
     assert np.allclose(_dense(x, 11, 2), np.linalg.solve(a, b))
-    monkeypatch.setattr(eigen, "PANEL_BYTES", 11 * 8 * 2)  # blocks of two columns
+    monkeypatch.setattr(eigen, "PANEL_BYTES", 11 * 8 * 2)  # blocks of two columns, two rounds a job
+    monkeypatch.setattr(eigen, "ROUNDS", 2)
     rows = eigen.sym_eigen(_matrix(spark, a, "float64"), True, 5).orderBy("k").collect()
     v = np.array([r["vec"] for r in rows]).T
     assert np.allclose([r["lambda"] for r in rows], np.linalg.eigvalsh(a)) and np.allclose(v.T @ v, np.eye(11))
