@@ -194,8 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """(id, item_id, score, word_start, word_end) for each document and item whose best passage reaches the threshold.
 
     Null and empty texts hold no passage; null items and items without words are not looked for; repeated rows give
-    repeated results; an item of one or two words is found where these stand side by side. Without items there are no
-    rows.
+    repeated results; an item of one or two words is found where these stand side by side; texts of any length are
+    taken whole; other columns are left out. Without items or rows there are no rows.
     """
     schema = f"`{id_col}` long, item_id long, score double, word_start long, word_end long"
     out = None

@@ -118,7 +118,8 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every text and of its edited text (second half replaced by the next document's beginning).
 
     Rows follow one another by id, then a hash of the text (null ids first, null texts as empty), the first after the
-    last; a single row is its own next. Rows are dealt by id ranges, and the first row of a range also goes to the range before it.
+    last; a single row is its own next; an empty table gives no rows. Texts of any length are taken whole, other columns
+    are left out. Rows are dealt by id ranges, and the first row of a range also goes to the range before it.
     """
     spark = docs.sparkSession
     ship_code(spark)

@@ -442,7 +442,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep is true for the rows of a class's least id. Empty texts are equal texts. Null texts are compared with nothing:
     each is a class of its own under its own id. Texts without words are compared as wholes only. Ids that are null
-    count as the least id. Where an id stands for several texts, classes can share a class_id.
+    count as the least id. Where an id stands for several texts, classes can share a class_id. Texts of any length are
+    taken whole, repeated rows are alike, other columns are left out, an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near")
     sk, classes = text_classes(docs, id_col, text_col, similarity, scratch)
@@ -458,7 +459,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: the one of the least id (of equal ids: of the least digest). Rows without a text
-    all stay. Rows that repeat that id and its text are folded to one of them."""
+    all stay. Rows that repeat that id and its text are folded to one of them. Texts of any length are taken whole, other
+    columns stay, an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "unique")
     base, names = positional(docs)
     id_col, text_col = (base.columns[names.index(c)] for c in (id_col, text_col))

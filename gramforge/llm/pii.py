@@ -246,7 +246,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row for each row of docs: the id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Spans are in code points, by kind, then start. Null and empty texts have none; repeated rows are alike; without any
-    candidate in the table nothing is learned and nothing added. The texts are read once: candidates with votes go to
+    candidate in the table nothing is learned and nothing added; texts of any length are taken whole, other columns are
+    left out, an empty table gives no rows. The texts are read once: candidates with votes go to
     the shared folder, their pattern counts (bounded by the number of patterns) to the driver.
     """
     seen = stored(scan(docs, id_col, text_col), "candidates")

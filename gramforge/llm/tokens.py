@@ -254,6 +254,7 @@ def read_sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str | None = None, **options) -> DataFrame:
-    """Writes the files into a new shared folder and reads them back."""
+    """Writes the files into a new shared folder and reads them back. Odd rows are treated as in write_token_files, texts of
+    any length are taken whole."""
     folder = shared_dir(docs.sparkSession, "tokens")
     return read_token_files(write_token_files(docs, folder, tokenizer_path or word_bpe_path(), **options))

@@ -68,3 +68,34 @@ TOKEN = "Ab1" * 12
 def test_endpoints_need_reported_secrets(spark, text, kinds):
     found = secrets.find_secrets(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).filter("doc_id = 1").first().found
     assert {s.kind for s in found} == kinds
+
+
+def test_texts_longer_than_a_piece(spark):
+    """Texts of three million bytes, beyond the pieces of all operators, with what is looked for at their ends."""
+    from tokenizers import Tokenizer
+
+    from gramforge.llm import decontam, fingerprints, neardup, pii, tokens
+    from gramforge.llm.bytescan import SLICE_BYTES
+
+    g = np.random.default_rng(9)
+    words = ["".join(chr(97 + int(c)) for c in g.integers(0, 26, int(n))) for n in g.integers(2, 9, 4000)]
+    passage = " ".join(words[int(k)] for k in g.integers(0, 4000, 30))
+    body = " ".join(words[int(k)] for k in g.integers(0, 4000, 520_000))
+    long = f"{body} {passage} mail a.person@example.org password=abcdefABCDEF1234"
+    near = long.replace(body[:200], "something else", 1)
+    assert len(long) > SLICE_BYTES + (1 << 19)
+    docs = spark.createDataFrame([(1, long, "en"), (2, near, "en"), (3, "short and sweet", "en"), (4, None, None)], "doc_id long, text string, lang string").repartition(1)
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    found = decontam.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in found} == {(1, 7, 1.0), (2, 7, 1.0)}
+    assert {r.doc_id: r.class_id for r in neardup.near_classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    spans = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    assert spans[1].n_email == 1 and f"email:{long.index('a.person')}:{long.index('a.person') + 20}" in spans[1].spans
+    secret = {r.doc_id: {(s.kind, s.start) for s in r.found} for r in secrets.find_secrets(docs).collect()}
+    assert ("assign", long.index("password")) in secret[1] and not secret[3]
+    assert language.identify(docs, language.train(docs, rows=5)).filter("doc_id < 4").select("lang_pred").distinct().collect()[0][0] == "en"
+    prints = {r.doc_id: r for r in fingerprints.compare_neighbours(docs).collect()}
+    assert prints[1].n_chars == len(long) and prints[1].near_next > 0.9 and prints[2].near_next < 0.1
+    encoder = Tokenizer.from_file(tokens.word_bpe_path())
+    counts = {r.doc_id: r.n_tokens for r in tokens.tokenize(docs).collect()}
+    assert counts[1] == len(encoder.encode(long, add_special_tokens=False).ids) + 1 and counts[4] == 1
