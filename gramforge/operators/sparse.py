@@ -38,7 +38,7 @@ def symbolic_fill(a: MatrixFrame, store: Tiles | None = None) -> DataFrame:
     own = _Store(a.spark, "fill") if store is None else store
     found = own.kept(_below(a).filter("i > j").select("i", "j"))
     new = found
-    while new.limit(1).count():
+    while not new.isEmpty():
         first = found.groupBy("j").agg(F.min("i").alias("p"))
         # a column whose first entry has changed hands on all of it, one with new entries only those
         changed = new.groupBy("j").agg(F.min("i").alias("n")).join(first, "j")
@@ -63,7 +63,7 @@ def heights(tree: DataFrame, n: int, store: Tiles) -> tuple[DataFrame, int]:
     while True:
         # columns whose children reached the last height
         raised = store.kept(tree.join(level.filter(F.col("height") == top), "j").select(F.col("parent").alias("j")).distinct().withColumn("next", F.lit(top + 1)))
-        if not raised.limit(1).count():
+        if raised.isEmpty():
             return level, top + 1
         level = store.kept(level.join(raised, "j", "left").select("j", F.coalesce("next", "height").alias("height")))
         top += 1
@@ -89,13 +89,13 @@ def sparse_solve(a: MatrixFrame, b: MatrixFrame, check_symmetric: bool = False)
     sides = b.cells.groupBy((F.col("j") + n).alias("i"), F.col("i").alias("j")).agg(F.sum(F.col("v").cast("double")).alias("v"))
     rest = store.kept(_below(a).unionByName(sides).join(level, "j").select("i", "j", "v", "height"))
     columns: list[DataFrame] = []
-    bad = level.join(rest.filter("i = j").select("j"), "j", "left_anti").limit(1).count() > 0  # no pivot at all
+    bad = not level.join(rest.filter("i = j").select("j"), "j", "left_anti").isEmpty()  # no pivot at all
     for h in range(top):
         if bad:
             break
         now = rest.filter(F.col("height") == h)
         pivot = now.filter("i = j").select("j", F.sqrt("v").alias("p"), ((F.col("v") > 0) & (F.col("v") < float("inf"))).alias("good"))
-        bad = pivot.filter("not good").limit(1).count() > 0
+        bad = not pivot.filter("not good").isEmpty()
         if bad:
             break
         column = store.kept(now.join(pivot, "j").select("i", "j", F.when(F.col("i") == F.col("j"), F.col("p")).otherwise(F.col("v") / F.col("p")).alias("v")))

@@ -70,11 +70,12 @@ class Placed:
     A, U, X, Y = range(4)  # the matrix with its right-hand sides, the factor, the solution, other right-hand sides
     SCAN = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
 
-    def __init__(self, spark: SparkSession, name: str, devices: int | None = None):
+    def __init__(self, spark: SparkSession, name: str, columns: int):
         ship_code(spark)
         key = uuid.uuid4().hex
         self.spark, self.root, self.table = spark, f"{shared_base(spark)}/{name}-{key}", f"gramforge_{name}_{key}"
-        self.devices = devices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # four buckets a block column at most: few columns meet in one, and few tasks have none
+        self.devices = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * columns)
 
     @contextmanager
     def whole_buckets(self):
@@ -340,7 +341,7 @@ def chol_solve(a: MatrixFrame, b: MatrixFrame, tile: int = TILE, strict_limits:
         check_symmetry(a)
     tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
     nb = -(-a.rows // tile)
-    placed = Placed(a.spark, "solve")
+    placed = Placed(a.spark, "solve", nb - (-b.cols // tile))
     made = _factored(a, tile, placed, b)
     if isinstance(made, int):
         placed.remove()
@@ -364,7 +365,7 @@ def spd_inverse(a: MatrixFrame, tile: int = TILE, part: str = "full", check_symm
         check_symmetry(a)
     tile, dtype = min(tile, a.rows), numpy_dtype(a.dtype)
     nb = -(-a.rows // tile)
-    placed = Placed(a.spark, "inverse")
+    placed = Placed(a.spark, "inverse", 2 * nb)
     made = _factored(a, tile, placed)
     if isinstance(made, int):
         placed.remove()
