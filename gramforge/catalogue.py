@@ -368,8 +368,9 @@ def solve_complex64(spark, sf_dir):
 
 
 def inverse_f32(spark, sf_dir):
+    """The inverse in single precision, each row times i + 1: 1 on the diagonal (1/32 itself is a tie of four digits)."""
     a = _numbers(spark, sf_dir, "float32")
-    return tiled.spd_inverse(a, _tile(a)).select("i", "j", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"), "status")
+    return tiled.spd_inverse(a, _tile(a)).select("i", "j", (F.round(F.col("v").cast("double") * (F.col("i") + 1), 4) + 0.0).alias("v"), "status")
 
 
 def inverse_complex_residual(spark, sf_dir):
@@ -681,7 +682,7 @@ SELECT 0::INT AS "case", n AS machines, 4::BIGINT AS devices_per_machine, 4::BIG
     "timing_by_devices": f"SELECT gpu, dtype, tile, 'ndev=' || ndev AS line, (row_number() OVER (PARTITION BY gpu, ndev, tile ORDER BY n) - 1)::INT AS place, n, median_s FROM ({_MEDIANS})",
     "process_status": "SELECT count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS ok, count(*) FILTER (WHERE event_type = 'error') AS failed, 200 - count(DISTINCT user_id) FILTER (WHERE event_type <> 'view' AND user_id BETWEEN 0 AND 199) AS silent FROM events",
     "solve_complex64": _eliminated(_HERMITIAN_ONE, 64, 65, "SELECT i, 0::BIGINT AS j, round(m[i + 1][65], 3)::DOUBLE + 0.0::DOUBLE AS re, round(m[i + 33][65], 3)::DOUBLE + 0.0::DOUBLE AS im, 0::INT AS status FROM done CROSS JOIN range(32) t(i)"),
-    "inverse_f32": f"SELECT i, j, CASE WHEN i = j THEN round(1.0::DOUBLE / (i + 1), 4) ELSE 0.0::DOUBLE END AS v, 0::INT AS status {_square(_N)}",
+    "inverse_f32": f"SELECT i, j, CASE WHEN i = j THEN round(1.0::DOUBLE / (i + 1) * (i + 1), 4) ELSE 0.0::DOUBLE END AS v, 0::INT AS status {_square(_N)}",
     "inverse_complex_residual": f"SELECT i, j, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im {_square(32)}",
     "eigvals_f32": "SELECT s_suppkey AS k, (s_suppkey + 1)::DOUBLE AS lambda, 0::INT AS status FROM supplier",
     "eigen_complex_residual": f"SELECT i, j, 0.0::DOUBLE AS re, 0.0::DOUBLE AS im {_square(32)}",
