@@ -28,6 +28,8 @@ SEED_EVERY = 3
 RARE_TIMES, RARE_PLUS = 4, 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
+#: An item of one or two words removes rows only if it stands at most this many times in the corpus, or in this share of its rows.
+SHORT_TIMES, SHORT_SHARE = 16, 1e-5
 #: Test items that one pass over the documents takes (some 80 MB of seeds in a worker); more items take more passes.
 BLOCK_BYTES = 8 << 20
 #: Hits of some texts that are held at once; where there are more, items are taken in parts.
@@ -53,11 +55,20 @@ class Items:
             self.grams[size] = grams[used], item[used], place[used]
         self.distinct = {size: np.unique(g[0]) for size, g in self.grams.items()}
         self.seeds: dict[int, tuple] = {}
+        #: How often an item of one or two words stands in the corpus (-1: longer), and the corpus's rows.
+        self.times, self.rows = np.full(len(self.lengths), -1, np.int64), 0
 
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
+    def rare(self, times: int, share: float) -> np.ndarray:
+        """Which items are longer than two words, or stand in the corpus at most max(times, share of its rows) times."""
+        return self.times <= max(times, share * self.rows)
+
+    def choose(self, counts: dict[int, np.ndarray], rows: int = 0) -> None:
         """Seeds: an item's rare grams, and in each group of SEED_EVERY the least counted, the first of equals."""
+        self.rows = rows
         for size, (grams, item, place) in self.grams.items():
             seen = counts[size][np.searchsorted(self.distinct[size], grams)] if len(grams) else np.zeros(0, np.int64)
+            whole = (self.lengths[item] == size) & (size <= 2)
+            self.times[item[whole]] = seen[whole]
             chosen = np.zeros(len(grams), bool)
             bounds = np.searchsorted(item, np.arange(len(self.lengths) + 1))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -170,7 +181,9 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
 
         def count(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             seen = {size: np.zeros(len(g), np.int64) for size, g in wanted.value.items()}
+            seen[0] = np.zeros(1, np.int64)  # rows
             for piece in slices(batches, "t"):
+                seen[0] += piece.num_rows
                 words = Words(piece.column("t"))
                 for size, distinct in wanted.value.items():
                     if len(distinct):
@@ -186,18 +199,20 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: st
         for size, own in counts.items():
             rows = counted.filter(pa.compute.equal(counted.column("size"), size))
             own[rows.column("g").to_numpy()] = rows.column("n").to_numpy()
-        made.choose(counts)
+        made.choose(counts, pa.compute.sum(counted.filter(pa.compute.equal(counted.column("size"), 0)).column("n")).as_py() or 0)
         yield made
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, score, word_start, word_end) for each document and item whose best passage reaches the threshold.
+    """(id, item_id, score, word_start, word_end, item_times) for each document and item whose best passage reaches the
+    threshold. item_times is how often an item of one or two words stands in all of docs (null: it has more), since such
+    an item may be a common word: its matches are all reported, and this tells what they are worth.
 
     Null and empty texts hold no passage; null items and items without words are not looked for; repeated rows give
     repeated results; an item of one or two words is found where these stand side by side; texts of any length are
     taken whole; other columns are left out. Without items or rows there are no rows.
     """
-    schema = f"`{id_col}` long, item_id long, score double, word_start long, word_end long"
+    schema = f"`{id_col}` long, item_id long, score double, word_start long, word_end long, item_times long"
     out = None
     for items in item_blocks(docs, benchmark, id_col, text_col, item_col, item_text):
         held = docs.sparkSession.sparkContext.broadcast(items)
@@ -207,24 +222,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 found = _matches(Words(piece.column("t")), held.value, threshold)
                 at = pa.array([f[0] for f in found], pa.int64())
                 cells = [piece.column("i").take(at), pa.array(held.value.ids[[f[1] for f in found]] if found else [], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cells, names=[id_col, "item_id", "score", "word_start", "word_end"])
+                times = held.value.times[[f[1] for f in found]] if found else np.zeros(0, np.int64)
+                cells.append(pa.array(times, mask=times < 0))
+                yield pa.RecordBatch.from_arrays(cells, names=[id_col, "item_id", "score", "word_start", "word_end", "item_times"])
 
         one = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
         out = one if out is None else out.union(one)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that hold a passage of a test item; no shuffle of the texts. Null and empty texts stay,
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text", short_times: int = SHORT_TIMES, short_share: float = SHORT_SHARE) -> DataFrame:
+    """docs without the rows that hold a passage of a test item; no shuffle of the texts. A match of an item of one or two
+    words removes a row only where the item is rare: at most `short_times` times in docs, or `short_share` of its rows if
+    that is more (`contaminated` reports the others). Null and empty texts stay,
     repeated rows are alike, other columns stay as they are; without items or rows nothing goes."""
     out = docs
     for items in item_blocks(docs, benchmark, id_col, text_col, item_col, item_text):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            rare = held.value.rare(short_times, short_share)
             for piece in slices(batches, text_col):
                 keep = np.ones(piece.num_rows, bool)
-                keep[[f[0] for f in _matches(Words(piece.column(text_col).cast(pa.string())), held.value, threshold)]] = False
+                keep[[f[0] for f in _matches(Words(piece.column(text_col).cast(pa.string())), held.value, threshold) if rare[f[1]]]] = False
                 yield piece.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)

@@ -236,9 +236,9 @@ def aligned_similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np
     return score if score >= least else 0.0
 
 
-def _linked(ids: list[int], classes: list[int], blocks: list[int], orders: list[tuple], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links between texts of different classes, and of different blocks if there are two, as far as one joins classes
-    that these links have not joined. Shared shingles of all pairs are counted at once, those that reach the threshold are aligned."""
+def _linked(ids: list[int], classes: list[int], blocks: list[int], orders: list[tuple], similarity: float) -> Iterator[tuple[int, int, float]]:
+    """Links (a, b, score) between texts of different classes, and of different blocks if there are two, as far as one joins
+    classes that these links have not joined. Shared shingles of all pairs are counted at once, those that reach the threshold are aligned."""
     n = np.array([len(o[0]) for o in orders])
     _, column, times = np.unique(np.concatenate([o[0] for o in orders]), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(n)), n)
@@ -266,13 +266,13 @@ def _linked(ids: list[int], classes: list[int], blocks: list[int], orders: list[
 
     for i, j in np.argwhere(np.triu(enough, 1)).tolist():
         x, y = top(classes[i]), top(classes[j])
-        if x != y and aligned_similarity(orders[i], orders[j], similarity) >= similarity:
+        if x != y and (score := aligned_similarity(orders[i], orders[j], similarity)) >= similarity:
             joined[x] = y
-            yield min(ids[i], ids[j]), max(ids[i], ids[j])
+            yield min(ids[i], ids[j]), max(ids[i], ids[j]), score
 
 
 def _block_links(large: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links within buckets (key, id, c, rows), each cut into blocks of texts; any two blocks meet once."""
+    """(a, b, score): links within buckets (key, id, c, rows), each cut into blocks of texts; any two blocks meet once."""
     blocks = F.ceil(F.col("rows") / BLOCK_TEXTS)
     own = large.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = own.select("key", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "id", "c", "block").join(words.select("id", "words"), "id")
@@ -282,7 +282,7 @@ def _block_links(large: DataFrame, words: DataFrame, similarity: float) -> DataF
 
         def links() -> pa.RecordBatch:
             got = list(_linked(*map(list, zip(*group, strict=True)), similarity)) if len(group) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "score"])
 
         for batch in batches:
             columns = [batch.column(x).to_pylist() for x in ("key", "lo", "hi", "id", "c", "block")]
@@ -296,7 +296,7 @@ def _block_links(large: DataFrame, words: DataFrame, similarity: float) -> DataF
             yield links()
 
     cols = ["key", "lo", "hi"]
-    return met.repartition(*cols).sortWithinPartitions(*cols).select(*cols, "id", "c", "block", "words").mapInArrow(run, "a long, b long").distinct()
+    return met.repartition(*cols).sortWithinPartitions(*cols).select(*cols, "id", "c", "block", "words").mapInArrow(run, "a long, b long, score double")
 
 
 class Orders:
@@ -403,7 +403,7 @@ def _meeting(sk: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _settled(sk: DataFrame, labelled: DataFrame, tried: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b): links that join all classes (id, c) with a link between them that is not among the tried pairs."""
+    """(a, b, score): links that join all classes (id, c) with a link between them that is not among the tried pairs."""
     members = _meeting(sk, labelled, scratch)
     each = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     sizes = each.groupBy("key").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("square")).select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("square")) / 2).alias("pairs"))
@@ -416,43 +416,52 @@ def _settled(sk: DataFrame, labelled: DataFrame, tried: DataFrame, similarity: f
     pairs = side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike & left).select("a", "b").distinct()
     pairs = _possible(scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), sk, similarity, scratch)
     words = _of(sk, _ends(pairs).union(many.select("id")), "words", scratch)
-    found = _verify(pairs, words, similarity).filter(F.col("score") >= similarity).select("a", "b")
-    return scratch.keep(found.union(_block_links(many, words, similarity)).distinct(), "found")
+    found = _verify(pairs, words, similarity).filter(F.col("score") >= similarity)
+    return scratch.keep(found.union(_block_links(many, words, similarity)).groupBy("a", "b").agg(F.max("score").alias("score")), "found")
 
 
-def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows with a text (k, v, rid ...), and (id, v, k, c): the class c of every distinct text v."""
+def text_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows with a text (k, v, rid ...), (id, v, k, c): the class c of every distinct text v, and the
+    verified links (a, b, score) between ids that made the classes."""
     sk = scratch.keep(sketched(docs, id_col, text_col, similarity).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     first = sk.groupBy("v").agg(F.min(F.struct("k", "rid")).alias("m"))
     vertices = scratch.keep(first.select(F.col("m.rid").alias("id"), "v", F.col("m.k").alias("k")), "vertices")
     pairs = scratch.keep(_hub_pairs(sk, vertices, similarity, scratch), "hub-pairs")
     words = _of(sk, _ends(pairs), "words", scratch)
     checked = scratch.keep(_verify(pairs, words, similarity), "checked")
-    classes = components(checked.filter(F.col("score") >= similarity).select("a", "b"), scratch)
+    links = checked.filter(F.col("score") >= similarity)
+    classes = components(links.select("a", "b"), scratch)
     labelled = scratch.keep(vertices.join(classes.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")), "labelled")
     found = _settled(sk, labelled, checked.select("a", "b"), similarity, scratch)
     of = lambda x: labelled.select(F.col("id").alias(x), F.col("c").alias(f"c{x}"))
     between = scratch.keep(found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "between")
     moved = components(between, scratch).select(F.col("v").alias("c"), F.col("c").alias("to"))
-    return sk, scratch.keep(labelled.join(moved, "c", "left").select("id", "v", "k", F.coalesce("to", "c").alias("c")), "classes")
+    return sk, scratch.keep(labelled.join(moved, "c", "left").select("id", "v", "k", F.coalesce("to", "c").alias("c")), "classes"), links.union(found)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each row of docs: the id, class_id (least id of the class) and keep.
+    """One row for each row of docs: the id, class_id (least id of the class), keep, n_links, linked_id and link_score.
 
-    keep is true for the rows of a class's least id. Empty texts are equal texts. Null texts are compared with nothing:
+    keep is true for the rows of a class's least id. n_links counts the other texts that the row's text has been aligned
+    with at the threshold or above, as links of its class (which they hold together: one of k texts has k - 1 or more;
+    pairs of a class that no key brings together are not counted); linked_id is the least id of the one with the best
+    score, link_score that score. A text that is alone, or has only equal copies, has 0 links and nulls. Empty texts are equal texts. Null texts are compared with nothing:
     each is a class of its own under its own id. Texts without words are compared as wholes only. Ids that are null
     count as the least id. Where an id stands for several texts, classes can share a class_id. Texts of any length are
     taken whole, repeated rows are alike, other columns are left out, an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    sk, classes = text_classes(docs, id_col, text_col, similarity, scratch)
+    sk, classes, links = text_classes(docs, id_col, text_col, similarity, scratch)
     least = classes.groupBy("c").agg(F.min("k").alias("class_id"))
-    with_text = sk.select("k", "v").join(classes.join(least, "c").select("v", "class_id"), "v").select("k", "class_id", (F.col("k") == F.col("class_id")).alias("keep"))
+    ends = links.union(links.select("b", "a", "score")).join(classes.select(F.col("id").alias("b"), "k"), "b")
+    best = F.max(F.struct("score", (-1 - F.col("k")).alias("least")))
+    linked = ends.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"), best.alias("m")).select(F.col("a").alias("id"), "n_links", (-1 - F.col("m.least")).alias("linked_id"), F.col("m.score").alias("link_score"))
+    known = classes.join(least, "c").join(linked, "id", "left").select("v", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "linked_id", "link_score")
+    with_text = sk.select("k", "v").join(known, "v").select("k", "class_id", (F.col("k") == F.col("class_id")).alias("keep"), "n_links", "linked_id", "link_score")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST).cast("long"))
-    without = docs.filter(F.col(text_col).isNull()).select(key.alias("k")).select("k", F.col("k").alias("class_id"), F.lit(True).alias("keep"))
+    without = docs.filter(F.col(text_col).isNull()).select(key.alias("k")).select("k", F.col("k").alias("class_id"), F.lit(True).alias("keep"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("linked_id"), F.lit(None).cast("double").alias("link_score"))
     back = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
-    out = stored(with_text.union(without).select(back("k").alias(id_col), back("class_id").alias("class_id"), "keep"), "classes")
+    out = stored(with_text.union(without).select(back("k").alias(id_col), back("class_id").alias("class_id"), "keep", "n_links", back("linked_id").alias("linked_id"), "link_score"), "classes")
     scratch.remove()
     return out
 
@@ -464,7 +473,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "unique")
     base, names = positional(docs)
     id_col, text_col = (base.columns[names.index(c)] for c in (id_col, text_col))
-    sk, classes = text_classes(base, id_col, text_col, similarity, scratch)
+    sk, classes, _ = text_classes(base, id_col, text_col, similarity, scratch)
     chosen = classes.groupBy("c").agg(F.min(F.struct("k", "v")).alias("m")).select("m.k", "m.v")
     times = sk.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
     kept = stored(chosen.join(times, ["k", "v"]).select(F.col("k").alias("__kept_k"), F.col("v").alias("__kept_v"), F.col("n").alias("__kept_n")), "kept")

@@ -2,15 +2,17 @@
 
 Base patterns stand. Wider candidates of the same kinds and of names are voted on by labelers, for or against: strict
 pattern, gazetteer (domains, given names, issuers, area codes, address blocks), context (cues in four languages as
-whole words), shape (check digits, lengths, repeats) and surroundings. Counts of vote patterns over all documents give, by expectation-maximisation,
-each labeler's reliability and each pattern's probability; a logistic span classifier is trained on these and adds the
-candidates that it accepts.
+whole words), shape (check digits, lengths, repeats) and surroundings. Counts of vote patterns over all documents give, by expectation-maximisation for each kind,
+each labeler's reliability and each pattern's probability. These probabilities are the training labels of a logistic span
+classifier, which sees no vote: its features are characters and word shapes within the span and the words around it,
+hashed. So it goes beyond the labelers' lists: what stands where accepted spans stand is accepted as well.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -73,7 +75,11 @@ CONTEXT_CUES = {k: _cue(v) for k, v in CONTEXT.items()}
 AGAINST_CUES = _cue(AGAINST)
 LABELERS = ("pattern", "gazetteer", "context", "shape", "surroundings")
 BEFORE = 40
-CANDIDATE = "struct<kind:int,start:int,end:int,base:boolean,votes:int,shape:int>"
+#: Buckets of the classifier's hashed features, words around a span that it looks at, its ridge and Newton steps.
+BUCKETS, AROUND, RIDGE, STEPS = 1024, 3, 1.0, 20
+#: Spans of each kind, base and wider ones each, that the classifier is fitted on at most, drawn by a hash.
+FIT_SPANS = 1500
+CANDIDATE = "struct<kind:int,start:int,end:int,base:boolean,votes:int,own:array<int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -111,8 +117,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, int]:
-    """Votes of the labelers, each 0 (against), 1 (none) or 2 (for), as one number to base 3; and a shape bucket."""
+def _votes(text: str, kind: str, start: int, end: int, base: bool) -> int:
+    """Votes of the labelers, each 0 (against), 1 (none) or 2 (for), as one number to base 3."""
     body = text[start:end]
     digits = "".join(c for c in body if c in "0123456789")
     pattern, gazetteer, shape = (2 if base else 1), 1, 1
@@ -146,9 +152,32 @@ def _votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
     votes = 0
     for v in (pattern, gazetteer, context, shape, 0 if glued else 2):
         votes = 3 * votes + v
-    size = min(3, (end - start) // 8)
-    share = min(3, 4 * len(digits) // max(1, end - start))
-    return votes, 4 * size + share
+    return votes
+
+
+WORD = re.compile(r"\w+|[^\w\s]")
+_RUNS = re.compile(r"(.)\1+")
+
+
+def word_shape(word: str) -> str:
+    """Capitals as A, other letters as a, digits as 9, runs of one of them once."""
+    return _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
+
+
+def own_features(text: str, kind: str, start: int, end: int) -> list[int]:
+    """Hashed features of a span, ascending: its shape, length, digits and character trigrams (digits as 9), the words and
+    word shapes before and after it. None of them is a labeler's vote."""
+    body = text[start:end]
+    plain = "^" + re.sub("[0-9]", "9", body.lower()) + "$"
+    digits = sum(c in "0123456789" for c in body)
+    before = WORD.findall(text[max(0, start - BEFORE) : start].lower())[-AROUND:]
+    after = WORD.findall(text[end : end + BEFORE].lower())[:AROUND]
+    names = {"bias", f"shape {word_shape(body)}", f"size {min(8, (end - start) // 4)}", f"digits {digits}" if digits < 24 else "many digits"}
+    names |= {f"tri {plain[i : i + 3]}" for i in range(len(plain) - 2)}
+    names |= {f"before {w}" for w in before} | {f"after {w}" for w in after}
+    names |= {f"last {before[-1] if before else ''}", f"next {after[0] if after else ''}"}
+    names |= {f"left {word_shape(text[max(0, start - 1) : start])}", f"right {word_shape(text[end : end + 1])}"}
+    return sorted({zlib.crc32(f"{kind} {n}".encode()) % BUCKETS for n in names})
 
 
 def candidates(text: str) -> list[dict]:
@@ -171,15 +200,14 @@ def candidates(text: str) -> list[dict]:
         taken = sorted(taken + own)
     out = []
     for k, a, b, is_base in sorted(found):
-        votes, shape = _votes(text, KINDS[k], a, b, is_base)
-        out.append({"kind": k, "start": a, "end": b, "base": is_base, "votes": votes, "shape": shape})
+        out.append({"kind": k, "start": a, "end": b, "base": is_base, "votes": _votes(text, KINDS[k], a, b, is_base), "own": own_features(text, KINDS[k], a, b)})
     return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and `found`, the candidates of every row's whole text; null texts are empty."""
     ship_code(docs.sparkSession)
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32()), ("shape", pa.int32())]))
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32()), ("own", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "t"):
@@ -193,49 +221,74 @@ def _digits(votes: np.ndarray) -> np.ndarray:
 
 
 class SpanModel:
-    """Reliabilities by expectation-maximisation over counted vote patterns, and the classifier trained on them."""
-
-    def __init__(self, rows: list[tuple[int, int, int, int]], rounds: int = 60):
-        """rows: (kind, votes, shape, count); at most kinds * 3^labelers * shapes of them."""
-        if not rows:
-            self.reliability, self.weights = None, None
-            return
-        kind, votes, shape, n = np.array(sorted(rows), np.float64).T
-        kind, votes, shape = kind.astype(int), votes.astype(int), shape.astype(int)
-        v = _digits(votes)
-        share = np.array([(v == 2).sum(1) - (v == 0).sum(1)])[0]
-        p = 1 / (1 + np.exp(-share.astype(float)))
+    """Reliabilities by expectation-maximisation over counted vote patterns, kind by kind, and the classifier whose training
+    labels they give."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], spans: list[tuple[int, int, list[int]]] = (), rounds: int = 60):
+        """rows: (kind, votes, count), at most kinds * 3^labelers of them; spans: (kind, votes, features) to fit on."""
+        #: two rows a kind: of what is no personal data, of what is; labeler; vote
+        self.reliability = np.full((2 * len(KINDS), len(LABELERS), 3), 1 / 3)
+        self.prior = np.full(len(KINDS), 0.5)
+        for k in range(len(KINDS)):
+            own = np.array(sorted((v, n) for kind, v, n in rows if kind == k), np.float64).reshape(-1, 2)
+            if len(own):
+                self._reliabilities(k, _digits(own[:, 0].astype(int)), own[:, 1], rounds)
+        self.weights = self._fitted(list(spans)) if len(spans) else None
+
+    def _reliabilities(self, k: int, v: np.ndarray, n: np.ndarray, rounds: int) -> None:
+        p = 1 / (1 + np.exp(((v == 0).sum(1) - (v == 2).sum(1)).astype(float)))
         for _ in range(rounds):
-            prior = np.array([(n * p)[kind == k].sum() + 1 for k in range(len(KINDS))]) / np.array([n[kind == k].sum() + 2 for k in range(len(KINDS))])
-            log = np.stack([np.log1p(-prior[kind]), np.log(prior[kind])])
-            table = np.zeros((2, len(LABELERS), 3))
+            self.prior[k] = (n @ p + 1) / (n.sum() + 2)
             for c, weight in enumerate((n * (1 - p), n * p)):
                 for j in range(len(LABELERS)):
                     seen = np.bincount(v[:, j], weights=weight, minlength=3) + np.array([[2, 1, 0.5], [0.5, 1, 2]][c])
-                    table[c, j] = seen / seen.sum()
-                    log[c] += np.log(table[c, j][v[:, j]])
-            p = 1 / (1 + np.exp((log[0] - log[1]).clip(-50, 50)))
-        self.reliability = table
-        x = self._features(kind, votes, shape)
-        w = np.zeros(x.shape[1])
-        for _ in range(25):  # Newton steps on the weighted log loss with a ridge
+                    self.reliability[2 * k + c, j] = seen / seen.sum()
+            p = self.probability(np.full(len(v), k), v)
+
+    def probability(self, kind: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of votes of spans (one row each), by the labelers' reliabilities."""
+        log = np.log(self.prior[kind]) - np.log1p(-self.prior[kind])
+        for j in range(len(LABELERS)):
+            log = log + np.log(self.reliability[2 * kind + 1, j, v[:, j]] / self.reliability[2 * kind, j, v[:, j]])
+        return 1 / (1 + np.exp(-log.clip(-50, 50)))
+
+    def _fitted(self, spans: list[tuple[int, int, list[int]]]) -> np.ndarray:
+        kind, votes = (np.array([s[c] for s in spans], int) for c in (0, 1))
+        p = self.probability(kind, _digits(votes))
+        x = np.zeros((len(spans), BUCKETS))
+        for i, s in enumerate(spans):
+            x[i, s[2]] = 1
+        w = np.zeros(BUCKETS)
+        for _ in range(STEPS):  # Newton steps on the log loss with a ridge
             q = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
-            grad = x.T @ (n * (p - q)) - w
-            hess = (x * (n * q * (1 - q))[:, None]).T @ x + np.eye(x.shape[1])
-            w += np.linalg.solve(hess, grad)
-        self.weights = w
-
-    @staticmethod
-    def _features(kind: np.ndarray, votes: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        v = _digits(votes)[:, 1:]  # all labelers but the pattern itself
-        parts = [np.eye(len(KINDS))[kind], *(np.eye(3)[v[:, j]] for j in range(v.shape[1])), np.eye(4)[shape // 4], np.eye(4)[shape % 4]]
-        return np.concatenate(parts, axis=1)
+            step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + RIDGE * np.eye(BUCKETS), x.T @ (p - q) - RIDGE * w)
+            w += step
+            if np.abs(step).max() < 1e-6:
+                break
+        return w
 
     def accepts(self, found: list[dict]) -> list[bool]:
-        if not found or self.weights is None:
+        if self.weights is None:
             return [False] * len(found)
-        x = self._features(*(np.array([c[k] for c in found], int) for k in ("kind", "votes", "shape")))
-        return (x @ self.weights >= 0).tolist()
+        return [bool(self.weights[c["own"]].sum() >= 0) for c in found]
+
+
+def fit(seen: DataFrame, spans: int = FIT_SPANS) -> SpanModel:
+    """The model of scanned rows (i, found): vote patterns of all candidates are counted, the classifier is fitted on at most
+    `spans` of each kind, base and wider ones each, by the least hashes of id, place and features; repeated rows count
+    once there. The driver gets the patterns and about twice those spans."""
+    each = seen.select("i", F.inline("found")).withColumn("h", F.pmod(F.xxhash64("i", "start", "votes", "own"), F.lit(1 << 40)))
+    counted = each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = each.groupBy("kind", "base").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()
+    if not sizes:
+        return SpanModel([])
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (2 * r.kind + int(r.base), min(1.0, 2 * spans / r.n))])
+    stratum = 2 * F.col("kind") + F.col("base").cast("int")
+    drawn = each.filter(F.col("h") < F.element_at(share, stratum) * (1 << 40)).groupBy("kind", "base", "h").agg(F.first("votes").alias("votes"), F.first("own").alias("own")).collect()
+    held: dict[tuple, list] = {}
+    for r in sorted(drawn, key=lambda r: (r.kind, r.base, r.h)):
+        held.setdefault((r.kind, r.base), []).append((r.kind, r.votes, r.own))
+    return SpanModel([tuple(r) for r in counted], [x for own in held.values() for x in own[:spans]])
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
@@ -247,12 +300,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Spans are in code points, by kind, then start. Null and empty texts have none; repeated rows are alike; without any
     candidate in the table nothing is learned and nothing added; texts of any length are taken whole, other columns are
-    left out, an empty table gives no rows. The texts are read once: candidates with votes go to
-    the shared folder, their pattern counts (bounded by the number of patterns) to the driver.
+    left out, an empty table gives no rows. The texts are read once: candidates with votes and
+    features go to the shared folder, their pattern counts (bounded by the number of patterns) and the spans to fit on
+    (bounded by FIT_SPANS) to the driver.
     """
     seen = stored(scan(docs, id_col, text_col), "candidates")
-    counted = seen.select(F.inline("found")).groupBy("kind", "votes", "shape").agg(F.count(F.lit(1)).alias("n")).collect()
-    held = docs.sparkSession.sparkContext.broadcast(SpanModel([tuple(r) for r in counted]))
+    held = docs.sparkSession.sparkContext.broadcast(fit(seen))
     counts = [f"n_{k}" for k in BASE_KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -532,12 +532,12 @@ def test_near_duplicates_blocks():
     orders = [neardup.shingle_order(m) for m in made]
     near = lambda i, j: neardup.aligned_similarity(orders[i], orders[j]) >= 0.8
     top = {i: {i} for i in range(20)}
-    for i, j in neardup._linked(list(range(20)), list(range(20)), [0] * 20, orders, 0.8):
+    for i, j, _ in neardup._linked(list(range(20)), list(range(20)), [0] * 20, orders, 0.8):
         assert near(i, j) and i not in top[j]
         both = top[i] | top[j]
         top.update(dict.fromkeys(both, both))
     assert all(j in top[i] for i in range(20) for j in range(i) if near(i, j))
-    assert all(i % 2 != j % 2 for i, j in neardup._linked(list(range(20)), list(range(20)), [0, 1] * 10, orders, 0.8))
+    assert all(i % 2 != j % 2 for i, j, _ in neardup._linked(list(range(20)), list(range(20)), [0, 1] * 10, orders, 0.8))
 
 
 def test_decontamination(spark, docs, odd):
@@ -620,7 +620,7 @@ def test_pii(spark, docs, odd, texts):
 
 
 def test_pii_votes_and_classifier(spark):
-    votes = lambda text, kind, a, b: [pii._votes(text, kind, a, b, False)[0] // 3 ** (4 - k) % 3 for k in range(5)]
+    votes = lambda text, kind, a, b: [pii._votes(text, kind, a, b, False) // 3 ** (4 - k) % 3 for k in range(5)]
     whole = lambda before, body, kind: votes(before + body + " x", kind, len(before), len(before + body))
     assert whole("teléfono ", "415-555-2671", "phone")[1:4] == [2, 2, 2] and whole("invoice ", "115-155-2671", "phone")[1:4] == [0, 0, 0]
     # cues are whole words: neither "ip" in ship nor "by" in baby
@@ -634,8 +634,63 @@ def test_pii_votes_and_classifier(spark):
     rows = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")).collect()}
     assert sum(rows[i].count("phone") == 2 for i in range(60)) >= 55 and not any(rows[i] for i in range(60, 120))
     # reliabilities are shares, whatever the patterns
-    patterns = [(3, v, s, int(n)) for v, s, n in zip(g.integers(0, 243, 40), g.integers(0, 16, 40), g.integers(1, 50, 40), strict=True)]
-    assert np.isfinite(pii.SpanModel(patterns).weights).all() and pii.SpanModel(patterns).reliability.sum(axis=2) == pytest.approx(1)
+    patterns = [(3, int(v), int(n)) for v, n in zip(g.integers(0, 243, 40), g.integers(1, 50, 40), strict=True)]
+    model = pii.SpanModel(patterns, [(3, v, sorted(set(g.integers(0, pii.BUCKETS, 20).tolist()))) for v in range(0, 243, 6)])
+    assert np.isfinite(model.weights).all() and model.reliability.sum(axis=2) == pytest.approx(1)
+
+
+def test_pii_classifier_held_out(spark):
+    """Spans whose labelers have nothing to say are told apart by what stands around them, on texts not fitted on."""
+    g = np.random.default_rng(5)
+    made = lambda: "".join(g.choice(list("bdfgklmnprstvz")) + g.choice(list("aeiou")) for _ in range(3)).capitalize()
+    number = lambda: f"{g.integers(200, 999)}-{g.integers(200, 999)}-{g.integers(1000, 9999)}"
+    # the cue word that the lists know is left out of every second text
+    person = lambda cue: f"the {cue}juror of the county was Mr {g.choice(['John', 'Mary', 'Peter']) if cue else made()} {made()} and so on"
+    good = [x for i in range(400) for x in (f"{'please call ' if i % 2 else ''}our front desk under {number()} any day", person("patient and " if i % 2 else ""))]
+    bad = [f"{'order ' if i % 2 else ''}shelf row marked 1{g.integers(10, 99)}-1{g.integers(10, 99)}-{g.integers(1000, 9999)} in stock" for i in range(400)]
+    texts = [(i, t, y) for i, (t, y) in enumerate([(t, True) for t in good] + [(t, False) for t in bad])]
+    half = spark.createDataFrame([x for x in texts if x[0] % 4 < 2], "doc_id long, text string, y boolean")
+    model = pii.fit(pii.scan(half))
+    got = [(y, bool(model.accepts(own)[0])) for i, t, y in texts if i % 4 >= 2 and (own := [c for c in pii.candidates(t) if not c["base"]])]
+    assert len(got) > 500 and np.mean([a == b for a, b in got]) >= 0.95
+    # names that no list has
+    unknown = [t for i, t, y in texts if y and i % 4 == 3 and "John" not in t and "Mary" not in t and "Peter" not in t and "Mr" in t]
+    assert len(unknown) >= 40 and np.mean([model.accepts(pii.candidates(t))[0] for t in unknown]) >= 0.95
+    # the classifier has no vote among its features
+    spans = pii.candidates("we met Mr Zorbax Quil there")
+    assert model.accepts(spans) == model.accepts([{**c, "votes": 0} for c in spans])
+
+
+def test_short_items_must_be_rare(spark):
+    rows = [(i, f"text {i} has the word number {i} in it" if i % 2 else f"text {i} has a word number {i} in it") for i in range(400)] + [(400, "here stands qwyzzle once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "qwyzzle"), (3, "text 7 has the word number 7 in it")], "item_id long, text string")
+    found = decontam.contaminated(docs, items).collect()
+    assert {r.doc_id for r in found if r.item_id == 1} == set(range(1, 400, 2)) and {r.item_times for r in found if r.item_id == 1} == {200}
+    assert [(r.doc_id, r.item_times) for r in found if r.item_id == 2] == [(400, 1)] and {r.item_times for r in found if r.item_id == 3} == {None}
+    gone = {r.doc_id for r in found if r.item_id != 1}
+    assert {r.doc_id for r in decontam.decontaminate(docs, items).collect()} == set(range(401)) - gone
+    assert {r.doc_id for r in decontam.decontaminate(docs, items, short_times=200).collect()} == set(range(401)) - gone - set(range(1, 400, 2))
+    assert {r.doc_id for r in decontam.decontaminate(docs, items, short_share=0.5).collect()} == set(range(401)) - gone - set(range(1, 400, 2))
+
+
+def test_near_links(spark):
+    """Every class of k texts has k - 1 links or more, all between its own texts, each with its alignment's score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = neardup.near_classes(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    of = {r.doc_id: r for r in rows}
+    orders = lambda i: neardup.shingle_order((Words(pa.array([texts[i]])).hash & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    size, links = collections.defaultdict(set), collections.defaultdict(dict)
+    for r in rows:
+        size[r.class_id].add(texts[r.doc_id])
+        links[r.class_id][texts[r.doc_id]] = r.n_links
+        assert (r.n_links > 0) == (r.linked_id is not None) == (r.link_score is not None)
+        if r.linked_id is not None:
+            assert of[r.linked_id].class_id == r.class_id and texts[r.linked_id] != texts[r.doc_id] and 0.8 <= r.link_score <= 1
+            assert r.link_score == pytest.approx(neardup.aligned_similarity(orders(r.doc_id), orders(r.linked_id)))
+    for c, own in size.items():
+        assert sum(links[c].values()) >= 2 * (len(own) - 1) and (len(own) == 1) == (not any(links[c].values()))
 
 
 def test_word_hashes():
