@@ -649,12 +649,12 @@ def test_pii_classifier_held_out(spark):
     good = [x for i in range(400) for x in (f"{'please call ' if i % 2 else ''}our front desk under {number()} any day", person("patient and " if i % 2 else ""))]
     bad = [f"{'order ' if i % 2 else ''}shelf row marked 1{g.integers(10, 99)}-1{g.integers(10, 99)}-{g.integers(1000, 9999)} in stock" for i in range(400)]
     texts = [(i, t, y) for i, (t, y) in enumerate([(t, True) for t in good] + [(t, False) for t in bad])]
-    half = spark.createDataFrame([x for x in texts if x[0] % 4 < 2], "doc_id long, text string, y boolean")
+    half = spark.createDataFrame([x for x in texts if x[0] // 4 % 2], "doc_id long, text string, y boolean")
     model = pii.fit(pii.scan(half))
-    got = [(y, bool(model.accepts(own)[0])) for i, t, y in texts if i % 4 >= 2 and (own := [c for c in pii.candidates(t) if not c["base"]])]
+    got = [(y, bool(model.accepts(own)[0])) for i, t, y in texts if not i // 4 % 2 and (own := [c for c in pii.candidates(t) if not c["base"]])]
     assert len(got) > 500 and np.mean([a == b for a, b in got]) >= 0.95
     # names that no list has
-    unknown = [t for i, t, y in texts if y and i % 4 == 3 and "John" not in t and "Mary" not in t and "Peter" not in t and "Mr" in t]
+    unknown = [t for i, t, y in texts if y and not i // 4 % 2 and "Mr" in t and "patient" not in t]
     assert len(unknown) >= 40 and np.mean([model.accepts(pii.candidates(t))[0] for t in unknown]) >= 0.95
     # the classifier has no vote among its features
     spans = pii.candidates("we met Mr Zorbax Quil there")
