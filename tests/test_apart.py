@@ -104,3 +104,12 @@ def test_wide_tiles_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(tiled, "_factored", lambda a, tile, *x: widths.append(tile) or real(a, tile, *x))
     a = made()
     assert np.allclose(dense(tiled.spd_inverse(frame(spark, a), 14), 14, 14), np.linalg.inv(a)) and widths == [5]
+
+
+def test_ties_of_single_precision(spark, tmp_path):
+    """1/800 and 1/20000 are ties of four digits, which their single precision isn't as a double."""
+    from gramforge import catalogue
+
+    spark.range(20_001).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.i: r.v for r in catalogue.solve_f32(spark, str(tmp_path)).filter("i in (31, 799, 19999)").collect()}
+    assert got == {31: 0.0313, 799: 0.0013, 19999: 0.0001}
