@@ -459,8 +459,8 @@ def matmul_tiles(spark, sf_dir):
     of squares."""
     rows = _read(spark, sf_dir, "embeddings")
     x = matrix(rows.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v")), rows.count(), DIM)
-    squares = F.sum(F.col("v") * F.col("v"))
-    return C.matmul(x, C.transpose(x)).cells.groupBy("i").agg(F.count(F.lit(1)).alias("cells"), (F.round(F.sum("v"), 5) + 0.0).alias("total"), (F.round(squares, 5) + 0.0).alias("squares"))
+    found = tiled.product_rows(x, C.transpose(x))
+    return found.select("i", "cells", *[(F.round(c, 5) + 0.0).alias(c) for c in ("total", "squares")])
 
 
 def top_eigen_gram(spark, sf_dir):

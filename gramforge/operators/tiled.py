@@ -34,6 +34,8 @@ PANEL_BYTES = 64 << 20
 TILE_BYTES = 32 << 20
 #: Result tiles of a product that one group makes, along either side.
 SUPER = 4
+#: Passes over a product's left side, each with as much of the right one as a block column may have, below which none is joined.
+MOST_PASSES = 64
 #: More block rows than this draw a warning.
 MANY_ROWS = 64
 SCHEMA = "bi int, bj int, data binary"
@@ -451,15 +453,15 @@ def _tile(bi: int, bj: int, x: np.ndarray, dtype: np.dtype) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([x.astype(dtype).tobytes()], pa.binary())], names=["bi", "bj", "data"])
 
 
-def held_tiles(a: MatrixFrame, tile: int) -> DataFrame:
-    """The tiles that cells touch, cells that occur twice summed: data, and mask, bits of the places that have a cell (null:
-    all of them)."""
+def held_tiles(a: MatrixFrame, tall: int, wide: int) -> DataFrame:
+    """The tiles, `tall` rows of `wide` columns, that cells touch, cells that occur twice summed: data, and mask, bits of the
+    places that have a cell (null: all of them)."""
     dtype = numpy_dtype(a.dtype)
     re, im = parts(F.col("v"), a.dtype)
-    coded = a.cells.select(F.expr(f"cast(i div {tile} as int)").alias("bi"), F.expr(f"cast(j div {tile} as int)").alias("bj"), F.expr(f"cast((i % {tile}) * {tile} + j % {tile} as int)").alias("p"), re.cast("double").alias("re"), im.cast("double").alias("im"))
+    coded = a.cells.select(F.expr(f"cast(i div {tall} as int)").alias("bi"), F.expr(f"cast(j div {wide} as int)").alias("bj"), F.expr(f"cast((i % {tall}) * {wide} + j % {wide} as int)").alias("p"), re.cast("double").alias("re"), im.cast("double").alias("im"))
 
     def dense(group: pd.DataFrame) -> pd.DataFrame:
-        out, there, p = np.zeros(tile * tile, np.complex128), np.zeros(tile * tile, bool), group["p"].to_numpy()
+        out, there, p = np.zeros(tall * wide, np.complex128), np.zeros(tall * wide, bool), group["p"].to_numpy()
         np.add.at(out.real, p, group["re"].to_numpy(float))
         np.add.at(out.imag, p, group["im"].to_numpy(float))
         there[p] = True
@@ -468,8 +470,9 @@ def held_tiles(a: MatrixFrame, tile: int) -> DataFrame:
     return coded.groupBy("bi", "bj").applyInPandas(dense, f"{SCHEMA}, mask binary")
 
 
-def _places(mask: bytes | None, tile: int) -> np.ndarray:
-    return np.ones((tile, tile), bool) if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=tile * tile).astype(bool).reshape(tile, tile)
+def _places(mask: bytes | None, tall: int, wide: int | None = None) -> np.ndarray:
+    shape = (tall, wide or tall)
+    return np.ones(shape, bool) if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=shape[0] * shape[1]).astype(bool).reshape(shape)
 
 
 def _met(x: np.ndarray, there: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
@@ -486,35 +489,135 @@ def _met(x: np.ndarray, there: np.ndarray, y: np.ndarray, here: np.ndarray) -> n
     return x @ y + extra
 
 
+class _Product:
+    """a b by the tiles that cells touch, with the meaning of matmul. Tiles are `tile` wide, but no wider than the inner
+    dimension on that side. b is broadcast, a run of block columns of PANEL_BYTES at most for each pass; the tiles of a are dealt out by
+    block row once and don't move again, and no pair of tiles is made. Where a block column of b is larger, or b takes
+    MOST_PASSES or more, pairs of tiles are joined on the inner block."""
+
+    def __init__(self, a: MatrixFrame, b: MatrixFrame, tile: int):
+        ship_code(a.spark)
+        self.a, self.b, self.tile, self.inner = a, b, tile, max(1, min(tile, a.cols))
+        self.like = a if is_complex(a.dtype) or not is_complex(b.dtype) else b
+        self.dtype = numpy_dtype(self.like.dtype)
+        self.x = held_tiles(a, tile, self.inner).select("bi", F.col("bj").alias("k"), F.col("data").alias("l"), F.col("mask").alias("ml"))
+        self.y = held_tiles(b, self.inner, tile).select(F.col("bi").alias("k"), "bj", F.col("data").alias("r"), F.col("mask").alias("mr"))
+        column = -(-a.cols // self.inner) * self.inner * tile * numpy_dtype(b.dtype).itemsize
+        self.columns = PANEL_BYTES // column
+        self.passes = -(--(-b.cols // tile) // self.columns) if self.columns else 0
+
+    def made(self, put, schema: str) -> DataFrame:
+        """What `put` (an iterator of (bi, bj, total, there), there None where every place has a cell) makes of the tiles."""
+        tile, inner = self.tile, self.inner
+        wide = np.result_type(self.dtype, np.float64)
+        left, right = (numpy_dtype(m.dtype) for m in (self.a, self.b))
+
+        def number(data: pa.Scalar, kind: np.dtype, *shape: int) -> np.ndarray:
+            return np.frombuffer(data, kind).reshape(shape).astype(wide)
+
+        def added(at: tuple | None, l: tuple, r: tuple) -> tuple[np.ndarray, np.ndarray | None]:
+            (x, mx), (y, my) = l, r
+            made = _met(x, _places(mx, tile, inner), y, _places(my, inner, tile))
+            there = None if mx is None and my is None else _places(mx, tile, inner).astype(np.float32) @ _places(my, inner, tile).astype(np.float32) > 0
+            if at is None:
+                return made, there
+            return at[0] + made, None if at[1] is None or there is None else at[1] | there
+
+        if not 0 < self.passes < MOST_PASSES:
+
+            def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+                at, total = None, None
+                for batch in batches:
+                    for bi, bj, l, ml, r, mr in zip(*(batch.column(c).to_pylist() for c in ("bi", "bj")), batch.column("l"), batch.column("ml").to_pylist(), batch.column("r"), batch.column("mr").to_pylist(), strict=True):
+                        if (bi, bj) != at:
+                            if at is not None:
+                                yield *at, *total
+                            at, total = (bi, bj), None
+                        total = added(total, (number(l.as_buffer(), left, tile, inner), ml), (number(r.as_buffer(), right, inner, tile), mr))
+                if at is not None:
+                    yield *at, *total
+
+            pairs = self.x.join(self.y, "k").select("bi", "bj", "l", "ml", "r", "mr").repartition("bi", "bj").sortWithinPartitions("bi", "bj")
+            return pairs.mapInArrow(lambda batches: put(joined(batches)), schema)
+        rows = self.x.repartition(min(int(self.a.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.a.rows // tile)), "bi").sortWithinPartitions("bi", "k")
+        # read once for each pass
+        rows, y = (rows, self.y) if self.passes == 1 else (cut(rows), cut(self.y))
+        out = None
+        for n in range(self.passes):
+            held: dict[int, dict[int, tuple]] = {}
+            for r in y.filter(F.col("bj").between(n * self.columns, (n + 1) * self.columns - 1)).toLocalIterator():
+                held.setdefault(r["bj"], {})[r["k"]] = (bytes(r["r"]), None if r["mr"] is None else bytes(r["mr"]))
+            one = self._pass(rows, held, number, added, left, right, put, schema)
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _pass(self, rows: DataFrame, held: dict, number, added, left: np.dtype, right: np.dtype, put, schema: str) -> DataFrame:
+        tile, inner = self.tile, self.inner
+        sent = self.a.spark.sparkContext.broadcast(held)
+
+        def against(bi: int, own: dict[int, tuple]) -> Iterator[tuple]:
+            for bj, column in sent.value.items():
+                total = None
+                for k in sorted(own.keys() & column.keys()):
+                    data, mask = column[k]
+                    total = added(total, own[k], (number(data, right, inner, tile), mask))
+                if total is not None:
+                    yield bi, bj, *total
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            at, own = None, {}
+            for batch in batches:
+                for bi, k, l, ml in zip(*(batch.column(c).to_pylist() for c in ("bi", "k")), batch.column("l"), batch.column("ml").to_pylist(), strict=True):
+                    if bi != at:
+                        if at is not None:
+                            yield from against(at, own)
+                        at, own = bi, {}
+                    own[k] = number(l.as_buffer(), left, tile, inner), ml
+            if at is not None:
+                yield from against(at, own)
+
+        return rows.mapInArrow(lambda batches: put(found(batches)), schema)
+
+
 def tile_product(a: MatrixFrame, b: MatrixFrame, tile: int = TILE) -> MatrixFrame:
-    """a b by the tiles that cells touch: a join on the inner block, products in the tasks, sums of a tile's products one
-    after another. The meaning is that of matmul."""
-    ship_code(a.spark)
-    dtype = numpy_dtype(a.dtype if is_complex(a.dtype) or not is_complex(b.dtype) else b.dtype)
-    wide = np.result_type(dtype, np.float64)
-    left, right = (numpy_dtype(m.dtype) for m in (a, b))
-    x = held_tiles(a, tile).select("bi", F.col("bj").alias("k"), F.col("data").alias("l"), F.col("mask").alias("ml"))
-    y = held_tiles(b, tile).select(F.col("bi").alias("k"), "bj", F.col("data").alias("r"), F.col("mask").alias("mr"))
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total, there = None, None, None
+    """a b by the tiles that cells touch; the meaning is that of matmul."""
+    product = _Product(a, b, tile)
+    dtype = product.dtype
 
-        def made() -> pa.RecordBatch:
-            mask = None if there.all() else np.packbits(there.reshape(-1)).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([total.astype(dtype).tobytes()], pa.binary()), pa.array([mask], pa.binary())], names=["bi", "bj", "data", "mask"])
+    def put(tiles: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for bi, bj, total, there in tiles:
+            mask = None if there is None or there.all() else np.packbits(there.reshape(-1)).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([bi], pa.int32()), pa.array([bj], pa.int32()), pa.array([total.astype(dtype).tobytes()], pa.binary()), pa.array([mask], pa.binary())], names=["bi", "bj", "data", "mask"])
 
-        for batch in batches:
-            for bi, bj, l, ml, r, mr in zip(*(batch.column(c).to_pylist() for c in ("bi", "bj")), batch.column("l"), batch.column("ml").to_pylist(), batch.column("r"), batch.column("mr").to_pylist(), strict=True):
-                if (bi, bj) != at:
-                    if at is not None:
-                        yield made()
-                    at, total, there = (bi, bj), np.zeros((tile, tile), wide), np.zeros((tile, tile), bool)
-                u, v = _places(ml, tile), _places(mr, tile)
-                total = total + _met(np.frombuffer(l.as_buffer(), left).reshape(tile, tile).astype(wide), u, np.frombuffer(r.as_buffer(), right).reshape(tile, tile).astype(wide), v)
-                there |= True if ml is None and mr is None else u.astype(np.float32) @ v.astype(np.float32) > 0
+    return a.with_cells(to_cells(product.made(put, f"{SCHEMA}, mask binary"), product.like, tile, a.rows, b.cols), a.rows, b.cols)
+
+
+def product_rows(a: MatrixFrame, b: MatrixFrame, tile: int = TILE) -> DataFrame:
+    """(i, cells, total, squares): how many cells row i of a b has, their sum and the sum of their squares, of real matrices.
+    The product is made tile by tile, and a tile is summed by row where it is made."""
+    if is_complex(a.dtype) or is_complex(b.dtype):
+        raise TypeError("rows are summed of real matrices")
+    product = _Product(a, b, tile)
+    dtype = product.dtype
+
+    def put(tiles: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, None
+
+        def made() -> pa.RecordBatch:
+            own = np.flatnonzero(sums[0])
+            return pa.RecordBatch.from_arrays([pa.array(own + at * tile), pa.array(sums[0][own].astype(np.int64)), pa.array(sums[1][own]), pa.array(sums[2][own])], names=["i", "cells", "total", "squares"])
+
+        for bi, _, total, there in tiles:
+            if bi != at:
+                if at is not None:
+                    yield made()
+                at, sums = bi, np.zeros((3, tile))
+            v = total.astype(dtype).astype(float)
+            if there is not None:
+                v = np.where(there, v, 0)
+            sums += [np.full(tile, v.shape[1]) if there is None else there.sum(axis=1), v.sum(axis=1), np.einsum("ij,ij->i", v, v)]
         if at is not None:
             yield made()
 
-    summed = x.join(y, "k").select("bi", "bj", "l", "ml", "r", "mr").repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(product, f"{SCHEMA}, mask binary")
-    like = a if is_complex(a.dtype) or not is_complex(b.dtype) else b
-    return a.with_cells(to_cells(summed, like, tile, a.rows, b.cols), a.rows, b.cols)
+    parts_ = product.made(put, "i long, cells long, total double, squares double")
+    return parts_.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("cells", "total", "squares")])

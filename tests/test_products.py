@@ -84,3 +84,24 @@ def test_repeated_cells_are_summed_everywhere(spark):
     twice = frame(spark, [(i, i, 1.0) for i in range(5)] * 2, 5, 5)
     one = matrix(C.eye(spark, 5).cells.filter("i = 0").unionByName(C.eye(spark, 5).cells.filter("i > 0").withColumn("j", C.F.lit(0).cast("long"))), 5, 1, "replicated")
     assert np.allclose([r.v for r in tiled.chol_solve(twice, one, 2).collect()], 0.5)
+
+
+@pytest.mark.parametrize("passes", ["one", "many", "joined"])
+def test_no_pairs_of_tiles(spark, monkeypatch, passes):
+    """Tiles of the left side are dealt out once and meet a broadcast right side, in one pass or in several; rows of the product are summed
+    where it is made. Sparse cells with NaN and edges; an inner dimension narrower than a tile."""
+    monkeypatch.setattr(tiled, "PANEL_BYTES", {"one": 1 << 20, "many": 3 * 4 * 8, "joined": 0}[passes])
+    g = np.random.default_rng(6)
+    a = [(i, j, float(g.normal())) for i in range(11) for j in range(3) if g.random() < 0.8] + [(10, 1, float("nan"))]
+    b = [(j, i, float(g.normal())) for i in range(9) for j in range(3) if g.random() < 0.8]
+    x, y = frame(spark, a, 11, 3), frame(spark, b, 3, 9)
+    want = brute(a, b)
+    product = tiled.tile_product(x, y, 4)
+    same(found(product), want)
+    plan = product.cells._jdf.queryExecution().executedPlan().toString()
+    assert ("Join" in plan) == (passes == "joined")
+    rows = {r.i: r for r in tiled.product_rows(x, y, 4).collect()}
+    assert set(rows) == {i for i, _ in want}
+    for i, r in rows.items():
+        v = np.array([want[k] for k in want if k[0] == i])
+        assert r.cells == len(v) and np.allclose([r.total, r.squares], [v.sum(), (v * v).sum()], equal_nan=True)
