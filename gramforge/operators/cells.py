@@ -10,6 +10,8 @@ from gramforge.plans.frame import MatrixFrame, matrix
 
 #: Products of cells up to which they are joined one by one, and places of a tile for each cell up to which tiles are dense.
 MOST_PRODUCTS, SPARSE = 1 << 22, 16
+#: Products of cells that one task joins and sums, about.
+TASK_PRODUCTS = 1 << 21
 
 
 def eye(spark: SparkSession, n: int, value: Column | float = 1.0, dtype: str = "float64") -> MatrixFrame:
@@ -67,13 +69,17 @@ def matmul(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
         from gramforge.operators.tiled import TILE, tile_product
 
         tile = min(TILE, max(a.rows, a.cols, b.cols))
-        if _products(a, b) > MOST_PRODUCTS and _fills_tiles(a, tile) and _fills_tiles(b, tile):
+        products = _products(a, b)
+        if products > MOST_PRODUCTS and _fills_tiles(a, tile) and _fills_tiles(b, tile):
             return tile_product(a, b, tile)
+        return cell_product(a, b, products)
     return cell_product(a, b)
 
 
-def cell_product(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
-    """a b by a join of cells, with partial sums before the shuffle."""
+def cell_product(a: MatrixFrame, b: MatrixFrame, products: float = 0.0) -> MatrixFrame:
+    """a b by a join of cells, with partial sums before the shuffle. Where `products`, the pairs of cells that meet, are more
+    than TASK_PRODUCTS for each of the session's shuffle partitions, join and sums get a task for each TASK_PRODUCTS, so
+    that a task's memory doesn't grow with the matrices."""
     left = a.cells.select(F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.cells.select(F.col("i").alias("k"), F.col("j"), F.col("v").alias("y"))
     (xr, xi), (yr, yi) = parts(F.col("x"), a.dtype), parts(F.col("y"), b.dtype)
@@ -82,7 +88,11 @@ def cell_product(a: MatrixFrame, b: MatrixFrame) -> MatrixFrame:
     wide = "complex128" if is_complex(a.dtype) or is_complex(b.dtype) else "float64"
     product = make(xr * yr - xi * yi, xr * yi + xi * yr, wide) if is_complex(wide) else xr * yr
     dtype = a.dtype if is_complex(a.dtype) or not is_complex(b.dtype) else b.dtype
-    return _summed(a, left.join(right, "k").select("i", "j", product.alias("v")), a.rows, b.cols, wide, dtype)
+    tasks = int(products / TASK_PRODUCTS) + 1
+    if tasks <= int(a.spark.conf.get("spark.sql.shuffle.partitions")):
+        return _summed(a, left.join(right, "k").select("i", "j", product.alias("v")), a.rows, b.cols, wide, dtype)
+    made = left.repartition(tasks, "k").join(right.repartition(tasks, "k").hint("merge"), "k").select("i", "j", product.alias("v"))
+    return _summed(a, made.repartition(tasks, "i", "j"), a.rows, b.cols, wide, dtype)
 
 
 def _products(a: MatrixFrame, b: MatrixFrame) -> float:

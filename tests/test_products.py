@@ -105,3 +105,18 @@ def test_no_pairs_of_tiles(spark, monkeypatch, passes):
     for i, r in rows.items():
         v = np.array([want[k] for k in want if k[0] == i])
         assert r.cells == len(v) and np.allclose([r.total, r.squares], [v.sum(), (v * v).sum()], equal_nan=True)
+
+
+def test_tasks_grow_with_products(spark, monkeypatch):
+    """Where many cells meet, join and sums have a task for each TASK_PRODUCTS of them, not the session's number."""
+    g = np.random.default_rng(8)
+    a = [(int(g.integers(30)), int(g.integers(6)), float(g.normal())) for _ in range(60)]
+    x, y = frame(spark, a, 30, 6), frame(spark, [(j, i, v) for i, j, v in a], 6, 30)
+    monkeypatch.setattr(C, "MOST_PRODUCTS", 10)
+    monkeypatch.setattr(C, "SPARSE", 0)
+    monkeypatch.setattr(C, "TASK_PRODUCTS", 50)
+    product = C.matmul(x, y)
+    plan = product.cells._jdf.queryExecution().executedPlan().toString()
+    tasks = int(C._products(x, y) / 50) + 1
+    assert tasks > 4 and plan.count(f", {tasks}), REPARTITION_BY_NUM") == 3 and "Broadcast" not in plan
+    same(found(product), brute(a, [(j, i, v) for i, j, v in a]))
