@@ -113,3 +113,13 @@ def test_ties_of_single_precision(spark, tmp_path):
     spark.range(20_001).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
     got = {r.i: r.v for r in catalogue.solve_f32(spark, str(tmp_path)).filter("i in (31, 799, 19999)").collect()}
     assert got == {31: 0.0313, 799: 0.0013, 19999: 0.0001}
+
+
+def test_cells_without_an_inverse_are_dealt_out(spark, monkeypatch):
+    """n^2 NaN take as many tasks as they need, not the session's cores alone."""
+    monkeypatch.setattr(tiled, "TASK_CELLS", 100)
+    a = C.diag(spark, 60, F.col("i") - 1.0)
+    for part, cells in (("full", 3600), ("upper", 1830)):
+        bad = tiled.spd_inverse(a, 20, part)
+        assert bad.rdd.getNumPartitions() == 37
+        assert bad.filter(F.isnan("v") & (F.col("status") == NOT_DEFINITE)).select("i", "j").distinct().count() == bad.count() == cells
