@@ -123,3 +123,19 @@ def test_cells_without_an_inverse_are_dealt_out(spark, monkeypatch):
         bad = tiled.spd_inverse(a, 20, part)
         assert bad.rdd.getNumPartitions() == 37
         assert bad.filter(F.isnan("v") & (F.col("status") == NOT_DEFINITE)).select("i", "j").distinct().count() == bad.count() == cells
+
+
+def test_rounding_once_a_pair_and_not_of_zeros(spark, tmp_path):
+    """Rows of one eigenpair share its rounded value; zeros aren't rounded, and what is rounded is as it was."""
+    from gramforge import catalogue
+
+    spark.range(12).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    pairs = catalogue.eigen_diag(spark, str(tmp_path))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    above, generated, _ = plan.partition("Generate posexplode")
+    assert generated and above.count("round(") == 1 and "round(lambda" not in above
+    assert {tuple(r) for r in pairs.select("k", "i", "lambda", "x", "status").collect()} == {(k, i, k + 1.0, float(k == i), 0) for k in range(12) for i in range(12)}
+    numbers = spark.createDataFrame([(x,) for x in (0.0, -0.0, 1 / 3, -1e-7, 5e-7, float("nan"), float("inf"), None)], "x double")
+    for digits in (4, 6):
+        got = numbers.select(catalogue._rounded(F.col("x"), digits).alias("a"), (F.round("x", digits) + F.lit(0.0)).alias("b")).collect()
+        assert [str(r.a) for r in got] == [str(r.b) for r in got]
