@@ -1,5 +1,6 @@
 """Matrices that fall apart: rows alone, small components and large ones, which stand between one another."""
 
+import pathlib
 import re
 
 import numpy as np
@@ -159,3 +160,28 @@ def test_zeros_are_generated_by_short_runs(spark, monkeypatch):
         steps = re.findall(r"explode\(sequence\([^,]*, [^,]*, (\w+)", x._jdf.queryExecution().optimizedPlan().toString())
         assert steps and set(steps) == {"Some"}
         assert sorted(tuple(r) for r in x.select("i", "j").collect()) == [(i, j) for i in range(rows) for j in range(i if upper else 0, rows)]
+
+
+@pytest.mark.parametrize("rows, cols, tasks", [(1, 1, 3), (7, 13, 1), (13, 7, 5), (9, 8, 40), (5, 3, 2), (6, 0, 2)])
+def test_places_by_blocks(spark, monkeypatch, rows, cols, tasks):
+    """Each place once, whatever the borders of the blocks, with and without the lower triangle and what is left out."""
+    monkeypatch.setattr(layout, "WIDE", 4)
+    monkeypatch.setattr(layout, "BLOCKS", 3)
+    runs = layout.block_runs(spark, rows, cols, tasks)
+    places = lambda df: sorted(map(tuple, df.select("i", "j").collect()))
+    every = [(i, j) for i in range(rows) for j in range(cols)]
+    assert places(layout.run_places(runs, cols, "j")) == every
+    assert places(layout.run_places(runs, cols, "j", True)) == [(i, j) for i, j in every if j >= i]
+    but = runs.withColumn("but", F.when(F.col("i") % 2 == 0, F.array(F.lit(1), F.lit(3))))
+    assert places(layout.run_places(but, cols, "j", but="but")) == [(i, j) for i, j in every if i % 2 or j % 4 not in (1, 3)]
+
+
+def bytes_a_row(df, path):
+    df.write.parquet(path)
+    return sum(p.stat().st_size for p in pathlib.Path(path).glob("*.parquet")) / df.sparkSession.read.parquet(path).count()
+
+
+def test_stored_nan_are_small(spark, tmp_path):
+    """Files keep n^2 places as dictionaries and repeats, not the number of each one's column (4 bytes a row)."""
+    bad = tiled.spd_inverse(C.diag(spark, 1500, F.col("i") - 1.0), 400)
+    assert bytes_a_row(bad.select("i", "j", F.isnan("v").alias("is_nan"), "status"), str(tmp_path / "x")) < 0.5
