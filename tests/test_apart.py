@@ -185,3 +185,26 @@ def test_stored_nan_are_small(spark, tmp_path):
     """Files keep n^2 places as dictionaries and repeats, not the number of each one's column (4 bytes a row)."""
     bad = tiled.spd_inverse(C.diag(spark, 1500, F.col("i") - 1.0), 400)
     assert bytes_a_row(bad.select("i", "j", F.isnan("v").alias("is_nan"), "status"), str(tmp_path / "x")) < 0.5
+
+
+def suppliers(spark, n, path):
+    spark.range(n).select(F.col("id").alias("s_suppkey")).write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("complex_", [False, True])
+def test_zeros_of_an_inverse_by_blocks(spark, pieces, monkeypatch, complex_):
+    """Components lie across the borders of the blocks."""
+    monkeypatch.setattr(layout, "WIDE", 4)
+    a = made(complex_)
+    want = np.linalg.inv(a)
+    assert np.allclose(dense(tiled.spd_inverse(frame(spark, np.triu(a)), 4), 14, 14), want)
+    upper = tiled.spd_inverse(frame(spark, a), 4, "upper").collect()
+    assert sorted((r.i, r.j) for r in upper) == [(i, j) for i in range(14) for j in range(i, 14)]
+    assert all(np.isclose(complex(r.v["re"], r.v["im"]) if complex_ else r.v, want[r.i, r.j]) for r in upper)
+
+
+def test_stored_inverse_is_small(spark, tmp_path):
+    from gramforge import catalogue
+
+    assert bytes_a_row(catalogue.inverse_diag(spark, suppliers(spark, 1500, tmp_path)), str(tmp_path / "x")) < 0.5
