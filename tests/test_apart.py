@@ -208,3 +208,9 @@ def test_stored_inverse_is_small(spark, tmp_path):
     from gramforge import catalogue
 
     assert bytes_a_row(catalogue.inverse_diag(spark, suppliers(spark, 1500, tmp_path)), str(tmp_path / "x")) < 0.5
+
+
+def test_stored_inverse_of_single_precision_is_small(spark, tmp_path):
+    from gramforge import catalogue
+
+    assert bytes_a_row(catalogue.inverse_f32(spark, suppliers(spark, 1500, tmp_path)), str(tmp_path / "x")) < 0.5
