@@ -214,3 +214,23 @@ def test_stored_inverse_of_single_precision_is_small(spark, tmp_path):
     from gramforge import catalogue
 
     assert bytes_a_row(catalogue.inverse_f32(spark, suppliers(spark, 1500, tmp_path)), str(tmp_path / "x")) < 0.5
+
+
+@pytest.mark.parametrize("complex_", [False, True])
+def test_cells_of_eigenvectors_by_blocks(spark, pieces, monkeypatch, complex_):
+    """The cells are those of the vectors, zeros and all; a value is rounded once a pair."""
+    monkeypatch.setattr(layout, "WIDE", 4)
+    a = made(complex_)
+    rows = eigen.eigen_cells(frame(spark, np.triu(a)), 2, lambda lam: F.round(lam, 3)).collect()
+    assert sorted((r.k, r.i) for r in rows) == [(k, i) for k in range(14) for i in range(14)] and {r.status for r in rows} == {0}
+    want, v = np.linalg.eigvalsh(a), np.zeros((14, 14), complex)
+    for r in rows:
+        assert np.isclose(r["lambda"], round(want[r.k], 3), atol=1e-12)
+        v[r.i, r.k] = complex(r.x["re"], r.x["im"]) if complex_ else r.x
+    assert np.allclose(a @ v, v * want) and np.allclose(v.conj().T @ v, np.eye(14))
+
+
+def test_stored_eigenvectors_are_small(spark, tmp_path):
+    from gramforge import catalogue
+
+    assert bytes_a_row(catalogue.eigen_diag(spark, suppliers(spark, 1500, tmp_path)), str(tmp_path / "x")) < 0.5
