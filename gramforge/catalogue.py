@@ -490,8 +490,7 @@ def top_eigen_copurchase(spark, sf_dir):
     vector's sum, its sign being that of the sum."""
     once = _baskets(spark, sf_dir)
     held = once.with_cells(once.cells.select("i", "j").distinct().withColumn("v", F.lit(1.0)))
-    a = C.matmul(C.transpose(held), held)
-    v = krylov.top_eigen(a.with_cells(tiled.cut(C.upper(a).cells)), 1, vectors=True, confirm=False, block=1, ones=True)
+    v = krylov.top_eigen(held, 1, vectors=True, confirm=False, block=1, ones=True, gram=True)
     return v.agg((F.round(F.max("lambda"), 4) + 0.0).alias("lambda"), (F.round(F.abs(F.sum("v")), 4) + 0.0).alias("total"), F.count(F.lit(1)).alias("n"), F.max("status").alias("status"))
 
 
